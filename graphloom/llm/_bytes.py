@@ -47,6 +47,21 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
+def trim() -> None:
+    """Give memory that a finished task has freed back to the system: workers stay for the next stages."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def slices(values: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive (start, values) runs of at most ``limit`` bytes, or one longer value."""
     start, size = 0, 0
