@@ -146,7 +146,7 @@ def _columns(blocks: int, screen: float):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """How many entries of each document another document has too, in one column block."""
+    """The documents of each tile, once for each entry that another document has too, in one column block."""
     tiles = table.column("tile").to_pylist()
     parts = [_unpack(b) for b in table.column("hs").to_pylist()]
     h, ids = np.concatenate(parts), np.concatenate([np.frombuffer(b, "<u4") for b in table.column("ids").to_pylist()])
@@ -157,8 +157,17 @@ def _shared(table: pa.Table) -> pa.Table:
     length = np.diff(np.append(at, len(h)))
     many = (length > 1) | np.logical_or.reduceat(ids == _HELD, at)
     take = np.repeat(many, length) & (ids != _HELD)
-    key, count = np.unique((row[take] << np.uint64(32)) | ids[take], return_counts=True)
-    return pa.table({"tile": pa.array([tiles[int(k)] for k in key >> np.uint64(32)], pa.int64()), "idx": pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int32)), "c": pa.array(count.astype(np.int32))})
+    take = np.flatnonzero(take)[np.argsort(row[take], kind="stable")]
+    row, ids = row[take], ids[take]
+    cut = np.searchsorted(row, np.arange(len(parts) + 1))
+    return pa.table({"tile": pa.array(tiles, pa.int64()), "ids": pa.array([ids[cut[k] : cut[k + 1]].tobytes() for k in range(len(parts))], pa.binary())})
+
+
+def _counts(table: pa.Table) -> pa.Table:
+    """Add up a tile's replies: (tile, idx, c)."""
+    ids = np.concatenate([np.frombuffer(b, "<u4") for b in table.column("ids").to_pylist()])
+    idx, c = np.unique(ids, return_counts=True)
+    return pa.table({"tile": pa.array([table.column("tile")[0].as_py()] * len(idx), pa.int64()), "idx": pa.array(idx.astype(np.int32)), "c": pa.array(c.astype(np.int32))})
 
 
 def _sets(width: int):
@@ -194,7 +203,7 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMIL
     tiles = first.where("kind = 1").select("tile", "n", "hs", "ids")
     blocks = max(partitions(spark), math.ceil((tiles.agg(F.sum("n")).first()[0] or 0) / block))
     cut = tiles.select("tile", "hs", "ids").mapInArrow(_columns(blocks, screen), "block int, tile long, hs binary, ids binary")
-    shared = cut.groupBy("block").applyInArrow(_shared, "tile long, idx int, c int").groupBy("tile", "idx").agg(F.sum("c").alias("c"))
+    shared = cut.groupBy("block").applyInArrow(_shared, "tile long, ids binary").groupBy("tile").applyInArrow(_counts, "tile long, idx int, c int")
     need = F.expr(f"cast(ceil({similarity} * n / 100.0) as long)")
     passed = (F.col("n") > 0) & (F.col("loc") >= 0) & (F.col("q") - F.col("loc") - F.coalesce("c", F.lit(0)) <= F.col("n") - need)
     classes = tables.write(rows.join(shared, ["tile", "idx"], "left").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"), F.max(passed).alias("open")), "classes")
