@@ -10,7 +10,8 @@ pair is dropped as soon as a bound that follows from the sizes alone rules it ou
    of their rarest shared ones as a partner can't miss all of (prefix filtering).
 3. Columns with several documents first compare each document with one pivot, then, in
    columns that still hold several components, all pairs between components.  Pairs inside a
-   component need no test, so a group of copies costs a star and no square.
+   component need no test, so a group of copies costs a star and no square; a pair is met only
+   in a column where the shingles still ahead of both can make up the overlap it needs.
 
 Identical sets are folded into one class before any of it.
 """
@@ -236,7 +237,10 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMIL
 
 
 def _prefixes(near: DataFrame, similarity: int) -> DataFrame:
-    """(h, node, n): the rarest shared shingles of each set, so many that partners can't miss them all."""
+    """(h, node, n, r): the rarest shared shingles of each set, so many that partners can't miss them all.
+
+    ``r`` is the shingle's place among all of the set's, rarest first.
+    """
     each = near.select("node", "n", F.explode("set").alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = each.join(often, "h")
@@ -244,8 +248,18 @@ def _prefixes(near: DataFrame, similarity: int) -> DataFrame:
 
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("df", "h")))
     found = found.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    # n - need + 1 rarest, of which those shared with no other set come first and can't match
-    return found.where(F.expr(f"r <= n - ceil({similarity} * n / 100.0) + 1 - (n - k)")).select("h", "node", "n")
+    # those shared with no other set come first and can't match
+    found = found.withColumn("r", F.col("r") + F.col("n") - F.col("k"))
+    return found.where(F.expr(f"r <= n - ceil({similarity} * n / 100.0) + 1")).select("h", "node", "n", "r")
+
+
+def _reach(similarity: int) -> F.col:
+    """Whether a pair whose first common shingle this is can still reach the overlap that it needs.
+
+    Both sets have at most n - r + 1 common shingles left; sizes too far apart fail as well.
+    """
+    need = f"(({similarity} * (n + pn) + {100 + similarity} - 1) div {100 + similarity})"
+    return F.expr(f"r <= n - {need} + 1 and pr <= pn - {need} + 1")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -261,27 +275,26 @@ def _merge(tables: Tables, entries: DataFrame, sets: DataFrame, similarity: int,
     """(node, root) of every node that has a link."""
     labels = entries.select("node").distinct().withColumn("root", F.col("node"))
     labels = tables.write(labels, "labels")
-    fits = F.expr(f"100 * least(n, pn) >= {similarity} * greatest(n, pn)")
+    fits = _reach(similarity)
     for turn in range(pivots + 1):
         now = entries.join(labels, "node")
-        per = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "n")).alias("m"))
-        per = per.groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("roots"), F.min(F.struct(F.col("m.o").alias("o"), F.col("m.node").alias("node"), F.col("m.n").alias("n"), "root")).alias("m")).where("roots > 1")
-        open_ = tables.write(per, "columns")
+        # the first pivot of a column is the set that has least ahead of it; later ones are drawn by hash
+        order = F.col("r") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        per = now.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(order.alias("o"), "node", "n", "r")).alias("m"))
+        per = per.groupBy("h").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("roots"), F.min(F.struct("m.o", "m.node", "m.n", "m.r", "root")).alias("m")).where("roots > 1")
+        open_ = tables.write(per.select("h", "k", "kk", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.r").alias("pr"), F.col("m.root").alias("proot")), "columns")
         left = open_.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs"), F.sum("k").alias("k")).first()
         if not left["k"]:
             break
         last = turn == pivots or left["pairs"] <= left["k"]
         if not last:
-            pairs = now.join(open_.select("h", F.col("m.node").alias("pivot"), F.col("m.n").alias("pn"), F.col("m.root").alias("proot")), "h")
-            pairs = pairs.where(fits & (F.col("root") != F.col("proot"))).select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("root").alias("a"), F.col("proot").alias("b")).distinct()
+            pairs = now.join(open_.drop("k", "kk"), "h").where(fits & (F.col("root") != F.col("proot")))
+            pairs = pairs.select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("root").alias("a"), F.col("proot").alias("b")).distinct()
         else:
             one = now.join(open_.select("h"), "h", "left_semi")
-            two = one.select("h", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("proot"))
+            two = one.select("h", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("r").alias("pr"), F.col("root").alias("proot"))
             pairs = one.join(two, "h").where(fits & (F.col("node") < F.col("pivot")) & (F.col("root") != F.col("proot")))
-            # prefix entries in common, plus all that lies beyond the prefixes, must reach the least overlap
-            pairs = pairs.groupBy(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("root").alias("a"), F.col("proot").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("pn").alias("pn"))
-            beyond = F.expr(f"greatest(ceil({similarity} * n / 100.0), ceil({similarity} * pn / 100.0)) - 1")
-            pairs = pairs.where(100 * F.lit(1) * (F.col("c") + beyond) * (100 + similarity) >= 100 * similarity * (F.col("n") + F.col("pn"))).select("x", "y", "a", "b")
+            pairs = pairs.select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("root").alias("a"), F.col("proot").alias("b")).distinct()
         links = tables.write(_verified(pairs, sets, similarity).select("a", "b").distinct(), "links")
         if not links.isEmpty():
             roots = components(tables, links).select(F.col("id").alias("root"), F.col("root").alias("to"))
