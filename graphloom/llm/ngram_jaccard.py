@@ -34,7 +34,7 @@ SIMILARITY = 80
 #: Share of hash space that the screen looks at; the bound holds for any share.
 SCREEN = 0.4
 #: Texts of one tile; a tile is one row block of the incidence.
-TILE_BYTES = 32 << 20
+TILE_BYTES = 16 << 20
 #: Entries of a column block of the screen.
 BLOCK = 1 << 21
 #: Rounds of pivots before the remaining columns are compared in full.
@@ -123,6 +123,7 @@ def _tiler(width: int, screen: float, tile_bytes: int):
                     yield from close()
         if seen:
             yield from close()
+        _bytes.trim()
 
     return run
 
@@ -224,14 +225,15 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMIL
 
     known = near.select("node", "f1", "f2", "n", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component"))
-    named = tables.write(known.join(least, "root").select("f1", "f2", "n", "component"), "named")
-    tables.drop("prefixes", "sets")
-    out = members.join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).join(named, ["f1", "f2", "n"], "left")
+    named = known.join(least, "root").select("f1", "f2", "n", "component")
+    named = tables.write(classes.join(named, ["f1", "f2", "n"], "left").select("f1", "f2", "n", "rep", F.coalesce("component", "rep").alias("component")), "named")
+    tables.drop("prefixes", "sets", "classes")
+    out = members.join(named, ["f1", "f2", "n"])
     alone = F.col("n") == 0
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("rep")).alias("class_id"),
     )
 
