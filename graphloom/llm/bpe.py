@@ -17,16 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import Tables, partitions
+from graphloom.llm._bytes import trim
+from graphloom.llm.shared import partitions
 
 #: Text of a tile, in characters, and distinct words of a tile.
 TILE_CHARS, TILE_WORDS = 16 << 20, 1 << 20
-#: Distinct words (of all tiles) of a bucket.
-BUCKET_WORDS = 1 << 19
+#: Bytes of text for each bucket of words.
+BUCKET_BYTES = 16 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -78,7 +80,9 @@ def _tiles(pattern: str, tile_chars: int, tile_words: int):
 
         def close():
             nonlocal no, chars
-            listed = sorted((w.encode("utf-8", "surrogatepass"), i) for w, i in words.items())
+            # frequent words first, by powers of two, then by bytes: places and lists both compress
+            level = np.frexp(np.bincount(np.concatenate([d[1] for d in docs]), minlength=len(words)))[1]
+            listed = [(w, i) for _, w, i in sorted((-int(level[i]), w.encode("utf-8", "surrogatepass"), i) for w, i in words.items())]
             rank = np.empty(len(listed), np.uint32)
             rank[[i for _, i in listed]] = np.arange(len(listed), dtype=np.uint32)
             kind = "<u4" if len(listed) > 1 << 16 else "<u2"
@@ -108,6 +112,7 @@ def _tiles(pattern: str, tile_chars: int, tile_words: int):
                     yield from close()
         if docs:
             yield from close()
+        trim()
 
     return run
 
@@ -132,6 +137,7 @@ def _buckets(count: int):
     def run(batches):
         press, open_ = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
         for batch in batches:
+            batch = batch.filter(pc.equal(batch.column("kind"), 1))
             for tile, n, data in zip(*(batch.column(c).to_pylist() for c in ("tile", "n", "data")), strict=True):
                 words = _listed(open_(data), n)
                 at = np.fromiter((zlib.crc32(w) % count for w in words), np.int64, len(words))
@@ -190,6 +196,7 @@ def _assemble(shipped, emit: str):
 
     def run(key, docs, words):
         open_ = zstandard.ZstdDecompressor().decompress
+        docs = [b.filter(pc.equal(b.column("kind"), 0)) for b in docs]
         rows = [r for b in docs for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n", "data")), strict=True)]
         size = int(key[0].as_py().split("-")[2])
         length, runs = np.zeros(size, np.int64), []
@@ -230,7 +237,7 @@ def _assemble(shipped, emit: str):
     return run
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, emit: str = "ids", tile_chars: int = TILE_CHARS, tile_words: int = TILE_WORDS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, emit: str = "ids", tile_chars: int = TILE_CHARS, tile_words: int = TILE_WORDS, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Token ids of the whole text of each row of ``docs`` (doc_id long, text string).
 
     ``emit="ids"``: doc_id, n_tokens, ids array<int>.  ``emit="digest"``: doc_id, n_tokens, ids_sha256 (of
@@ -242,16 +249,15 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, emit: str
     least one document) must fit a Python worker: some 20 bytes a character of the longest document.
     """
     spark = docs.sparkSession
-    tables = Tables(spark)
     shipped = spark.sparkContext.broadcast(ranks)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = tables.write(src.mapInArrow(_tiles(pattern, tile_chars, tile_words), "kind int, tile string, doc_id long, n long, data binary"), "bpe", "kind")
-    lists = first.where("kind = 1").select("tile", "n", "data")
-    total = lists.agg(F.sum("n")).first()[0] or 0
-    count = max(partitions(spark), math.ceil(total / bucket_words))
-    back = lists.mapInArrow(_buckets(count), "bucket int, tile string, places binary, words binary").groupBy("bucket").applyInArrow(_streamed(_encode_bucket(shipped, pattern)), "tile string, places binary, ids binary")
+    # one exchange by tile serves both sides below: the word lists to deal out and the documents to reassemble
+    first = src.mapInArrow(_tiles(pattern, tile_chars, tile_words), "kind int, tile string, doc_id long, n long, data binary").repartition("tile")
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(partitions(spark), math.ceil(size / bucket_bytes))
+    back = first.mapInArrow(_buckets(count), "bucket int, tile string, places binary, words binary").groupBy("bucket").applyInArrow(_streamed(_encode_bucket(shipped, pattern)), "tile string, places binary, ids binary")
     out = "doc_id long, n_tokens long, " + ("ids array<int>" if emit == "ids" else "ids_sha256 string, decoded_sha256 string")
-    return first.where("kind = 0").select("tile", "doc_id", "n", "data").groupBy("tile").cogroup(back.groupBy("tile")).applyInArrow(_tabled(_assemble(shipped, emit)), out)
+    return first.groupBy("tile").cogroup(back.groupBy("tile")).applyInArrow(_tabled(_assemble(shipped, emit)), out)
 
 
 def _streamed(f):
