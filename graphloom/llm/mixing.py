@@ -52,6 +52,12 @@ def targets(sizes: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: fl
     return x.select("source", "source_size", "ordinal", "weight", F.least("most", F.coalesce(F.col("level") * F.col("weight"), F.col("most"))).alias("target"))
 
 
+def ticket(seed: int) -> Column:
+    """Order of a document within its source: 60 bits of a digest of doc_id, text and seed."""
+    told = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
+
+
 def place(fraction: Column, schedule: Column) -> Column:
     """Training progress at which the integral of a three-knot schedule reaches ``fraction`` of its whole."""
     a, b, c = (F.get(schedule, F.lit(k)) for k in range(3))
@@ -76,7 +82,7 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     A null source is a source of its own, null and wordless texts have size 0 and are never taken.
     """
     tables = Tables(docs.sparkSession)
-    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("ticket"))
+    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
     base = tables.write(base, "sizes")  # the texts are read once
     per = tables.write(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     plan = targets(per.select("source", "source_size"), weights=weights, share=share, passes=passes)
@@ -85,12 +91,12 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float =
     if per.count() <= SMALL:
         plan = F.broadcast(plan)
     x = base.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    x = x.withColumn("b", F.floor(F.shiftrightunsigned("ticket", 33) * F.col("buckets") / F.lit(1 << 31)).cast("long"))
+    x = x.withColumn("b", F.floor(F.shiftright("ticket", 29) * F.col("buckets") / F.lit(1 << 31)).cast("long"))
     # two-level prefix sums: over the buckets of a source, then inside a bucket
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     heads = x.groupBy("ordinal", "b").agg(F.sum("size").alias("words"))
     heads = heads.select("ordinal", "b", F.coalesce(F.sum("words").over(upto(Window.partitionBy("ordinal").orderBy("b"))), F.lit(0)).alias("before"))
-    inside = F.sum("size").over(upto(Window.partitionBy("ordinal", "b").orderBy(F.shiftrightunsigned("ticket", 1), "ticket", "doc_id")))
+    inside = F.sum("size").over(upto(Window.partitionBy("ordinal", "b").orderBy("ticket", "doc_id")))
     x = x.withColumn("inside", F.coalesce(inside, F.lit(0))).join(heads, ["ordinal", "b"])
     at = F.col("before") + F.col("inside")
     goal = F.round("target").cast("long")
@@ -111,7 +117,7 @@ def take(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
     plan = mix(docs, seed=seed, **options).where("taken > 0").select(F.col("doc_id").alias("d"), "ticket", "size", "taken", "position")
     turn = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(k[1]))  # noqa: E731  rows equal in doc_id and text
     plan = plan.withColumn("turn", turn("d", "ticket"))
-    own = docs.withColumn("_ticket", F.xxhash64("doc_id", "text", F.lit(seed))).withColumn("_turn", turn("doc_id", "_ticket"))
+    own = docs.withColumn("_ticket", ticket(seed)).withColumn("_turn", turn("doc_id", "_ticket"))
     x = own.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_ticket") == F.col("ticket")) & (F.col("_turn") == F.col("turn")))
     passes = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> least(size, taken - (k - 1) * size))")
     x = x.withColumn("_words", F.explode(passes))

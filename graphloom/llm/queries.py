@@ -79,7 +79,8 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("ticket")
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.withColumn("position", F.round("position", 6)).drop("ticket")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
