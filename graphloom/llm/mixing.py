@@ -72,25 +72,27 @@ def place(fraction: Column, schedule: Column) -> Column:
     return F.least(F.lit(1.0), F.when(need <= left, solve(a, b, need)).otherwise(0.5 + solve(b, c, need - left)))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, schedules=SCHEDULES, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, base: int = 0, schedules=SCHEDULES, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, position, ticket.
 
     ``taken`` counts the words that the mix takes of the document, repeats counted, at most ``passes`` * size: all of it
     for each whole pass, and of the last pass whatever lies below the source's target, to the word.
+    ``base`` whole passes over every source come first, and only what is over them is shared by weight.
     ``position`` is the training progress of its first word (null if none is taken); rows are sorted by it.
     Order within a source is ``ticket``, a hash of doc_id and text, so reruns agree; rows equal in both tie and take their turns.
     A null source is a source of its own, null and wordless texts have size 0 and are never taken.
     """
     tables = Tables(docs.sparkSession)
-    base = docs.select("doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
-    base = tables.write(base, "sizes")  # the texts are read once
-    per = tables.write(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
-    plan = targets(per.select("source", "source_size"), weights=weights, share=share, passes=passes)
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
+    rows = tables.write(rows, "sizes")  # the texts are read once
+    per = tables.write(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
+    plan = targets(per.select("source", "source_size"), weights=weights, share=share - base, passes=passes - base)
+    plan = plan.withColumn("target", F.col("target") + base * F.col("source_size"))
     plan = plan.join(per.select(F.col("source").alias("other"), "n"), F.col("source").eqNullSafe(F.col("other")))
     plan = plan.select(F.col("source").alias("of"), "source_size", "ordinal", "target", F.ceil(F.col("n") / bucket).cast("long").alias("buckets"))
     if per.count() <= SMALL:
         plan = F.broadcast(plan)
-    x = base.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    x = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     x = x.withColumn("b", F.floor(F.shiftright("ticket", 29) * F.col("buckets") / F.lit(1 << 31)).cast("long"))
     # two-level prefix sums: over the buckets of a source, then inside a bucket
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

@@ -260,17 +260,17 @@ def repeated_spans(docs: DataFrame, *, sentences: int = SENTENCES, min_words: in
     return out
 
 
-def dedup(docs: DataFrame, *, sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> DataFrame:
+def dedup(docs: DataFrame, **options) -> DataFrame:
     """All columns of ``docs`` (doc_id long, text string, ...) with the cut text, and ``removed``.
 
-    ``removed`` is an array of the byte ranges (a, b) of the original text that went.  Ties: of equal runs the
+    ``options`` are those of ``repeated_spans``.  ``removed`` is an array of the byte ranges (a, b) of the original text that went.  Ties: of equal runs the
     one least by (doc_id, place) is the first, both of rows that share the doc_id; a null doc_id comes last.  Null texts
     stay null, empty ones empty; texts too short for a run are untouched; rows that repeat are cut alike.
     A column named ``removed`` is replaced.
     """
     columns = [c for c in docs.columns if c != "removed"]
     rest = [c for c in columns if c != "text"]
-    spans = repeated_spans(docs, sentences=sentences, min_words=min_words, long=long).withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
+    spans = repeated_spans(docs, **options).withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
     joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_print")), "left")
     kinds = docs.select(*rest).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "_text binary, removed array<struct<a:int,b:int>>"
