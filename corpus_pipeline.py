@@ -32,8 +32,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, in training order, once per pass."""
-    return mixing.take(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """The documents in training order, once per pass of the mix: all of them once, and half as many words again by weight."""
+    return mixing.take(docs, base=1).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
