@@ -63,3 +63,17 @@ def write_lines(rows: DataFrame, path: str) -> None:
 def json_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.select(F.lit("node").alias("kind"), "id", F.to_json(F.struct(*nodes.columns)).alias("json"))
     return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.concat_ws("|", "src", "type", "dst").alias("id"), F.to_json(F.struct(*edges.columns)).alias("json")))
+
+
+def write_back(path: str, **frames: DataFrame) -> None:
+    """Metrics, communities, conflicts and predictions as named Parquet tables; predictions are the 200 first by score."""
+    for name, df in frames.items():
+        if name == "predictions":
+            df = df.orderBy(F.desc("adamic_adar"), F.desc("jaccard"), "a", "b").limit(200)
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of both by key: a new value counts where it isn't null."""
+    n = new.select(*[F.col(c).alias(c if c == key else f"_{c}") for c in new.columns])
+    return old.join(n, key, "full_outer").select(key, *[F.coalesce(f"_{c}", c).alias(c) if c in new.columns else F.col(c) for c in old.columns if c != key])
