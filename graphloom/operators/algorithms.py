@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import adjacency, simple, two_hop
+from graphloom.shipping import ship
 from graphloom.sources.working import keep
 
 
@@ -63,6 +64,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, *, weighted: bool = True, sa
     memory.  With ``samples`` the sources first by hash are used and the sum is scaled by n / samples.
     """
     spark = nodes.sparkSession
+    ship(spark)
     names = [r[0] for r in nodes.select("id").distinct().orderBy("id").collect()]
     n = len(names)
     at = {v: i for i, v in enumerate(names)}
@@ -132,6 +134,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, leve
     """
     from graphloom.operators.paths import components
 
+    ship(nodes.sparkSession)
     comp = components(nodes, edges)
     a = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     a = keep(a, "weights")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import cosine, dot, norm
+from graphloom.shipping import ship
 
 
 def search(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -22,6 +23,7 @@ def knn(vectors: DataFrame, k: int, least: float = 0.0, block: int = 512) -> Dat
     Exact in blocks: blocks of unit vectors meet pairwise as matrices, each keeps its best ``k`` a row, and
     the lists are merged.  A task holds two blocks; work is all pairs, memory isn't.
     """
+    ship(vectors.sparkSession)
     blocks = max(1, -(-vectors.count() // block))
     v = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     left = v.select("id", "vec", F.col("b").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("y"))

@@ -10,6 +10,7 @@ from graphloom.operators import aggregates as G
 from graphloom.operators import claims as C
 from graphloom.operators import vectors as K
 from graphloom.plans.registry import query, with_
+from graphloom.shipping import ship
 from graphloom.sources import projection as P
 
 T = P.table
@@ -299,4 +300,5 @@ def lexical_embedding_md5(s, d):
 
 @query()
 def lexical_embedding_blake2b(s, d):
+    ship(s)
     return T(s, d, "benchmark").select("item_id", V.lexical(384)(F.col("text")).alias("vec"))

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.shipping import ship
+
 LIMIT, SECONDS = 240, 60
 
 
@@ -32,6 +34,7 @@ def admit(calls: DataFrame, key: str, at: str, tie: str, limit: int = LIMIT, sec
     Calls stream through each task in order of key and time, and only the window's admitted calls are held: a hot key
     is not gathered in memory.
     """
+    ship(calls.sparkSession)
     kinds = calls.select(tie, key).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", admitted boolean"
     x = calls.select(tie, key, F.unix_micros(F.col(at).cast("timestamp")).alias("t")).repartition(key).sortWithinPartitions(key, "t", tie)
@@ -52,6 +55,8 @@ def admit(calls: DataFrame, key: str, at: str, tie: str, limit: int = LIMIT, sec
 def admit_stream(calls: DataFrame, key: str, at: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
     """The same over a stream: state is the admitted times of each key's last window."""
 
+    ship(calls.sparkSession)
+
     def step(k, batches, state):
         held = deque(state.get[0] if state.exists else [])
         for pdf in batches:
