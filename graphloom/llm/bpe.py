@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm._bytes import trim
 from graphloom.llm.shared import partitions
+from graphloom.shipping import ship
 
 #: Text of a tile, in characters, and distinct words of a tile.
 TILE_CHARS, TILE_WORDS = 16 << 20, 1 << 20
@@ -249,6 +250,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, emit: str
     least one document) must fit a Python worker: some 20 bytes a character of the longest document.
     """
     spark = docs.sparkSession
+    ship(spark)
     shipped = spark.sparkContext.broadcast(ranks)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # one exchange by tile serves both sides below: the word lists to deal out and the documents to reassemble
@@ -281,6 +283,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *keep: str, ids: str = "
     The token-byte table is shipped to the tasks: it has one row per vocabulary entry, whatever the corpus.
     Null ids decode to no bytes; an id outside the vocabulary fails the task.
     """
+    ship(encoded.sparkSession)
     shipped = encoded.sparkSession.sparkContext.broadcast(ranks)
     schema = encoded.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + "decoded binary"

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import _bytes
 from graphloom.llm.shared import partitions
+from graphloom.shipping import ship
 
 WIDTH = 5
 #: The share of hash space that is kept.
@@ -61,6 +62,7 @@ def from_text(s: str) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, *keep: str, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """Columns ``keep`` and ``fingerprint`` (hex) of the whole of column ``text`` (null: empty)."""
+    ship(docs.sparkSession)
     schema = docs.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + "fingerprint string"
 
@@ -94,6 +96,7 @@ def compare_with_next(docs: DataFrame, *, width: int = WIDTH, share: float = SHA
     the range before it, so every successor is at hand in the task that needs it and none sees more than its range.
     """
     spark = docs.sparkSession
+    ship(spark)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"))
     n = ids.count()
     ranges = min(max(partitions(spark), -(-n // range_rows)), RANGES)

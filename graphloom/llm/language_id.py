@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import _bytes
+from graphloom.shipping import ship
 
 DIMS = 1 << 13
 #: Bounds of the fit: labelled rows per language and in all, languages, and bytes of a fit text.
@@ -141,6 +142,7 @@ def identify(docs: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
     empty.  The model (a few centroids per learnt language, at most LANGUAGES) is shipped with the tasks.
     Columns named lang_pred, score or rejected in ``docs`` are ignored; repeated rows repeat.
     """
+    ship(docs.sparkSession)
     schema = docs.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", " + _OUT
     names = keep + ["lang_pred", "score", "rejected"]

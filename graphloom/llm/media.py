@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.shared import Tables  # noqa: F401
+from graphloom.shipping import ship
 
 #: Pixels of a row, bytes of a row, and the value that fills the last row.
 SIDE, ROW, FILL = 64, 192, 32
@@ -142,6 +143,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
     ``parts`` are structs of position, kind (text or media), text (of a media part: its caption) and ref.
     """
+    ship(pages.sparkSession)
     kind = pages.schema[key].dataType
 
     def run(batches):
@@ -155,6 +157,7 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 def store(payloads: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """Columns ``keep``, digest (SHA-256 of the unpadded payload) and its stored form of each row."""
+    ship(payloads.sparkSession)
     schema = payloads.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + "n_bytes long, digest string, media binary"
 
@@ -178,6 +181,7 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 def read(media: DataFrame) -> DataFrame:
     """What the stored media hold when read back; the other columns stay and ``media`` goes."""
     keep = [c for c in media.columns if c != "media"]
+    ship(media.sparkSession)
     schema = media.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + READ
 

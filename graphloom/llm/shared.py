@@ -4,22 +4,15 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_left: list[tuple[SparkSession, str]] = []
-
+from graphloom.shipping import ship
+from graphloom.sources.working import folder
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a new local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+_left: list[tuple[SparkSession, str]] = []
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -44,7 +37,8 @@ class Tables:
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, shared_dir(spark), {}
+        ship(spark)
+        self.spark, self.root, self.paths = spark, folder(spark), {}
 
     def write(self, df: DataFrame, name: str, *by: str) -> DataFrame:
         path = f"{self.root}/graphloom-{name}-{uuid.uuid4().hex}"
