@@ -7,6 +7,7 @@ other occurrence go.
 A sentence ends after ``.``, ``!`` or ``?`` (with closing marks), at a line break, or before a
 word that starts with a capital; longer ones are also cut after words picked by their hash, so that
 texts without punctuation have sentences and a passage pasted inside one falls into step again.
+What is still over 24 words, as one word repeated, is cut by count.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import _bytes
 from graphloom.llm.shared import Tables, partitions
 
-SENTENCES, MIN_WORDS, LONG = 3, 20, 8
+SENTENCES, MIN_WORDS, LONG, MOST = 3, 20, 8, 24
 #: Text of a tile, and text for each block of hash space.
 TILE_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
 _END = np.zeros(256, bool)
@@ -28,7 +29,7 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[[34, 39, 41, 93, 125]] = True
 
 
-def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, first byte, byte after) of every run, in order."""
     words, bounds = _bytes.word_hashes(texts)
     none = np.zeros(0, np.int64)
@@ -51,6 +52,9 @@ def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN
     size = np.diff(np.append(at, n))
     cut = np.repeat(size > long, size) & (words % np.uint64(long) == 0)
     new[1:] |= cut[:-1]
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, n))
+    new[(np.arange(n) - np.repeat(at, size)) % most == 0] = True
     at = np.flatnonzero(new)  # the first word of each sentence
     owner = doc[at]
     stop = np.searchsorted(owner, owner, side="right")  # the sentence after the text's last
