@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,32 +38,43 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
 
 
-def _features(text: str) -> dict[str, float]:
-    out: dict[str, float] = {}
-    for w in re.findall(r"[a-z0-9]+", (text or "").lower()):
-        out[w] = out.get(w, 0.0) + 1.0
-        if len(w) > 4:
-            for i in range(len(w) - 2):
-                g = w[i : i + 3]
-                out[g] = out.get(g, 0.0) + 0.35
-    return out
+# How features are named and weighed before they are hashed.
+WORD_MARK, GRAM_MARK, GRAM_WEIGHT, LONG_WORD = "w:", "g:", 0.35, 4
 
 
-def embed_text(text: str, dims: int) -> list[float]:
-    """Words, and trigrams of longer words at .35, in buckets by a 64-bit digest; unit length."""
-    v = [0.0] * dims
-    for term, weight in _features(text).items():
-        v[int.from_bytes(hashlib.blake2b(term.encode(), digest_size=8).digest(), "big") % dims] += weight
-    size = math.sqrt(sum(x * x for x in v))
-    return [x / size for x in v] if size else v
+def blake(feature: str) -> int:
+    return int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
 
 
-def lexical(dims: int = 384):
+def fnv1a(feature: str) -> int:
+    """FNV-1a, 64 bits."""
+    h = 0xCBF29CE484222325
+    for byte in feature.encode():
+        h = ((h ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def embed_text(text: str, dims: int, digest=blake) -> list[float]:
+    """Words, and the trigrams of longer words at less weight, summed in hashed buckets; unit length."""
+    weights: Counter[str] = Counter()
+    for word in re.findall("[a-z0-9]+", (text or "").lower()):
+        weights[WORD_MARK + word] += 1.0
+        if len(word) > LONG_WORD:
+            for gram in map("".join, zip(word, word[1:], word[2:], strict=False)):
+                weights[GRAM_MARK + gram] += GRAM_WEIGHT
+    vector = [0.0] * dims
+    for feature, weight in weights.items():
+        vector[digest(feature) % dims] += weight
+    size = math.hypot(*vector)
+    return [x / size for x in vector] if size else vector
+
+
+def lexical(dims: int = 384, digest=blake):
     """A pandas UDF: text to its hashed lexical embedding."""
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: embed_text(t or "", dims))
+        return texts.map(lambda t: embed_text(t or "", dims, digest))
 
     return run
 

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from graphloom.plans import catalog_algorithms, catalog_concepts, catalog_graph, catalog_research, catalog_text  # noqa: F401
+from graphloom.plans import catalog_algorithms, catalog_concepts, catalog_graph, catalog_research, catalog_text, catalog_views  # noqa: F401
 from graphloom.plans.registry import QUERIES, SQL
 
 

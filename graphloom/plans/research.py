@@ -153,6 +153,15 @@ def report_rows(opportunities: DataFrame) -> DataFrame:
     return opportunities.select("rank", line.alias("line"))
 
 
+def report(topic: str, landscape: DataFrame, communities: DataFrame, opportunities: DataFrame) -> str:
+    """A Markdown report: landscape (kind, name, n), communities (name, papers, topics) and ranked opportunities, all short lists."""
+    rows = ["# Research opportunities", "", f"**{topic}**", "", "## Landscape", ""]
+    rows += [f"- {r['kind']} {r['name']}: {r['n']}" for r in landscape.orderBy("kind", "name").limit(60).collect()]
+    rows += ["", "## Communities", ""] + [f"- {r['name']}: {r['papers']} papers, {r['topics']} topics" for r in communities.orderBy(F.desc("papers"), "name").limit(12).collect()]
+    rows += ["", "## Opportunities", "", f"> {NOTICE}", ""] + [r["line"] + "\n" for r in report_rows(opportunities).orderBy("rank").limit(25).collect()]
+    return "\n".join(rows)
+
+
 class Tools:
     """Named callables over (spark, parameters): unknown names are rejected, errors are answers."""
 

@@ -50,6 +50,36 @@ def profile(papers: DataFrame) -> DataFrame:
     return papers.agg(F.count(F.lit(1)).alias("papers"), F.min("year").alias("first"), F.max("year").alias("last"), F.count_if(F.col("author_status") == "verified").alias("verified"), F.count_if(F.col("corpus_tier") == "classic").alias("classics"))
 
 
+def field_counts(papers: DataFrame) -> DataFrame:
+    return papers.groupBy("field").agg(F.count(F.lit(1)).alias("paper_count")).orderBy(F.desc("paper_count"), "field")
+
+
+def write_corpus(papers: DataFrame, path: str) -> None:
+    """Records as JSON lines; null fields are left out."""
+    papers.write.mode("overwrite").json(path)
+
+
+def backfill(nodes: DataFrame, counted: DataFrame, label: str) -> DataFrame:
+    """Nodes and those of a counted vocabulary (id, name, paper_count) that some paper has and the graph lacks."""
+    new = counted.where("paper_count > 0").select(F.concat(F.lit(label.lower() + ":"), "id").alias("id"), F.lit(label).alias("label"), "name")
+    return nodes.unionByName(new.join(nodes.select("id"), "id", "left_anti"), allowMissingColumns=True)
+
+
+def duplicates(nodes: DataFrame) -> DataFrame:
+    """(label, id, n) of ids that a label has more than once: a uniqueness constraint as a check."""
+    return nodes.groupBy("label", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def observed(edges: DataFrame) -> DataFrame:
+    """Stored edges without those that are derived again on load."""
+    return edges.where(~F.col("type").isin("SIMILAR_TO", "RELATED_TO"))
+
+
+def fetch(spark: SparkSession, path: str, most: int) -> DataFrame:
+    """Papers of the Atom files under a path, one per id, the ``most`` first by id."""
+    return parse_atom(spark.read.text(path, wholetext=True)).orderBy("arxiv_id").limit(most)
+
+
 def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
     """One row per id: of each column the first value, by ``order``, that isn't null."""
     cols = [c for c in nodes.columns if c not in ("id", order)]

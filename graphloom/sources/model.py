@@ -10,6 +10,8 @@ RELATIONSHIPS = [
 ]
 OBSERVED = ["STUDIES", "USES_METHOD", "USES_DATASET", "CITES", "AUTHORED", "MAKES_CLAIM", "AFFILIATED_WITH"]
 PREDICTED = "PREDICTED_LINK"
+#: Papers from this year on are recent.
+RECENT_YEAR = 2023
 
 NODES = T.StructType([T.StructField("id", T.StringType()), T.StructField("label", T.StringType()), T.StructField("name", T.StringType()), T.StructField("year", T.IntegerType()), T.StructField("field", T.StringType()), T.StructField("props", T.MapType(T.StringType(), T.StringType()))])
 EDGES = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("type", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("predicted", T.BooleanType()), T.StructField("provenance", T.StringType())])

@@ -191,3 +191,30 @@ def test_paper_ranking(spark):
     got = R.rank_papers(p, "How does planning use memory?").collect()
     assert [r.id for r in got] == ["1", "2"] and got[0].relevance > got[1].relevance
     assert R.rank_papers(p, "what is the best?").count() == 0
+
+
+def test_views(spark):
+    from graphloom.plans import views as W
+
+    n = spark.createDataFrame([(f"p{i}", "Paper", f"P{i}", 2020 + i) for i in range(4)] + [("t1", "Topic", "One", None), ("t2", "Topic", "Two", None)], "id string, label string, name string, year int")
+    e = spark.createDataFrame([(f"p{i}", f"t{1 + i // 2}", "STUDIES", 1.0, False) for i in range(4)] + [("t1", "t2", "PREDICTED_LINK", 0.5, True)], "src string, dst string, type string, weight double, predicted boolean")
+    m = W.analytics(n, e)
+    got = {r.id: r for r in m.collect()}
+    assert got["p0"].community == got["t1"].community != got["t2"].community and got["t1"].degree == 2
+    made, belongs = W.communities(n, m.select("id", "community"))
+    assert sorted(r.name for r in made.collect()) == ["One", "Two"] and belongs.count() == 6
+    board = W.dashboard(n, e, m, since=2022)
+    assert [r.topic for r in board["emerging"].collect()] == ["t2"] and board["influential"].count() == 4
+    assert [(r.src_name, r.dst_name) for r in W.predicted_links(e, n, n.where("id = 't2'")).collect()] == [("One", "Two")]
+    c = spark.createDataFrame([("c1", "c2", "p0", "p3", 0.5), ("c1", "c3", "p0", "zz", 0.9)], "claim_a string, claim_b string, paper_a string, paper_b string, score double")
+    papers = n.where("label = 'Paper'").select(F.col("id").alias("paper"))
+    assert [r.claim_b for r in W.pair_conflicts(c, papers.where("paper = 'p0'"), papers.where("paper = 'p3'")).collect()] == ["c2"]
+    names = spark.createDataFrame([("a", "cluster", "x"), ("b", "cluster", "x"), ("c", "cluster", "y"), ("d", "topic", "x")], "cluster string, granularity string, name string")
+    own = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 50)] + [("c", i) for i in range(8)] + [("d", 3)], "cluster string, paper int")
+    assert {r.cluster for r in W.distinct_clusters(own.select("cluster"), names, own).collect()} == {"a", "d"}
+
+
+def test_embeddings_by_fnv():
+    assert V.fnv1a("") == 0xCBF29CE484222325 and V.fnv1a("a") == 0xAF63DC4C8601EC8C
+    v = V.embed_text("graphs graph", 16, V.fnv1a)
+    assert sum(x * x for x in v) == pytest.approx(1) and V.embed_text("", 4) == [0.0] * 4
