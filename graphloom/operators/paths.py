@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators import local
 from graphloom.operators.graph import adjacency, induced, simple
 from graphloom.sources import model
 from graphloom.sources.working import keep
 
 
-def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, most: int, local_edges: int = local.EDGES) -> DataFrame:
     """(id, depth) of every node at most ``most`` hops from a source, by the undirected edges."""
     near = keep(simple(edges), "adjacency")
+    if local.fits(near, local_edges):
+        return local.distances(near, sources, most)
     seen = keep(sources.select("id", F.lit(0).alias("depth")).distinct(), "seen")
     front = seen
     for depth in range(1, most + 1):
@@ -24,12 +27,14 @@ def distances(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int) -> DataFrame:
+def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int, local_edges: int = local.EDGES) -> DataFrame:
     """(id, hops, path): to each reachable target the shortest path, of several the least in order of its ids.
 
     A node keeps one path, the least, so the frontier holds a row per node.
     """
     near = keep(simple(edges), "adjacency")
+    if local.fits(near, local_edges):
+        return local.shortest_paths(near, source, most).join(targets.select("id").distinct(), "id", "left_semi")
     spark = edges.sparkSession
     seen = keep(spark.createDataFrame([(source, 0, [source])], "id string, hops int, path array<string>"), "paths")
     front = seen
@@ -67,9 +72,12 @@ def weighted_distances(edges: DataFrame, source: str, rounds: int = 64) -> DataF
     return best
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, local_edges: int = local.EDGES) -> DataFrame:
     """(id, component): the least id that each node reaches; contraction of edges to least neighbours."""
-    e = keep(simple(edges).toDF("a", "b"), "links")
+    near = keep(simple(edges), "links")
+    if local.fits(near, local_edges):
+        return local.components(nodes.select("id").distinct(), near).join(nodes.select("id").distinct(), "id", "left_semi")
+    e = near.toDF("a", "b")
     root = keep(nodes.select("id", F.col("id").alias("component")).distinct(), "roots")
     while not e.isEmpty():
         par = e.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))

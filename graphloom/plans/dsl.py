@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import occurrences
 
-# The closed lists, bounds and clause patterns of the language.
+# The closed lists, bounds, messages and clause patterns of the language.
 LABELS = ("Paper", "Author", "Topic", "Method", "Dataset", "Institution", "Claim", "Community")
 RELATIONSHIPS = ("AUTHORED", "CITES", "STUDIES", "USES_METHOD", "USES_DATASET", "AFFILIATED_WITH", "MAKES_CLAIM", "SUPPORTS", "CONTRADICTS", "BELONGS_TO", "RELATED_TO")
 DEPTH, LIMIT, FANOUT, BUDGET, SEEDS = 1, 50, 8.0, 4000, 200
+UNKNOWN, EMPTY = "Unknown {what} '{name}'. Allowed: {known}", 'empty query: give free text, a topic:"…" phrase, or a structured clause'
 CLAUSES = {
     "topic": r'topic\s*:\s*"([^"]+)"',
     "author": r'author\s*:\s*"([^"]+)"',
@@ -45,7 +46,7 @@ def _named(raw: str, known: tuple[str, ...], what: str) -> list[str]:
     out = []
     for name in (p.strip() for p in raw.split(",")):
         if name and name.lower() not in by:
-            raise DslError(f"Unknown {what} '{name}'. Allowed: {', '.join(known)}")
+            raise DslError(UNKNOWN.format(what=what, name=name, known=", ".join(known)))
         if name:
             out.append(by[name.lower()])
     return out
@@ -73,7 +74,7 @@ def parse(text: str | None) -> Query:
     free = " ".join(rest.split()).strip('"')
     q.text = " ".join(x for x in (got.get("topic"), free) if x) or None
     if not (q.text or q.filters or q.labels or q.relationships):
-        raise DslError('empty query: give free text, a topic:"…" phrase, or a structured clause')
+        raise DslError(EMPTY)
     return q
 
 

@@ -23,16 +23,18 @@ TRIANGLES = [("a1", "a2"), ("a2", "a3"), ("a1", "a3"), ("b1", "b2"), ("b2", "b3"
 TOY = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")]
 
 
-def test_pagerank_values(spark):
-    got = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, ["a1", "a2", "a3", "b1", "b2", "b3"]), edges_of(spark, TRIANGLES)).collect()}
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_pagerank_values(spark, most):
+    got = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, ["a1", "a2", "a3", "b1", "b2", "b3"]), edges_of(spark, TRIANGLES), local_edges=most).collect()}
     assert sum(got.values()) == pytest.approx(1, abs=1e-9)
     assert got["a1"] == pytest.approx(0.208029, abs=1e-6) and got["a2"] == pytest.approx(0.145985, abs=1e-6)
-    toy = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, "abcd"), edges_of(spark, TOY)).collect()}
+    toy = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, "abcd"), edges_of(spark, TOY), local_edges=most).collect()}
     assert [toy[k] for k in "abcd"] == pytest.approx([0.245928, 0.245928, 0.366736, 0.141408], abs=1e-6)
 
 
-def test_pagerank_spreads_dangling_mass(spark):
-    got = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, "abz"), edges_of(spark, [("a", "b"), ("a", "a")])).collect()}
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_pagerank_spreads_dangling_mass(spark, most):
+    got = {r.id: r.pagerank for r in A.pagerank(nodes_of(spark, "abz"), edges_of(spark, [("a", "b"), ("a", "a")]), local_edges=most).collect()}
     assert sum(got.values()) == pytest.approx(1, abs=1e-9) and got["a"] == pytest.approx(got["b"]) and got["z"] < got["a"]
     assert A.pagerank(nodes_of(spark, "a").limit(0), edges_of(spark, TOY)).collect() == []
 
@@ -69,14 +71,15 @@ def test_link_prediction(spark):
     assert [(x.a, x.b, x.common, x.jaccard) for x in r] == [("a", "c", 1, 1.0)] and r[0].adamic_adar == pytest.approx(1 / math.log(4), abs=1e-6)
 
 
-def test_paths_and_components(spark):
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_paths_and_components(spark, most):
     e = edges_of(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "x"), ("x", "d"), ("p", "q")])
-    got = {r.id: (r.hops, r.path) for r in H.shortest_paths(e, "a", nodes_of(spark, "dq"), 4).collect()}
+    got = {r.id: (r.hops, r.path) for r in H.shortest_paths(e, "a", nodes_of(spark, "dq"), 4, local_edges=most).collect()}
     assert got == {"d": (2, ["a", "x", "d"])}
-    assert {r.id: r.depth for r in H.distances(e, nodes_of(spark, "a"), 1).collect()} == {"a": 0, "b": 1, "x": 1}
-    assert {r.id: r.component for r in H.components(nodes_of(spark, "abcdxpqz"), e).collect()} == {**dict.fromkeys("abcdx", "a"), "p": "p", "q": "p", "z": "z"}
+    assert {r.id: r.depth for r in H.distances(e, nodes_of(spark, "a"), 1, local_edges=most).collect()} == {"a": 0, "b": 1, "x": 1}
+    assert {r.id: r.component for r in H.components(nodes_of(spark, "abcdxpqz"), e, local_edges=most).collect()} == {**dict.fromkeys("abcdx", "a"), "p": "p", "q": "p", "z": "z"}
     chain = edges_of(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)])
-    assert {r.component for r in H.components(nodes_of(spark, [f"n{i:02d}" for i in range(31)]), chain).collect()} == {"n00"}
+    assert {r.component for r in H.components(nodes_of(spark, [f"n{i:02d}" for i in range(31)]), chain, local_edges=most).collect()} == {"n00"}
     w = {r.id: r.distance for r in H.weighted_distances(edges_of(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 0.25)]), "a").collect()}
     assert w == {"a": 0.0, "b": 1.0, "c": 2.0}
 
