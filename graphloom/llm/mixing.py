@@ -116,13 +116,16 @@ def take(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
 
     Of the one document per source and pass at which the target is met, the text ends with the last word taken.
     """
-    plan = mix(docs, seed=seed, **options).where("taken > 0").select(F.col("doc_id").alias("d"), "ticket", "size", "taken", "position")
-    turn = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(k[1]))  # noqa: E731  rows equal in doc_id and text
-    plan = plan.withColumn("turn", turn("d", "ticket"))
-    own = docs.withColumn("_ticket", ticket(seed)).withColumn("_turn", turn("doc_id", "_ticket"))
-    x = own.join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_ticket") == F.col("ticket")) & (F.col("_turn") == F.col("turn")))
+    plan = mix(docs, seed=seed, **options).select("doc_id", "ticket", "size", "taken", "position")
+    # rows equal in doc_id and text are told apart by their turn; joined by ticket alone, each side is dealt out once
+    turn = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("doc_id"))
+    plan = plan.withColumn("turn", turn("ticket")).drop("doc_id")
+    own = docs.withColumn("_ticket", ticket(seed)).withColumn("_turn", turn("_ticket"))
+    x = own.join(plan, (F.col("_ticket") == F.col("ticket")) & (F.abs(F.col("_turn") - F.col("turn")) < 1))
     passes = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> least(size, taken - (k - 1) * size))")
-    x = x.withColumn("_words", F.explode(passes))
+    x = x.where("taken > 0")
+    # sorted before the passes are dealt out: a document's passes stay together and its text is moved once
+    x = x.orderBy("position", "doc_id").withColumn("_words", F.explode(passes))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(?:^[\\x20\\x09-\\x0D]+)?[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
     x = x.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    return x.orderBy("position", "doc_id").select(*docs.columns)
+    return x.select(*docs.columns)
