@@ -138,6 +138,7 @@ def louvain(nodes: DataFrame, edges: DataFrame, *, resolution: float = 1.0, leve
     from graphloom.operators.paths import components
 
     ship(nodes.sparkSession)
+    edges = keep(edges.select("src", "dst", "weight"), "edges")
     comp = components(nodes, edges)
     a = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)).alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     a = keep(a, "weights")

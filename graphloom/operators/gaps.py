@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.vectors import cosine
 from graphloom.operators import aggregates as G
+from graphloom.sources.working import keep
 
 # The published score model.
 WEIGHTS = {"community_separation": 0.30, "semantic_similarity": 0.25, "relationship_sparsity": 0.20, "research_activity": 0.15, "bridge_potential": 0.10}
@@ -71,9 +72,11 @@ def similarity(members: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def features(members: DataFrame, studies: DataFrame, papers: DataFrame, links: DataFrame, vectors: DataFrame, recent: int = RECENT, bridge_recent: int = BRIDGE_RECENT) -> DataFrame:
     """One row per pair of clusters with the five components and what they are made of."""
-    own = cluster_papers(members, studies)
+    # each is read by many joins below
+    members, papers, links = keep(members, "members"), keep(papers, "papers"), keep(links, "links")
+    own = keep(cluster_papers(members, studies), "own")
     facts = own.join(papers, "paper")
-    x = pairs(members)
+    x = keep(pairs(members), "pairs")
     size = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     inside = G.density(members.select("cluster", F.col("topic").alias("id")), links).select("cluster", "density")
     m = lambda c, t: members.toDF(c, t)

@@ -15,8 +15,13 @@ from graphloom.sources import model
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of each edge; a null or zero weight counts 1."""
     w = F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    e = edges.select("src", "dst", *(["type"] if "type" in edges.columns else []), w.alias("weight"))
-    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *(["type"] if "type" in edges.columns else []), "weight"))
+    rest = [*(["type"] if "type" in edges.columns else []), w.alias("weight")]
+    return edges.select(_ends(), *rest).select("e.src", "e.dst", *(["type"] if "type" in edges.columns else []), "weight")
+
+
+def _ends():
+    """Both directions of an edge in one pass over the edges, which a union would read twice."""
+    return F.explode(F.array(F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), F.lit("out").alias("direction")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("direction")))).alias("e")
 
 
 def project(nodes: DataFrame, edges: DataFrame, labels: list[str] | None = None, types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -59,9 +64,8 @@ def has_relationship(nodes: DataFrame, edges: DataFrame, types: list[str]) -> Da
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, other, type, direction) of the given ids."""
-    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "type", F.lit("out").alias("direction"))
-    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("other"), "type", F.lit("in").alias("direction"))
-    return out.unionByName(back).join(ids.select("id").distinct(), "id", "left_semi")
+    both = edges.select(_ends(), "type").select(F.col("e.src").alias("id"), F.col("e.dst").alias("other"), "type", F.col("e.direction").alias("direction"))
+    return both.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def neighbour_groups(edges: DataFrame, nodes: DataFrame, ids: DataFrame, keep: int = 40) -> DataFrame:
@@ -114,8 +118,8 @@ def unrelated(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 def simple(edges: DataFrame) -> DataFrame:
     """Distinct undirected neighbours without loops: (src, dst) both ways."""
-    c = canonical(edges).where("a <> b").distinct()
-    return c.toDF("src", "dst").unionByName(c.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    c = canonical(edges).where("a <> b").distinct().toDF("src", "dst")
+    return c.select(_ends()).select("e.src", "e.dst")
 
 
 def two_hop(edges: DataFrame) -> DataFrame:

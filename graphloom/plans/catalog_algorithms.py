@@ -244,7 +244,7 @@ for _name, (_text, _where, _limit) in DSL.items():
     query(with_("nodes", "edges") + f" SELECT id, label, name, year FROM nodes WHERE {_where} ORDER BY id LIMIT {_limit}", name=_name)(_dsl(_text))
 
 
-@query(with_("nodes") + " SELECT id, label, name, year FROM (SELECT *, (length(name) - length(replace(lower(name), 'order', ''))) / 5 + (length(name) - length(replace(lower(name), '42', ''))) / 2 AS score FROM nodes WHERE label = 'Paper') WHERE score > 0 ORDER BY score DESC, id LIMIT 40")
+@query(with_("nodes") + " SELECT id, label, name, year FROM (SELECT *, (length(name) - length(replace(lower(name), 'order', ''))) / 5 + (length(name) - length(replace(lower(name), '42', ''))) / 2 + CASE WHEN lower(name) = 'order 42' THEN 2 ELSE 0 END AS score FROM nodes WHERE label = 'Paper') WHERE score > 0 ORDER BY score DESC, id LIMIT 40")
 def dsl_text(s, d):
     return D.run('topic:"order 42" type in (Paper) limit 40', P.nodes(s, d), P.edges(s, d)).select("id", "label", "name", "year")
 

@@ -14,13 +14,15 @@ from graphloom.operators import aggregates as G
 from graphloom.operators import gaps as O
 from graphloom.operators import graph as N
 from graphloom.operators import paths as H
+from graphloom.sources.working import keep
 
 NOTICE = "A hypothesis from the analysed corpus, to be checked independently; absence here proves nothing about work elsewhere."
 
 
 def find_gaps(members: DataFrame, studies: DataFrame, papers: DataFrame, links: DataFrame, vectors: DataFrame, *, names: DataFrame | None = None, top: int = 10, recent: int = O.RECENT, bridge_recent: int = O.BRIDGE_RECENT) -> DataFrame:
     """Ranked opportunities: features, rejection of entangled or nested pairs, score, labels, and rank by score bucket."""
-    own = O.cluster_papers(members, studies)
+    members, studies, papers, links = keep(members, "members"), keep(studies, "studies"), keep(papers, "papers"), keep(links, "links")
+    own = keep(O.cluster_papers(members, studies), "own")
     names = names if names is not None else members.select("cluster").distinct().select("cluster", F.array(F.lower("cluster")).alias("words"))
     bad = O.rejections(names, members, own)
     f = O.score(O.features(members, studies, papers, links, vectors, recent, bridge_recent)).join(bad, ["a", "b"]).where("reason is null").drop("reason")
