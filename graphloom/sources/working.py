@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_left: list[tuple[SparkSession, str]] = []
+
 
 def folder(spark: SparkSession) -> str:
     """The shared folder; a new local one only where the setting is unset (tests)."""
@@ -18,8 +22,21 @@ def folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` and read it again: lineage ends here, and each round of a loop costs one step."""
+    """Write ``df`` and read it again: lineage ends here, and each round of a loop costs one step.
+
+    Results read these tables lazily, so they stay until the program ends.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _left.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _left:
+        if spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):  # the session is going: its owner clears the shared folder
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
