@@ -95,7 +95,7 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """(id, root) of every vertex of ``edges`` (a, b): root is the least id of its component.
 
     Contraction: every vertex takes its least neighbour as parent, parents are followed
-    twice, and the edges are rewritten between parents until none is left.  All steps are
+    once, and the edges are rewritten between parents until none is left.  All steps are
     joins and map-side combined aggregates; only an emptiness test reaches the driver.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -103,10 +103,9 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
     whole = None
     while True:
         par = e.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
-        for _ in range(2):
-            up = par.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            par = par.join(up, "p").select("a", F.col("q").alias("p"))
-        par = tables.write(par, "cc-parents")
+        par = tables.write(par, "cc-parents")  # plain joins of tables follow: Spark can split the parent of very many
+        up = par.select(F.col("a").alias("p"), F.col("p").alias("q"))
+        par = tables.write(par.join(up, "p").select("a", F.col("q").alias("p")), "cc-parents")
         if whole is None:
             whole = par.select(F.col("a").alias("id"), F.col("p").alias("root"))
         else:
