@@ -13,6 +13,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.shared import Tables
+
 # Short notices by which works name well-known licences.
 TEMPLATES = {
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
@@ -70,7 +72,8 @@ def headers(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least
     idf, other, rows = model(templates)
     known = F.broadcast(spark.createDataFrame(rows, "word string, template int, license string, w double"))  # a constant: some hundred rows
     weight = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
-    each = files.select("path", F.explode(lines(F.col("text"))).alias("line"))
+    # the texts are read once: what follows needs their licence lines alone
+    each = Tables(spark).write(files.select("path", F.explode(lines(F.col("text"))).alias("line")), "lines")
     said = each.select("line").distinct()
     terms = said.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(weight, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
