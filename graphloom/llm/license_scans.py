@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
-DataFrame functions only.  Lines that speak of a licence are vectors of word weights; each is compared
-with every template that shares a word.  A file without a licence of its own takes that of the licence file in its
+DataFrame functions only.  Lines that speak of a licence, their sentences, and their stretches of each template's length
+around every licence word are vectors of word weights; each is compared with every template that shares a word.  A file without a licence of its own takes that of the licence file in its
 nearest ancestor directory.
 """
 
@@ -33,8 +33,10 @@ TEMPLATES = {
 LINE = "(?i)licen[sc]|copyright|creative commons|public domain|spdx|permission is hereby granted|\\bCC[ -]BY\\b|\\bCC0\\b"
 WORD = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.75
-#: Lines longer than this many characters are compared by their stretch around the first licence word.
+#: The oracle's SQL compares longer lines by this much around their first licence word; ``headers`` reads all of them.
 AROUND = 240
+#: Words of a line at which stretches are laid; every template has one.
+ANCHOR = "licen[sc]|copyright|^creative$|^public$|spdx|^permission$|^cc(-|$)|^cc0"
 
 
 def _words(text: str) -> list[str]:
@@ -58,30 +60,51 @@ def model(templates: dict[str, list[str]] = TEMPLATES) -> tuple[dict[str, float]
 
 
 def lines(text: Column) -> Column:
-    """Array of the licence lines of a text; long ones by the stretch around the first licence word."""
-    near = lambda x: F.when(F.length(x) <= AROUND, x).otherwise(F.regexp_extract(x, f"(?i)(.{{0,60}}(?:{LINE[4:]}).{{0,{AROUND - 60}}})", 1))
-    return F.when(text.rlike(LINE), F.transform(F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE)), near)).otherwise(F.array().cast("array<string>"))
+    """Array of the licence lines of a text, whole."""
+    return F.when(text.rlike(LINE), F.filter(F.split(text, "\n"), lambda x: x.rlike(LINE))).otherwise(F.array().cast("array<string>"))
+
+
+def stretches(said: DataFrame, lengths: list[int]) -> DataFrame:
+    """(line, stretch) of the distinct lines ``said``: the line, its licence sentences, and its runs of so many words at a licence word.
+
+    Runs are made in two steps, surroundings of a licence word and then what they hold of each length, so that a very long
+    line makes rows of a bounded size.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    most = max(lengths, default=1)
+    first = lambda p: F.greatest(p - most + 1, F.lit(0))
+    split = said.select("line", words("line").alias("w"))
+    at = F.filter(F.transform("w", lambda x, i: F.when(x.rlike(ANCHOR), i)), lambda i: i.isNotNull())
+    near = split.withColumn("at", at).select("line", F.explode(F.transform("at", lambda p: F.struct((p - first(p)).alias("p"), F.slice("w", first(p) + 1, p - first(p) + most).alias("w")))).alias("s")).select("line", "s.*").distinct()
+    start = lambda n: F.greatest(F.col("p") - n + 1, F.lit(0))
+    runs_of = lambda n: F.transform(F.sequence(start(n), F.greatest(F.least(F.col("p"), F.size("w") - n), start(n))), lambda i: F.array_join(F.slice("w", i + 1, F.lit(n)), " "))
+    runs = F.flatten(F.array(*[runs_of(n) for n in lengths]))
+    sentences = F.filter(F.split("line", "(?<=[.!?;])\\s+"), lambda x: x.rlike(LINE))
+    own = said.select("line", F.explode(F.array_union(F.array("line"), sentences)).alias("stretch"))
+    return own.union(near.select("line", F.explode(runs).alias("stretch"))).distinct() if lengths else own
 
 
 def headers(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(path, license, score): the best template of each file that has one at cosine ``least`` or more.
 
-    Of several lines the best counts; ties go to the licence's name.  Each distinct line is scored once.
+    Of several stretches of a line and of several lines the best counts; ties go to the licence's name.  Each distinct stretch
+    is scored once.
     """
     spark = files.sparkSession
     idf, other, rows = model(templates)
     known = F.broadcast(spark.createDataFrame(rows, "word string, template int, license string, w double"))  # a constant: some hundred rows
     weight = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
     # the texts are read once: what follows needs their licence lines alone
-    each = Tables(spark).write(files.select("path", F.explode(lines(F.col("text"))).alias("line")), "lines")
-    said = each.select("line").distinct()
-    terms = said.select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("line", "word").agg(F.count(F.lit(1)).alias("tf"))
+    tables = Tables(spark)
+    each = tables.write(files.select("path", F.explode(lines(F.col("text"))).alias("line")), "lines")
+    parts = tables.write(stretches(each.select("line").distinct(), sorted({len(_words(t)) for texts in templates.values() for t in texts})), "stretches")
+    terms = parts.select("stretch").distinct().select("stretch", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("stretch", "word").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(weight, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    size = terms.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = terms.select("line", "word", F.col("w").alias("v")).join(known, "word").groupBy("line", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dots.join(size, "line").withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select("line", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
-    return each.join(best, "line").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    size = terms.groupBy("stretch").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = terms.select("stretch", "word", F.col("w").alias("v")).join(known, "word").groupBy("stretch", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    scored = dots.join(size, "stretch").withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
+    top = lambda df, key: df.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    return top(each.join(top(parts.join(top(scored, "stretch"), "stretch"), "line"), "line"), "path")
 
 
 def scan(files: DataFrame, *, license_name: str = "(?i)^(licen[sc]e|copying)([.-].*)?$", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:

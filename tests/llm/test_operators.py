@@ -409,3 +409,15 @@ def test_license_scan_inherits_from_the_nearest(spark):
     assert license_scans.scan(spark.createDataFrame([], "path string, text string")).collect() == []
 
 
+def test_license_scan_reads_every_stretch_of_a_line(spark):
+    notice, long = "Released under the MIT License.", "word " * 3000
+    rows = [
+        ("long.txt", long + notice + " " + long),
+        ("late.js", "/* copyright 2020 someone */ " + long + "Licensed under the Apache License, Version 2.0. " + long),
+        ("joined.txt", "a sentence that says something else entirely " + notice.rstrip(".") + " and then the talk goes on and on without a stop " * 2),
+        ("between.txt", "The first sentence says what this is about. " + notice + " Another one tells how it is to be used, at some length."),
+        ("no.txt", long + "their license was lost " + long),
+        ("end.txt", long + "Licensed under CC BY-NC 4.0"),
+    ]
+    got = {r.path: (r.license, r.how, r.score) for r in license_scans.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"long.txt": ("MIT", "own", 1.0), "late.js": ("Apache-2.0", "own", 1.0), "joined.txt": ("MIT", "own", 1.0), "between.txt": ("MIT", "own", 1.0), "no.txt": ("", "none", 0.0), "end.txt": ("CC-BY-NC-4.0", "own", 1.0)}
