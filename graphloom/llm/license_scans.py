@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
 DataFrame functions only.  Lines that speak of a licence, their sentences, and their stretches of each template's length
-around every licence word are vectors of word weights; each is compared with every template that shares a word.  A file without a licence of its own takes that of the licence file in its
+around every licence word are vectors of word weights; each is compared with every template that shares a word.  So are
+standard headers, at their first words, and licence files as a whole; SPDX identifiers are looked up.  A file without a licence of its own takes that of the licence file in its
 nearest ancestor directory.
 """
 
@@ -13,6 +14,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm import license_texts
 from graphloom.llm.shared import Tables
 
 # Short notices by which works name well-known licences.
@@ -90,21 +92,54 @@ def headers(files: DataFrame, templates: dict[str, list[str]] = TEMPLATES, least
     Of several stretches of a line and of several lines the best counts; ties go to the licence's name.  Each distinct stretch
     is scored once.
     """
-    spark = files.sparkSession
-    idf, other, rows = model(templates)
-    known = F.broadcast(spark.createDataFrame(rows, "word string, template int, license string, w double"))  # a constant: some hundred rows
-    weight = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
+    tables = Tables(files.sparkSession)
     # the texts are read once: what follows needs their licence lines alone
-    tables = Tables(spark)
     each = tables.write(files.select("path", F.explode(lines(F.col("text"))).alias("line")), "lines")
     parts = tables.write(stretches(each.select("line").distinct(), sorted({len(_words(t)) for texts in templates.values() for t in texts})), "stretches")
-    terms = parts.select("stretch").distinct().select("stretch", F.explode(F.regexp_extract_all(F.lower("stretch"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("stretch", "word").agg(F.count(F.lit(1)).alias("tf"))
+    best = scores(parts.select(F.col("stretch").alias("key"), F.col("stretch").alias("text")).distinct(), templates, least).withColumnRenamed("key", "stretch")
+    return _top(each.join(_top(parts.join(best, "stretch"), "line"), "line"), "path")
+
+
+def _top(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+
+
+def scores(texts: DataFrame, templates: dict[str, list[str]], least: float) -> DataFrame:
+    """(key, license, score) of the best template of each of ``texts`` (key, text; keys differ) at cosine ``least`` or more."""
+    spark = texts.sparkSession
+    idf, other, rows = model(templates)
+    known = F.broadcast(spark.createDataFrame(rows, "word string, template int, license string, w double"))  # a constant
+    weight = F.broadcast(spark.createDataFrame(sorted(idf.items()), "word string, idf double"))
+    terms = texts.select("key", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("key", "word").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(weight, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    size = terms.groupBy("stretch").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = terms.select("stretch", "word", F.col("w").alias("v")).join(known, "word").groupBy("stretch", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scored = dots.join(size, "stretch").withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least)
-    top = lambda df, key: df.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("license"))).alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
-    return top(each.join(top(parts.join(top(scored, "stretch"), "stretch"), "line"), "line"), "path")
+    size = terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = terms.select("key", "word", F.col("w").alias("v")).join(known, "word").groupBy("key", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    return _top(dots.join(size, "key").withColumn("score", F.round(F.col("dot") / F.col("size"), 6)).where(F.col("score") >= least), "key")
+
+
+def standard(files: DataFrame, least: float = LEAST) -> DataFrame:
+    """(path, license, score) by standard headers, which may go over many lines, and by SPDX identifiers."""
+    spark = files.sparkSession
+    flat = [_words(t) for texts in license_texts.HEADERS.values() for t in texts]
+    mark = "(?:" + "|".join(sorted({"[^a-z0-9]+".join(map(re.escape, w[:4])) for w in flat})) + ")"
+    at = F.filter(F.split(F.lower("text"), f"(?={mark})"), lambda x: x.rlike(f"^{mark}"))
+    tables = Tables(spark)
+    found = files.select("path", F.when(F.col("text").rlike(f"(?i){mark}"), at).alias("parts"), F.regexp_extract_all("text", F.lit("(?i)spdx-license-identifier:[ \\t(]*([a-z0-9.+-]+)"), F.lit(1)).alias("ids"))
+    found = tables.write(found.where("parts is not null or size(ids) > 0"), "headers")
+    words = found.select("path", F.explode("parts").alias("part")).select("path", F.regexp_extract_all("part", F.lit(WORD), F.lit(0)).alias("w"))
+    runs = words.select("path", F.explode(F.array(*[F.array_join(F.slice("w", 1, n), " ") for n in sorted({len(w) for w in flat})])).alias("text")).withColumn("key", F.sha2("text", 256))
+    runs = tables.write(runs, "runs")
+    best = scores(runs.select("key", "text").distinct(), license_texts.HEADERS, least)
+    named = F.broadcast(spark.createDataFrame(sorted(license_texts.SPDX.items()), "id string, license string"))
+    ids = found.select("path", F.explode("ids").alias("id")).select("path", F.lower("id").alias("id")).join(named, "id").select("path", "license", F.lit(1.0).alias("score"))
+    return runs.select("path", "key").join(best, "key").select("path", "license", "score").union(ids)
+
+
+def licence_files(files: DataFrame, least: float = LEAST) -> DataFrame:
+    """(path, license, score) of files whose whole text is near a whole licence text; equal texts are scored once."""
+    keyed = files.where(F.col("text") != "").withColumn("key", F.sha2("text", 256))
+    best = scores(keyed.groupBy("key").agg(F.first("text").alias("text")), license_texts.whole(), least)
+    return keyed.select("path", "key").join(best, "key").select("path", "license", "score")
 
 
 def scan(files: DataFrame, *, license_name: str = "(?i)^(licen[sc]e|copying)([.-].*)?$", templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -115,8 +150,9 @@ def scan(files: DataFrame, *, license_name: str = "(?i)^(licen[sc]e|copying)([.-
     null path are left out; rows that repeat a path are one file, known by all their lines.
     """
     files = files.where("path is not null")
-    own = headers(files.select("path", "text"), templates, least)
     name = F.element_at(F.split("path", "/"), -1)
+    own = headers(files.select("path", "text"), templates, least).union(standard(files, least)).union(licence_files(files.where(name.rlike(license_name)), least))
+    own = Tables(files.sparkSession).write(_top(own, "path"), "own")
     of = F.regexp_replace("path", "/?[^/]*$", "")
     law = own.where(name.rlike(license_name)).groupBy(of.alias("dir")).agg(F.min(F.struct(F.col("path").alias("from_path"), F.col("license").alias("license"))).alias("l"))
     law = law.select("dir", "l.from_path", "l.license")

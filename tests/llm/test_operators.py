@@ -2,7 +2,7 @@
 
 import hashlib
 import random
-
+import textwrap
 
 import brute
 import numpy as np
@@ -421,3 +421,18 @@ def test_license_scan_reads_every_stretch_of_a_line(spark):
     ]
     got = {r.path: (r.license, r.how, r.score) for r in license_scans.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got == {"long.txt": ("MIT", "own", 1.0), "late.js": ("Apache-2.0", "own", 1.0), "joined.txt": ("MIT", "own", 1.0), "between.txt": ("MIT", "own", 1.0), "no.txt": ("", "none", 0.0), "end.txt": ("CC-BY-NC-4.0", "own", 1.0)}
+
+
+def test_license_scan_knows_headers_texts_and_identifiers(spark):
+    from graphloom.llm import license_texts
+
+    wrap = lambda name, k=0, mark=" * ": "\n".join(mark + x for x in textwrap.wrap(license_texts.HEADERS[name][k], 60))
+    code = "\nint main() { return 0; }\n" * 50
+    rows = [(f"head/{name}.c", "/*\n * Copyright 2020 Someone\n" + wrap(name) + "\n */" + code) for name in license_texts.HEADERS]
+    rows += [(f"id/{name}.py", f"# SPDX-License-Identifier: {name}\nx = 1") for name in ("MIT", "Apache-2.0", "GPL-3.0-or-later", "No-Such-1.0")]
+    rows += [(f"whole/{name}/LICENSE", text[0]) for name, text in license_texts.whole().items()]
+    rows += [("whole/MIT/x.py", ""), ("prose/LICENSE", "The text of this file is about the sea and the ships of the harbour. " * 40), ("mit.js", "x=1;/* copyright MIT 2020 */")]
+    got = {r.path: (r.license, r.how) for r in license_scans.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = {f"head/{name}.c": (name, "own") for name in license_texts.HEADERS} | {f"whole/{name}/LICENSE": (name, "own") for name in license_texts.whole()}
+    want |= {"id/MIT.py": ("MIT", "own"), "id/Apache-2.0.py": ("Apache-2.0", "own"), "id/GPL-3.0-or-later.py": ("GPL-3.0", "own"), "id/No-Such-1.0.py": ("", "none")}
+    assert got == want | {"whole/MIT/x.py": ("MIT", "inherited"), "prose/LICENSE": ("", "none"), "mit.js": ("", "none")}
