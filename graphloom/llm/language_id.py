@@ -91,11 +91,12 @@ def fit(labelled: DataFrame, *, rows: int = FIT_ROWS, centroids: int = CENTROIDS
     frequent are learnt.  Without any labelled row the model is empty and predicts nothing.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).cache()
+    order = F.xxhash64("text", F.lit(7))
+    # all copies of a text have one hash, so the texts are counted, not the rows
+    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(order).alias("texts")).orderBy(F.desc("count"), "lang").limit(languages).cache()
     rows = min(rows, FIT_TOTAL // max(1, most.count()))
     # a hash range that holds about four times the rows wanted, then the least hashes of those
-    order = F.xxhash64("text", F.lit(7))
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("count"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("texts"))
     use = known.select("lang", "text", order.alias("o")).join(F.broadcast(most), "lang").where(F.col("o") < (share * 2 - 1) * F.lit(float(1 << 63)))
     use = use.select("lang", "o", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).alias("text")).distinct()
     few = use.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("r") <= rows)

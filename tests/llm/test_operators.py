@@ -284,6 +284,14 @@ def test_language_id_und_and_empty(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, none, keep=["doc_id"]).collect()} == {"und"}
 
 
+def test_language_id_learns_languages_of_few_texts_in_many_copies(spark):
+    names = [f"l{k}" for k in range(8)]
+    few = spark.createDataFrame([(name, " ".join(f"{name}w{chr(97 + j)}{chr(97 + i)}" for i in range(12))) for name in names for j in range(10)], "lang string, text string")
+    model = language_id.fit(few.crossJoin(spark.range(1000)).select("text", "lang"))
+    once = language_id.fit(few)
+    assert model.languages == names and (model.idf == once.idf).all() and (model.centroids == once.centroids).all()
+
+
 # --- 9: fingerprints
 
 
