@@ -16,13 +16,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the one whose doc_id names the group.
+    """Keep one row of each group of near duplicates: that of the least doc_id, null last.
 
-    Of rows that repeat a doc_id one stays; documents without words are no duplicates of others.
+    Rows count as documents of their own, also where they share a doc_id or have none; those without words are no
+    duplicates of others.
     """
-    groups = ngram_jaccard.jaccard_join(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(groups.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # written, as row numbers may differ when they are counted again
+    rows = Tables(spark).write(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = ngram_jaccard.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+    return rows.join(least.select("m._row"), "_row", "left_semi").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

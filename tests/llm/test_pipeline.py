@@ -53,3 +53,15 @@ def test_each_stage(spark, tmp_path):
     assert sorted((r.doc_id, r.ids_sha256) for r in seen["bpe"]) == sorted((r.doc_id, digest(r.text)) for r in seen["mixing"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, whole)) == sorted(map(tuple, seen["bpe"]))
+
+
+def test_near_duplicates_keep_unrelated_rows_of_equal_or_null_ids(spark, tmp_path):
+    texts = [T.prose(500 + k, 60) for k in range(12)]
+    rows = [(None, texts[k]) for k in range(5)] + [(7, texts[k]) for k in range(5, 8)] + [(9, texts[8])]
+    extra = [(None, texts[0] + " more0"), (None, texts[1]), (7, texts[5]), (8, texts[6] + " more1"), (None, texts[8]), (3, texts[2])]
+    spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows + extra + [(None, ""), (None, ""), (4, None)]], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/d")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/d"), str(tmp_path)).collect()]
+    one = [t for i, t in kept if t]
+    assert sorted(t.removesuffix(" more0") for t in one) == sorted(texts[:9])
+    assert sorted(i for i, t in kept if t and i is not None) == [3, 7, 7, 7, 9] and (3, texts[2]) in kept and (7, texts[6]) in kept
+    assert sorted(map(str, (r for r in kept if not r[1]))) == sorted(map(str, [(None, ""), (None, ""), (4, None)]))
