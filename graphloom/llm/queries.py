@@ -91,13 +91,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stored = media.store(docs, "text", "doc_id")
-    read = media.read(stored)
     tables = media.Tables(spark)
-    read = tables.write(read, "media")  # small rows: payloads are stored and read back in one pass and never shuffled
-    # one row per digest; equal texts have equal media
-    known = read.groupBy("digest").agg(*[F.min(c).alias(c) for c in read.columns if c not in ("doc_id", "digest")])
-    known = tables.write(known, "known")  # a plain join follows, whose hot digests Spark can split
+    # the media table: one row per digest with its bytes; equal texts have equal media
+    stored = media.store(docs, "text").groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
+    first = tables.write(stored, "media")
+    read = tables.write(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "references")
+    known = tables.write(media.read(first), "known")  # a plain join follows, whose hot digests Spark can split
     pages = read.select("doc_id", media.page_of(F.col("digest"), F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("html"))
     parts = media.resolve(media.interleave(pages, "doc_id"), known, "doc_id").where("kind = 'media'")
     return parts.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", F.col("text").alias("caption"))

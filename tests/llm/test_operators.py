@@ -253,6 +253,17 @@ def test_media_query_on_whole_texts(spark, odd, tmp_path):
     assert sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == sorted((i or -1, *brute.media_row(t)) for i, t in odd_rows())
 
 
+def test_media_query_writes_and_reads_one_row_a_digest(spark, odd, tmp_path, monkeypatch):
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    made, write = {}, media.Tables.write
+    monkeypatch.setattr(media.Tables, "write", lambda self, df, name, *by: made.setdefault(name, write(self, df, name, *by)))
+    got = queries.op7_media_columns(spark, str(tmp_path)).collect()
+    rows = {r.digest: bytes(r.media) for r in made["media"].collect()}
+    assert made["media"].count() == len(rows) == len({t or "" for _, t in odd_rows()})
+    assert {hashlib.sha256(x).hexdigest() for x in rows.values()} == {r.media_sha256 for r in got}
+    assert {media.decode(x) for x in rows.values()} == {media.padded((t or "").encode()) for _, t in odd_rows()}
+
+
 # --- 8: language ID
 
 SAMPLES = {"en": "the of and to in that with for from this have are which", "fr": "le la des une est dans pour avec que les sur pas vous", "de": "der die und das nicht mit ein eine auf für ist sich werden"}
