@@ -5,9 +5,9 @@ joined globally.  Of a run's occurrences the first by (doc_id, place) stays; the
 other occurrence go.
 
 A sentence ends after ``.``, ``!`` or ``?`` (with closing marks), at a line break, or before a
-word that starts with a capital; longer ones are also cut after words picked by their hash, so that
-texts without punctuation have sentences and a passage pasted inside one falls into step again.
-What is still over 24 words, as one word repeated, is cut by count.
+word that starts with a capital.  Of every ``long`` words in a row without such an end, the word of
+least hash begins one as well, so that ends depend on the words around them alone: texts without
+punctuation have sentences, and a passage of 50 words has the same run wherever it is pasted.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import _bytes
 from graphloom.llm.shared import Tables, partitions
 
-SENTENCES, MIN_WORDS, LONG, MOST = 3, 20, 8, 24
+SENTENCES, MIN_WORDS, LONG = 3, 20, 8
 #: Text of a tile, and text for each block of hash space.
 TILE_BYTES, BLOCK_BYTES = 16 << 20, 16 << 20
 _END = np.zeros(256, bool)
@@ -29,7 +29,7 @@ _CLOSE = np.zeros(256, bool)
 _CLOSE[[34, 39, 41, 93, 125]] = True
 
 
-def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, first byte, byte after) of every run, in order."""
     words, bounds = _bytes.word_hashes(texts)
     none = np.zeros(0, np.int64)
@@ -48,13 +48,7 @@ def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     new = np.ones(n, bool)
     new[1:] = ends[:-1] | (lines[first[1:]] > lines[last[:-1]]) | capital[1:] | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
-    cut = np.repeat(size > long, size) & (words % np.uint64(long) == 0)
-    new[1:] |= cut[:-1]
-    at = np.flatnonzero(new)
-    size = np.diff(np.append(at, n))
-    new[(np.arange(n) - np.repeat(at, size)) % most == 0] = True
+    new |= _least(words, new, long)
     at = np.flatnonzero(new)  # the first word of each sentence
     owner = doc[at]
     stop = np.searchsorted(owner, owner, side="right")  # the sentence after the text's last
@@ -79,6 +73,22 @@ def runs_of(texts: list[bytes], sentences: int = SENTENCES, min_words: int = MIN
     return own, h, first[a] - begin[own], upto - begin[own]
 
 
+def _least(words: np.ndarray, new: np.ndarray, long: int) -> np.ndarray:
+    """Words that have the least hash of some ``long`` words in a row, none of which begins a sentence."""
+    n, out = len(words), np.zeros(len(words), bool)
+    if n < long:
+        return out
+    # of one word said again and again, only every long-th counts: their runs are equal wherever they begin
+    k = np.arange(n)
+    change = np.ones(n, bool)
+    change[1:] = (words[1:] != words[:-1]) | new[1:]
+    key = np.where((k - np.maximum.accumulate(np.where(change, k, 0))) % long == 0, words, np.uint64(0xFFFFFFFFFFFFFFFF))
+    key[new] = 0
+    window = np.lib.stride_tricks.sliding_window_view(key, long)
+    out[np.arange(len(window)) + window.argmin(axis=1)] = True
+    return out
+
+
 _ROOT = np.uint64(0xD1342543DE82EF95)
 _BACK = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
 

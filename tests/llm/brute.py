@@ -48,6 +48,70 @@ def jaccard_components(rows, similarity=80):
     return out
 
 
+def sentence_starts(words, raw, places, hashes, long=8):
+    """Numbers of the words that begin a sentence, by the rules one after another."""
+    begins = []
+    for i, (a, _) in enumerate(places):
+        before = raw[places[i - 1][0] : places[i - 1][1]] if i else b""
+        marked = before[-1:] in (b".", b"!", b"?") or (len(before) > 1 and before[-1:] in (b'"', b"'", b")", b"]", b"}") and before[-2:-1] in (b".", b"!", b"?"))
+        c = ord(raw[a : places[i][1]].decode(errors="replace")[0])
+        capital = 0x41 <= c <= 0x5A or 0xC0 <= c <= 0xDE and c != 0xD7 or 0x391 <= c <= 0x3A9 or 0x400 <= c <= 0x42F
+        begins.append(i == 0 or marked or capital or b"\n" in raw[places[i - 1][1] : a])
+    keys, since = [], 0
+    for i, w in enumerate(words):
+        if not i or w != words[i - 1] or begins[i]:
+            since = i
+        keys.append(-1 if begins[i] else hashes[i] if (i - since) % long == 0 else 2**64 - 1)
+    picked = {i for i, b in enumerate(begins) if b}
+    for i in range(len(words) - long + 1):
+        picked.add(min(range(i, i + long), key=lambda k: (keys[k], k)))
+    return sorted(picked)
+
+
+def sentence_runs(text, sentences=3, min_words=20):
+    """(words, first byte, byte after) of every run of sentences."""
+    from graphloom.llm import _bytes
+
+    raw = text.encode()
+    places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b].lower() for a, b in places]
+    starts = sentence_starts(words, raw, places, _bytes.word_hashes([raw])[0].tolist())
+    edges, out = [*starts, len(words)], []
+    for k, at in enumerate(starts):
+        for j in range(k + sentences, len(edges)):
+            if edges[j] - at >= min_words:
+                out.append((tuple(words[at : edges[j]]), places[at][0], places[edges[j]][0] if edges[j] < len(words) else len(raw)))
+                break
+    return out
+
+
+def substring_dedup(rows):
+    """Texts of (doc_id, text) rows without the sentences of runs that a dictionary has met before."""
+    first, runs, seen = {}, [], set()
+    for key, text in rows:
+        if text is None or (key, text) in seen:
+            continue
+        seen.add((key, text))
+        for x, s, e in sentence_runs(text):
+            place = (float("inf") if key is None else key, s)
+            first[x] = min(first.get(x, place), place)
+            runs.append((key, text, x, place, s, e))
+    cut = {}
+    for key, text, x, place, s, e in runs:
+        if place != first[x]:
+            cut.setdefault((key, text), []).append((s, e))
+    out = []
+    for key, text in rows:
+        if text is None:
+            out.append((key, None))
+            continue
+        raw, keep = text.encode(), bytearray(b"\1" * len(text.encode()))
+        for s, e in cut.get((key, text), []):
+            keep[s:e] = b"\0" * (e - s)
+        out.append((key, bytes(c for c, k in zip(raw, keep, strict=True) if k).decode()))
+    return out
+
+
 def mix_targets(sizes, weights=(3, 1, 2), share=1.5, passes=2):
     """{source: target} by resharing the excess again and again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))

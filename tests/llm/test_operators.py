@@ -167,35 +167,6 @@ def test_mixing_of_odd_and_empty(odd, empty):
 # --- 6: substring dedup
 
 
-def brute_dedup(rows, **options):
-    """Cut texts by a dictionary of runs over the same sentences."""
-    first, runs = {}, []
-    seen = set()
-    for key, text in rows:
-        if text is None or (key, text) in seen:
-            continue
-        seen.add((key, text))
-        _, h, a, b = substring_dedup.runs_of([text.encode()], **options)
-        for x, s, e in zip(h.tolist(), a.tolist(), b.tolist(), strict=True):
-            place = (float("inf") if key is None else key, s)
-            first[x] = min(first.get(x, place), place)
-            runs.append((key, text, x, place, s, e))
-    cut = {}
-    for key, text, x, place, s, e in runs:
-        if place != first[x]:
-            cut.setdefault((key, text), []).append((s, e))
-    out = []
-    for key, text in rows:
-        if text is None:
-            out.append((key, None))
-            continue
-        raw, keep = text.encode(), bytearray(b"\1" * len(text.encode()))
-        for s, e in cut.get((key, text), []):
-            keep[s:e] = b"\0" * (e - s)
-        out.append((key, bytes(c for c, k in zip(raw, keep, strict=True) if k).decode()))
-    return out
-
-
 def passages():
     p = "Shared things begin here and go on. They then say much more of it, at length. A third sentence follows. And the fourth one ends it all quite soon after."
     rows = [(k, f"Own start number {k} with {prose(k, 12)}. {p} Own end {prose(k + 50, 9)} of {k}.") for k in range(6)]
@@ -207,7 +178,7 @@ def test_substring_dedup_as_brute_force(spark, options):
     rows = passages() + odd_rows()
     got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()
     key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
-    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(brute_dedup(rows), key=key)
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(brute.substring_dedup(rows), key=key)
 
 
 def test_substring_dedup_leaves_first_and_own_texts(spark):
@@ -218,11 +189,24 @@ def test_substring_dedup_leaves_first_and_own_texts(spark):
         assert "third sentence" not in got[k].text and f"Own start number {k}" in got[k].text and f"of {k}." in got[k].text
 
 
-def test_substring_dedup_keeps_other_columns(odd, empty):
+def test_substring_dedup_keeps_other_columns(spark, odd, empty):
     assert substring_dedup.dedup(odd).columns == [*odd.columns, "removed"]
     assert substring_dedup.dedup(empty).collect() == []
 
 
+def test_any_passage_of_51_words_has_a_run_wherever_it_stands():
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(500)]
+    marks = ["", "", "", "", "", "", "", "", "", "."]
+    for trial in range(1500):
+        end = (lambda: r.choice(marks)) if trial % 2 else (lambda: "")
+        some = lambda n: [r.choice(vocabulary) + end() for _ in range(n)]  # noqa: E731, B023
+        passage = some(51)
+        texts = [" ".join([*some(r.randrange(3, 90)), *passage, *some(r.randrange(3, 90))]).encode() for _ in range(2)]
+        doc, h, _, _ = substring_dedup.runs_of(texts)
+        assert set(h[doc == 0].tolist()) & set(h[doc == 1].tolist()), texts
+
+
 # --- 7: media
 
 

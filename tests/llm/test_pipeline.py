@@ -38,7 +38,7 @@ def test_each_stage(spark, tmp_path):
     assert {i for i, _ in known} == {i for i, *_ in documents()} - {300, 301, 302}
     kept = [(r.doc_id, r.text) for r in seen["ngram_jaccard"]]
     assert {i for i, _ in kept} == {c for _, c in brute.jaccard_components(known).values()}
-    want = [(i, t) for i, t in T.brute_dedup(sorted(kept)) if t.strip()]
+    want = [(i, t) for i, t in brute.substring_dedup(sorted(kept)) if t.strip()]
     assert sorted((r.doc_id, r.text) for r in seen["substring_dedup"]) == want
     words = {}
     for r in seen["mixing"]:
