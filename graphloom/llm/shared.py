@@ -78,19 +78,24 @@ def bitmap(keys: DataFrame, key: str, bits: int = 1 << 25) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: str, bits_of: DataFrame, bits: int = 1 << 25) -> DataFrame:
-    """Rows of ``df`` whose key may be in the bitmap.  The broadcast has a fixed bound: 4 MiB."""
+def maybe(df: DataFrame, key: str, bits_of: DataFrame, bits: int = 1 << 25) -> DataFrame:
+    """``df`` with ``_maybe``: false where the key is surely not in the bitmap.  The broadcast has a fixed bound: 4 MiB."""
     at = F.pmod(F.xxhash64(key), F.lit(bits))
     return (
         df.withColumn("_at", at)
         .withColumn("_bucket", F.expr("bitmap_bucket_number(_at)"))
         .withColumn("_bit", F.expr("bitmap_bit_position(_at)"))
-        .join(F.broadcast(bits_of), "_bucket")
-        .where(F.expr("(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) >> cast(_bit % 8 as int)) % 2 = 1"))
+        .join(F.broadcast(bits_of), "_bucket", "left")
+        .withColumn("_maybe", F.expr("coalesce((conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) >> cast(_bit % 8 as int)) % 2 = 1, false)"))
         .drop("_at", "_bucket", "_bit", "_bits")
     )
 
 
+def maybe_in(df: DataFrame, key: str, bits_of: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in the bitmap."""
+    return maybe(df, key, bits_of).where("_maybe").drop("_maybe")
+
+
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
     """(id, root) of every vertex of ``edges`` (a, b): root is the least id of its component.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import _bytes
-from graphloom.llm.shared import Tables, partitions
+from graphloom.llm.shared import Tables, bitmap, maybe, partitions
 
 SENTENCES, MIN_WORDS, LONG = 3, 20, 8
 #: Text of a tile, and text for each block of hash space.
@@ -176,7 +176,7 @@ def _tiles(blocks: int, sentences: int, min_words: int, long: int, tile_bytes: i
             no, size = no + 1, 0
             docs.clear(), runs.clear(), seen.clear()
 
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             keys, prints = batch.column("doc_id").to_pylist(), batch.column("print").to_pylist()
             for start, texts in _bytes.slices([b or b"" for b in batch.column("text").to_pylist()]):
                 doc, h, a, b = runs_of(texts, sentences, min_words, long)
@@ -214,6 +214,8 @@ def _later(table: pa.Table) -> pa.Table:
     gone = gone[np.lexsort((idx[gone], row[gone]))]
     cut = np.searchsorted(row[gone], np.arange(len(parts) + 1))
     out = [_pack(*(c[gone[cut[k] : cut[k + 1]]].astype("<u4") for c in (idx, a, b))) for k in range(len(parts))]
+    del parts, h, idx, ids, a, b, row, order, first, lead, gone
+    _bytes.trim()
     return pa.table({"tile": pa.array(tiles, pa.int64()), "data": pa.array(out, pa.binary())})
 
 
@@ -224,35 +226,17 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.table({"tile": pa.array([table.column("tile")[0].as_py()] * len(docs), pa.int64()), "idx": pa.array(docs.astype(np.int32)), "far": spans})
 
 
-def _cut(width: int):
-    def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(width), batch.column(width + 1)
-            made, gone = [], []
-            for text, own in zip(texts, spans, strict=True):
-                own = own.as_py()
-                if not own or text.as_py() is None:
-                    made.append(text.as_py()), gone.append([])
-                    continue
-                raw, out, at, cuts = text.as_py(), [], 0, []
-                for s in sorted(own, key=lambda s: s["a"]):
-                    if cuts and s["a"] <= cuts[-1]["b"]:
-                        cuts[-1]["b"] = max(cuts[-1]["b"], s["b"])
-                    else:
-                        cuts.append({"a": s["a"], "b": s["b"]})
-                for s in cuts:
-                    out.append(raw[at : s["a"]])
-                    at = s["b"]
-                out.append(raw[at:])
-                made.append(b"".join(out)), gone.append(cuts)
-            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(width)), pa.array(made, pa.binary()), pa.array(gone, kind)], names=[*batch.schema.names[:width], "_text", "removed"])
-
-    return run
+def _joined(batches):
+    """Ranges of each document that meet made one, in order."""
+    for batch in batches:
+        spans = batch.column("spans")
+        each, size = spans.flatten(), np.diff(np.asarray(spans.offsets))
+        _, made = _merged(np.repeat(np.arange(batch.num_rows), size), np.asarray(each.field("a")), np.asarray(each.field("b")))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), made], names=["doc_id", "print", "spans"])
 
 
 def repeated_spans(docs: DataFrame, *, sentences: int = SENTENCES, min_words: int = MIN_WORDS, long: int = LONG, tile_bytes: int = TILE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, print, spans): byte ranges of non-first repeated runs, for each text that has any.
+    """(doc_id, print, spans): byte ranges of non-first repeated runs, in order and apart, for each text that has any.
 
     A text is known by doc_id and the hash of its bytes, so rows that repeat both count once.  Runs repeated inside
     a tile of documents are found in its task; of each run the tile sends its first occurrence, packed, to the run's block of
@@ -268,7 +252,8 @@ def repeated_spans(docs: DataFrame, *, sentences: int = SENTENCES, min_words: in
     every = first.where("kind = 0").select("tile", "idx", "doc_id", "print", "spans").join(later, ["tile", "idx"], "left")
     none = F.array().cast("array<struct<a:int,b:int>>")
     every = every.select("doc_id", "print", F.concat(F.coalesce("spans", none), F.coalesce("far", none)).alias("spans")).where(F.size("spans") > 0)
-    out = tables.write(every.groupBy("doc_id", "print").agg(F.flatten(F.collect_set("spans")).alias("spans")), "repeated")
+    every = every.groupBy("doc_id", "print").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    out = tables.write(every.mapInArrow(_joined, "doc_id long, print long, spans array<struct<a:int,b:int>>"), "repeated")
     tables.drop("spans")
     tables.release()
     return out
@@ -279,14 +264,23 @@ def dedup(docs: DataFrame, **options) -> DataFrame:
 
     ``options`` are those of ``repeated_spans``.  ``removed`` is an array of the byte ranges (a, b) of the original text that went.  Ties: of equal runs the
     one least by (doc_id, place) is the first, both of rows that share the doc_id; a null doc_id comes last.  Null texts
-    stay null, empty ones empty; texts too short for a run are untouched; rows that repeat are cut alike.
-    A column named ``removed`` is replaced.
+    stay null, empty ones empty; texts too short for a run are untouched; rows that repeat are cut alike; an empty table gives an empty one.
+    A column named ``removed`` is replaced; others may have any name.
+
+    Texts that may have a range, by a bitmap of fixed size, are joined with their ranges and cut by expressions; the others aren't moved.
     """
     columns = [c for c in docs.columns if c != "removed"]
-    rest = [c for c in columns if c != "text"]
-    spans = repeated_spans(docs, **options).withColumnsRenamed({"doc_id": "_doc", "print": "_print"})
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_print")), "left")
-    kinds = docs.select(*rest).schema
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kinds) + "_text binary, removed array<struct<a:int,b:int>>"
-    cut = joined.select(*rest, F.col("text").cast("binary").alias("_text"), "spans").mapInArrow(_cut(len(rest)), ddl)
-    return cut.withColumn("text", F.col("_text").cast("string")).select(*columns, "removed")
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    spans = repeated_spans(docs, **options).select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "spans")
+    rest = F.struct(F.lit(0).alias("_"), *[own(c).alias(f"c{k}") for k, c in enumerate(columns) if c != "text"])
+    rows = docs.select(rest.alias("_row"), F.col("text").cast("binary").alias("_text"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_of"))
+    rows = rows.withColumn("_key", F.xxhash64("_id", "_of"))
+    rows = maybe(rows, "_key", bitmap(spans.select(F.xxhash64("_doc", "_print").alias("_key")), "_key"))
+    hit = rows.where("_maybe").join(spans, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_of") == F.col("_print")), "left").select("_row", "_text", "spans")
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    every = hit.unionByName(rows.where("not _maybe").select("_row", "_text", none.alias("spans")))
+    start = "if(i = 0, 0, spans[i - 1].b)"
+    kept = F.expr(f"array_join(transform(sequence(0, size(spans)), i -> cast(substring(_text, {start} + 1, if(i = size(spans), octet_length(_text), spans[i].a) - {start}) as string)), '')")
+    text = F.when(F.size(F.coalesce("spans", none)) > 0, kept).otherwise(F.col("_text").cast("string"))
+    made = [(text if c == "text" else F.col("_row")[f"c{k}"]).alias(c) for k, c in enumerate(columns)]
+    return every.select(*made, F.coalesce("spans", none).alias("removed"))

@@ -192,6 +192,12 @@ def test_substring_dedup_leaves_first_and_own_texts(spark):
 def test_substring_dedup_keeps_other_columns(spark, odd, empty):
     assert substring_dedup.dedup(odd).columns == [*odd.columns, "removed"]
     assert substring_dedup.dedup(empty).collect() == []
+    names = ["spans", "_doc", "_print", "_text", "_row", "_id", "_of", "_key", "_maybe", "_at", "_bits", "a.b"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in passages()]
+    clash = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = substring_dedup.dedup(clash)
+    assert got.columns == [*clash.columns, "removed"]
+    assert sorted(map(str, ((r[0], *r[2:-1]) for r in got.collect()))) == sorted(map(str, ((r[0], *r[2:]) for r in rows)))
 
 
 def test_any_passage_of_51_words_has_a_run_wherever_it_stands():
