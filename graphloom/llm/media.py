@@ -40,7 +40,7 @@ def encode(payload: bytes) -> bytes:
     raw = np.zeros((len(rows), ROW + 1), np.uint8)
     raw[:, 1:] = rows
     head = struct.pack(">IIBBBBB", SIDE, len(rows), 8, 2, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(raw.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def decode(media: bytes) -> bytes:
