@@ -1,6 +1,6 @@
 """Language ID: nearest of several centroids per language, by cosine of TF-IDF n-gram vectors.
 
-A text's vector counts its byte n-grams of one to four bytes (letters folded to lower case,
+A text's vector counts its byte n-grams of two to four bytes (letters folded to lower case,
 everything but letters one blank) in a fixed number of hashed dimensions, damped, weighted by
 the fit's document frequencies and normalised.  Each language's fit vectors are clustered by
 spherical k-means; a text takes the language of its nearest centroid.  A text farther from
@@ -15,20 +15,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm import _bytes
 from graphloom.shipping import ship
 
-DIMS = 1 << 13
-#: Bounds of the fit: labelled rows per language and in all, languages, and bytes of a fit text.
-FIT_ROWS, FIT_TOTAL, LANGUAGES, FIT_BYTES = 300, 6000, 200, 8_000
+BITS = 13
+DIMS = 1 << BITS
+#: Bounds of the fit: distinct labelled texts per language, and in all (each language has one at least).
+FIT_ROWS, FIT_TOTAL = 300, 6000
+#: Bytes of a text whose n-grams are counted at a time.
+STEP = 1 << 20
 CENTROIDS = 3
 #: The fit's own similarities, scaled by this much, give the rejection bound.
 SLACK = 0.5
 #: Texts of fewer bytes are held to a bound lower in proportion.
 FULL_BYTES = 512
 
-_FOLD = np.full(256, 32, np.uint64)
+_FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -58,17 +62,15 @@ def _counts(text: bytes) -> np.ndarray:
     keep = np.ones(len(b), bool)
     keep[1:] = (b[1:] != 32) | (b[:-1] != 32)
     b = b[keep]
-    out = np.zeros(DIMS, np.float32)
-    code = np.zeros(len(b), np.uint64)
-    for k in range(4):
-        if len(b) <= k:
-            break
-        code = code[: len(b) - k] * np.uint64(257) + b[k:]
-        if k == 0:
-            continue
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 13)).view(np.int64)
-        out += np.bincount(slot, minlength=DIMS)
-    return out
+    out = np.zeros(DIMS, np.int64)
+    for at in range(0, len(b), STEP):
+        part = b[at : at + STEP + 3].astype(np.uint64)
+        code = part
+        for k in (1, 2, 3):
+            code = code[: max(0, min(STEP, len(part) - k))]
+            code = code * np.uint64(257) + part[k : k + len(code)]
+            out += np.bincount(((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).view(np.int64), minlength=DIMS)
+    return out.astype(np.float32)
 
 
 def vectors(texts: list[bytes], idf: np.ndarray | None) -> np.ndarray:
@@ -83,27 +85,42 @@ def vectors(texts: list[bytes], idf: np.ndarray | None) -> np.ndarray:
     return rows
 
 
-def fit(labelled: DataFrame, *, rows: int = FIT_ROWS, centroids: int = CENTROIDS, languages: int = LANGUAGES, slack: float = SLACK) -> Model:
+def _packed(batches):
+    """Damped counts of each whole text, as the numbers of its dimensions and their values."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            rows = [(np.flatnonzero(v), v) for v in vectors([bytes(x.as_py()) for x in part.column(1)], None)]
+            packed = [pa.array(x, pa.binary()) for x in ([i.astype("<u2").tobytes() for i, _ in rows], [v[i].astype("<f4").tobytes() for i, v in rows])]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *packed], names=["lang", "o", "at", "value"])
+    _bytes.trim()
+
+
+def fit(labelled: DataFrame, *, rows: int = FIT_ROWS, total: int = FIT_TOTAL, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
     """Fit on a bounded sample of ``labelled`` (text, lang): of each language, the ``rows`` texts first by hash
-    (fewer where that would be over FIT_TOTAL in all).
+    (fewer where that would be over ``total`` in all, but one at least).
 
-    Null texts, null languages and texts without a letter teach nothing; the ``languages`` most
-    frequent are learnt.  Without any labelled row the model is empty and predicts nothing.
+    Null texts, null languages and texts without a letter teach nothing; every other language is learnt, so the model
+    grows with their number (some 100 kB a language).  Texts are counted whole, in the tasks; the driver gets
+    their vectors.  Without any labelled row the model is empty and predicts nothing.  Other columns are ignored.
     """
-    known = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    ship(labelled.sparkSession)
+    known = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     order = F.xxhash64("text", F.lit(7))
     # all copies of a text have one hash, so the texts are counted, not the rows
-    most = known.groupBy("lang").agg(F.count(F.lit(1)).alias("count"), F.approx_count_distinct(order).alias("texts")).orderBy(F.desc("count"), "lang").limit(languages).cache()
-    rows = min(rows, FIT_TOTAL // max(1, most.count()))
+    most = [(r["lang"], r["texts"]) for r in known.groupBy("lang").agg(F.approx_count_distinct(order).alias("texts")).collect()]
+    rows = max(1, min(rows, total // max(1, len(most))))
     # a hash range that holds about four times the rows wanted, then the least hashes of those
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("texts"))
-    use = known.select("lang", "text", order.alias("o")).join(F.broadcast(most), "lang").where(F.col("o") < (share * 2 - 1) * F.lit(float(1 << 63)))
-    use = use.select("lang", "o", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).alias("text")).distinct()
+    wanted = max(4.0 * rows, 100.0)  # so many that a language has none of its texts in the range only by odds of e^-100
+    most = labelled.sparkSession.createDataFrame([(name, min(1.0, wanted / max(1, n))) for name, n in most], "lang string, share double")
+    use = known.select("lang", "text", order.alias("o")).join(F.broadcast(most), "lang").where(F.col("o") <= (F.col("share") * 2 - 1) * F.lit(float(1 << 63)))
+    use = use.select("lang", F.col("text").cast("binary").alias("text"), "o").distinct()
     few = use.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))).where(F.col("r") <= rows)
-    sample = few.select("lang", "text").toPandas().sort_values(["lang", "text"])
-    most.unpersist()
+    sample = few.select("lang", "text", "o").mapInArrow(_packed, "lang string, o long, at binary, value binary").toPandas().sort_values(["lang", "o", "at", "value"])
     names = sorted(sample["lang"].unique())
-    raw = vectors([bytes(x) for x in sample["text"]], None)
+    raw = np.zeros((len(sample), DIMS), np.float32)
+    for i, (at, value) in enumerate(zip(sample["at"], sample["value"], strict=True)):
+        raw[i, np.frombuffer(at, "<u2")] = np.frombuffer(value, "<f4")
     idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     raw *= idf
     raw /= np.maximum(np.sqrt(np.einsum("ij,ij->i", raw, raw)), 1e-9)[:, None]
@@ -133,34 +150,39 @@ def _cluster(x: np.ndarray, k: int, turns: int = 12) -> np.ndarray:
     return c.astype(np.float32)
 
 
-_OUT = "lang_pred string, score double, rejected boolean"
+_OUT = StructType().add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
 
 def identify(docs: DataFrame, model: Model, *, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of ``docs`` with lang_pred, score and rejected, from the whole of column ``text``.
 
     ``und`` with score 0, rejected: null texts, texts without a letter, and any text if the model is
-    empty.  The model (a few centroids per learnt language, at most LANGUAGES) is shipped with the tasks.
-    Columns named lang_pred, score or rejected in ``docs`` are ignored; repeated rows repeat.
+    empty.  The model (a few centroids per learnt language) is broadcast to the workers.
+    Columns of other names are ignored, also those named lang_pred, score or rejected; repeated rows repeat; an empty table gives an empty one.
     """
-    ship(docs.sparkSession)
-    schema = docs.select(*keep).schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", " + _OUT
-    names = keep + ["lang_pred", "score", "rejected"]
+    spark = docs.sparkSession
+    ship(spark)
+    shipped, n = spark.sparkContext.broadcast(model), len(keep)
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    schema = StructType([*docs.select(*own).schema, *_OUT])
+    names = [*keep, *_OUT.names]
+    at = keep.index("text") if "text" in keep else n + 1
 
     def run(batches):
-        for batch in batches:
-            texts, has = batch.column("_text").to_pylist(), np.array(batch.column("_has").to_pylist(), bool)
-            lang = np.full(len(texts), -1)
-            score, off = np.zeros(len(texts)), np.ones(len(texts), bool)
+        model = shipped.value
+        for batch in (b.slice(k, 64) for b in batches for k in range(0, b.num_rows, 64)):
+            column = batch.column(at)
+            texts, has = column.cast(pa.binary()), np.array(batch.column(n).to_pylist(), bool)
+            lang = np.full(batch.num_rows, -1)
+            score, off = np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             if model.languages:
-                at = np.flatnonzero(has)
-                for start in range(0, len(at), 64):
-                    some = at[start : start + 64]
-                    for first, part in _bytes.slices([texts[i] for i in some], 8 << 20):
-                        put = some[first : first + len(part)]
-                        lang[put], score[put], off[put] = model.predict(part)
+                some = np.flatnonzero(has)
+                for first, part in _bytes.slices([texts[i].as_py() for i in some], 8 << 20):
+                    put = some[first : first + len(part)]
+                    lang[put], score[put], off[put] = model.predict(part)
             called = [model.languages[k] if k >= 0 else "und" for k in lang]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(called, pa.string()), pa.array(score), pa.array(off)], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n)), pa.array(called, pa.string()), pa.array(score), pa.array(off)], names=names)
+        _bytes.trim()
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text"), F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_has")).mapInArrow(run, ddl)
+    has = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("_has")
+    return docs.select(*[c.alias(f"c{k}") for k, c in enumerate(own)], has, *([] if at < n else [F.col("text").cast("binary").alias("_text")])).mapInArrow(run, schema)

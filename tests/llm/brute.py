@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -143,3 +144,28 @@ def conversation(rows):
     told = "".join(f"{r or ''}\n{t or ''}\n" for _, r, t in rows)
     loss = "".join(t or "" for _, r, t in rows if r == "assistant")
     return len(rows), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def ngram_counts(text, bits=13):
+    """Occurrences in each hashed dimension of byte n-grams of two to four bytes, letter runs parted by one blank."""
+    folded = bytearray()
+    for c in b" " + text.encode() + b" ":
+        c = c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32
+        if c != 32 or not folded or folded[-1] != 32:
+            folded.append(c)
+    out = [0] * (1 << bits)
+    for k in (2, 3, 4):
+        for i in range(len(folded) - k + 1):
+            code = 0
+            for c in folded[i : i + k]:
+                code = code * 257 + c
+            out[(code * 0x9E3779B97F4A7C15 % 2**64) >> (64 - bits)] += 1
+    return out
+
+
+def nearest(text, model):
+    """(language, cosine) of the nearest centroid, one product after another."""
+    v = [math.log1p(c) * float(w) for c, w in zip(ngram_counts(text), model.idf, strict=True)]
+    size = math.sqrt(sum(x * x for x in v)) or 1.0
+    near = [sum(x * float(y) for x, y in zip(v, c, strict=True)) / size for c in model.centroids]
+    return model.languages[model.owner[near.index(max(near))]], max(near)

@@ -146,18 +146,43 @@ def test_mixing_places_follow_the_schedule(spark):
     assert [area(v) for v in c] == pytest.approx([0.0, 0.25, 0.625, 1.0], abs=1e-9)
 
 
-def test_mixing_takes_rows(spark):
-    rows = [(k, prose(k, 20), "a" if k < 30 else "b", "x") for k in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
-    plan = {r.doc_id: r.taken for r in mixing.mix(df.drop("size")).collect()}
-    got = mixing.take(df.drop("size")).collect()
+def test_mixing_takes_rows_of_any_columns(spark):
+    names = ["size", "position", "ticket", "taken", "turn", "_id", "_row", "_words", "c0", "at", "a.b", "of"]
+    rows = [(k, prose(k, 20), "a" if k < 30 else "b", *(f"{n}{k}" for n in names)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    plan = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
+    got = mixing.take(df)
+    assert got.columns == df.columns
     words = {}
-    for r in got:
+    for r in got.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())
-        assert prose(r.doc_id, 20).startswith(r.text.strip())
+        assert prose(r.doc_id, 20).startswith(r.text.strip()) and tuple(r[3:]) == rows[r.doc_id][3:]
     assert words == {k: v for k, v in plan.items() if v}
 
 
+@pytest.mark.parametrize("bucket", [2, 2048])
+def test_mixing_of_very_many_equal_rows(spark, bucket):
+    rows = [(None, "one two three", "a", k) for k in range(300)] + [(7, "four five", "a", 1000 + k) for k in range(200)] + [(k, prose(k, 9), "ab"[k % 2], k) for k in range(100)] + [(None, "six", "a", 0), (None, None, None, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long").repartition(5)
+    got = mixing.mix(df, bucket=bucket).collect()
+    # the plain prefix sums over the same order
+    sizes, at = {}, {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want, told = brute.mix_targets(sizes), []
+    order = lambda r: (int(hashlib.md5(f"{'' if r[0] is None else r[0]}|{r[1] or ''}|11".encode()).hexdigest()[:15], 16), r[0] is not None, r[0] or 0)
+    for i, t, s, _ in sorted(rows, key=order):
+        n, goal = len((t or "").split()), int(want[s] + 0.5)
+        whole = goal // max(1, sizes[s])
+        told.append((i, s, n, whole * n + max(0, min(n, goal - whole * sizes[s] - at.get(s, 0)))))
+        at[s] = at.get(s, 0) + n
+    assert sorted(map(str, told)) == sorted(str((r.doc_id, r.source, r.size, r.taken)) for r in got)
+    words = {}
+    for r in mixing.take(df, bucket=bucket).collect():
+        words[r.source] = words.get(r.source, 0) + len(r.text.split())
+    assert words == {s: sum(x[3] for x in told if x[1] == s) for s in ("a", "b")}
+
+
 def test_mixing_of_odd_and_empty(odd, empty):
     got = mixing.mix(odd).collect()
     assert len(got) == len(odd_rows()) and all(r.taken <= 2 * r.size for r in got)
@@ -275,6 +300,30 @@ def test_language_id_on_held_out_texts(spark):
     assert language_id.identify(noise, model, keep=["doc_id"]).first().rejected
 
 
+def test_language_id_as_plain_cosines(spark, monkeypatch):
+    texts = [t for _, t in odd_rows() if t] + ["Ünïcode ÅÄÖ and plain", "a"]
+    monkeypatch.setattr(language_id, "STEP", 7)
+    for t in texts[:14]:
+        assert language_id._counts(t.encode()).tolist() == brute.ngram_counts(t)
+    monkeypatch.undo()
+    assert all(language_id._counts(t.encode()).tolist() == brute.ngram_counts(t) for t in texts)
+    rows = [(sentences_of(lang, k), lang) for lang in SAMPLES for k in range(12)]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    new = [(k, sentences_of(lang, 700 + k, 9) + " " + prose(k, 5)) for k, lang in enumerate([*SAMPLES] * 4)]
+    for r in language_id.identify(spark.createDataFrame(new, "doc_id long, text string"), model, keep=["text"]).collect():
+        lang, score = brute.nearest(r.text, model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
+def test_language_id_of_any_columns_and_very_long_texts(spark):
+    rows = [(lang, " ".join(sentences_of(lang, k) for k in range(n))) for lang in SAMPLES for n in (1, 2, 3, 2000)]
+    model = language_id.fit(spark.createDataFrame(rows, "lang string, text string"))
+    names = ["lang_pred", "score", "_text", "_has", "a.b"]
+    df = spark.createDataFrame([(lang, t, *names) for lang, t in rows], "lang string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = language_id.identify(df, model, keep=["_text", "text", "_has", "a.b", "lang"]).collect()
+    assert [r.lang for r in got] == [r.lang_pred for r in got] and {(r._text, r._has, r["a.b"]) for r in got} == {("_text", "_has", "a.b")} and sorted(r.text for r in got) == sorted(t for _, t in rows)
+
+
 def test_language_id_und_and_empty(spark, odd, empty):
     model = language_id.fit(spark.createDataFrame([("abc def", "en"), (None, "fr"), ("12", "de"), ("x", None)], "text string, lang string"))
     assert model.languages == ["en"]
