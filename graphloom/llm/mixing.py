@@ -18,10 +18,8 @@ from graphloom.llm.shared import Tables
 WEIGHTS, SHARE, PASSES = (3.0, 1.0, 2.0), 1.5, 2
 #: Schedules dealt the same way: weight factor at progress 0, 1/2 and 1.  Their integral is 1, so the weights hold on average.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
-#: Documents of a bucket of the two-level prefix sums.
-BUCKET = 2048
-#: The table of sources is broadcast up to so many rows, and joined by shuffle beyond.
-SMALL = 20_000
+#: Documents of a bucket of the two-level prefix sums; buckets of more than CROWD times as many hold repeated rows.
+BUCKET, CROWD = 2048, 4
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -72,60 +70,81 @@ def place(fraction: Column, schedule: Column) -> Column:
     return F.least(F.lit(1.0), F.when(need <= left, solve(a, b, need)).otherwise(0.5 + solve(b, c, need - left)))
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, base: int = 0, schedules=SCHEDULES, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, position, ticket.
+def _ahead(rows: DataFrame, plan: DataFrame, bucket: int) -> DataFrame:
+    """``rows`` (_id, doc_id, source, size, ticket) with their source's row of ``plan`` and ``at``: the words before them, by (ticket, doc_id, _id).
 
-    ``taken`` counts the words that the mix takes of the document, repeats counted, at most ``passes`` * size: all of it
-    for each whole pass, and of the last pass whatever lies below the source's target, to the word.
-    ``base`` whole passes over every source come first, and only what is over them is shared by weight.
-    ``position`` is the training progress of its first word (null if none is taken); rows are sorted by it.
-    Order within a source is ``ticket``, a hash of doc_id and text, so reruns agree; rows equal in both tie and take their turns.
-    A null source is a source of its own, null and wordless texts have size 0 and are never taken.
+    Prefix sums of two levels: over the buckets of a source, then inside a bucket.  Rows that repeat share a ticket, and very
+    many of them a bucket; they are numbered within the partitions of the table that _id tells, and sums over
+    those partitions come between, so no task sees them all.
     """
-    tables = Tables(docs.sparkSession)
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
-    rows = tables.write(rows, "sizes")  # the texts are read once
+    x = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    x = x.withColumn("b", F.floor(F.shiftright("ticket", 29) * F.col("buckets") / F.lit(1 << 31)).cast("long"))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = lambda c, w: F.coalesce(F.sum(c).over(upto(w)), F.lit(0))
+    heads = x.groupBy("ordinal", "b").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+    heads = heads.select("ordinal", "b", "n", sums("words", Window.partitionBy("ordinal").orderBy("b")).alias("before"))
+    x = x.join(heads, ["ordinal", "b"])
+    few = x.where(F.col("n") <= CROWD * bucket).withColumn("at", F.col("before") + sums("size", Window.partitionBy("ordinal", "b").orderBy("ticket", "doc_id", "_id")))
+    many = x.where(F.col("n") > CROWD * bucket).withColumn("part", F.shiftright("_id", 33)).withColumn("known", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("null", F.col("doc_id").isNull())
+    same = ["ordinal", "b", "ticket", "null", "known", "part"]
+    starts = many.groupBy(*same).agg(F.sum("size").alias("words"))
+    starts = starts.select(*same, sums("words", Window.partitionBy("ordinal", "b").orderBy("ticket", F.desc("null"), "known", "part")).alias("start"))
+    many = many.join(starts, same).withColumn("at", F.col("before") + F.col("start") + sums("size", Window.partitionBy(*same).orderBy("_id")))
+    return few.unionByName(many.select(*few.columns))
+
+
+def _planned(tables: Tables, rows: DataFrame, weights: tuple[float, ...], share: float, passes: int, base: int, schedules, bucket: int) -> DataFrame:
+    """``rows`` with source_size, target, taken and position."""
     per = tables.write(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), "sources")
     plan = targets(per.select("source", "source_size"), weights=weights, share=share - base, passes=passes - base)
     plan = plan.withColumn("target", F.col("target") + base * F.col("source_size"))
     plan = plan.join(per.select(F.col("source").alias("other"), "n"), F.col("source").eqNullSafe(F.col("other")))
-    plan = plan.select(F.col("source").alias("of"), "source_size", "ordinal", "target", F.ceil(F.col("n") / bucket).cast("long").alias("buckets"))
-    if per.count() <= SMALL:
-        plan = F.broadcast(plan)
-    x = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    x = x.withColumn("b", F.floor(F.shiftright("ticket", 29) * F.col("buckets") / F.lit(1 << 31)).cast("long"))
-    # two-level prefix sums: over the buckets of a source, then inside a bucket
-    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    heads = x.groupBy("ordinal", "b").agg(F.sum("size").alias("words"))
-    heads = heads.select("ordinal", "b", F.coalesce(F.sum("words").over(upto(Window.partitionBy("ordinal").orderBy("b"))), F.lit(0)).alias("before"))
-    inside = F.sum("size").over(upto(Window.partitionBy("ordinal", "b").orderBy("ticket", "doc_id")))
-    x = x.withColumn("inside", F.coalesce(inside, F.lit(0))).join(heads, ["ordinal", "b"])
-    at = F.col("before") + F.col("inside")
+    # written, so that its size is known where it is joined
+    plan = tables.write(plan.select(F.col("source").alias("of"), "source_size", "ordinal", "target", F.ceil(F.col("n") / bucket).cast("long").alias("buckets")), "plan")
+    x = _ahead(rows, plan, bucket)
     goal = F.round("target").cast("long")
     whole = F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")
-    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), goal - whole * F.col("source_size") - at))
+    taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), goal - whole * F.col("source_size") - F.col("at")))
     deal = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in schedules])
     x = x.withColumn("taken", taken.cast("long"))
-    progress = place(at / F.greatest(F.col("target"), F.lit(1.0)), F.get(deal, F.col("ordinal") % len(schedules)))
-    x = x.withColumn("position", F.when(F.col("taken") > 0, progress))
-    return x.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "ticket").orderBy(F.col("position").asc_nulls_last(), "doc_id", "ticket")
+    progress = place(F.col("at") / F.greatest(F.col("target"), F.lit(1.0)), F.get(deal, F.col("ordinal") % len(schedules)))
+    return x.withColumn("position", F.when(F.col("taken") > 0, progress)).select("_id", "doc_id", "source", "size", "source_size", "target", "taken", "position", "ticket")
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, base: int = 0, schedules=SCHEDULES, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, position, ticket.
+
+    ``taken`` counts the words that the mix takes of the document, repeats counted, at most ``passes`` * size: all of it
+    for each whole pass, and of the last pass whatever lies below the source's target, to the word.
+    ``base`` whole passes over every source come first, and only what is over them is shared by weight.
+    ``position`` is the training progress of its first word (null if none is taken); rows are sorted by it.
+    Order within a source is ``ticket``, a hash of doc_id and text, so reruns agree; rows equal in both tie and take their turns.
+    A null source is a source of its own, null and wordless texts have size 0 and are never taken; an empty table gives an
+    empty mix; other columns, whatever their names, are ignored.
+    """
+    tables = Tables(docs.sparkSession)
+    rows = docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket"))
+    x = _planned(tables, tables.write(rows, "sizes"), weights, share, passes, base, schedules, bucket)  # the texts are read once
+    return x.orderBy(F.col("position").asc_nulls_last(), "doc_id", "ticket", "_id").drop("_id")
 
 
-def take(docs: DataFrame, *, seed: int = 11, **options) -> DataFrame:
+def take(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, passes: int = PASSES, base: int = 0, schedules=SCHEDULES, seed: int = 11, bucket: int = BUCKET) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, each once per pass that takes it, sorted by position.
 
-    Of the one document per source and pass at which the target is met, the text ends with the last word taken.
+    Of the one document per source and pass at which the target is met, the text ends with the last word taken.  Nulls, ties,
+    repeated rows and empty tables are as in ``mix``; columns may have any name.
     """
-    plan = mix(docs, seed=seed, **options).select("doc_id", "ticket", "size", "taken", "position")
-    # rows equal in doc_id and text are told apart by their turn; joined by ticket alone, each side is dealt out once
-    turn = lambda k: F.row_number().over(Window.partitionBy(k).orderBy("doc_id"))
-    plan = plan.withColumn("turn", turn("ticket")).drop("doc_id")
-    own = docs.withColumn("_ticket", ticket(seed)).withColumn("_turn", turn("_ticket"))
-    x = own.join(plan, (F.col("_ticket") == F.col("ticket")) & (F.abs(F.col("_turn") - F.col("turn")) < 1))
-    passes = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> least(size, taken - (k - 1) * size))")
-    x = x.where("taken > 0")
+    tables, names = Tables(docs.sparkSession), docs.columns
+    own = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    row = F.struct(F.lit(0).alias("_"), *[own(c).alias(f"c{k}") for k, c in enumerate(names) if c != "text"])
+    # rows are numbered in a written copy, by which each meets its plan: rows that repeat are rows of their own
+    kept = tables.write(docs.select(F.monotonically_increasing_id().alias("_id"), "doc_id", "source", "text", row.alias("_row")), "rows")
+    rows = tables.write(kept.select("_id", "doc_id", "source", words(F.col("text")).alias("size"), ticket(seed).alias("ticket")), "sizes")
+    plan = _planned(tables, rows, weights, share, passes, base, schedules, bucket).where("taken > 0").select("_id", "size", "taken", "position")
+    x = kept.join(plan, "_id")
     # sorted before the passes are dealt out: a document's passes stay together and its text is moved once
-    x = x.orderBy("position", "doc_id").withColumn("_words", F.explode(passes))
+    turns = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> least(size, taken - (k - 1) * size))")
+    x = x.orderBy("position", "doc_id", "_id").withColumn("_words", F.explode(turns))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit("(?:^[\\x20\\x09-\\x0D]+)?[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    x = x.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    return x.select(*docs.columns)
+    text = F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text"))
+    return x.select(*[(text if c == "text" else F.col("_row")[f"c{k}"]).alias(c) for k, c in enumerate(names)])
