@@ -1,18 +1,21 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A fingerprint holds every distinct shingle hash below a fixed share of hash space.  Fingerprints
-of parts merge by union, and the share of common hashes estimates Jaccard likeness and, between
-very unequal documents, containment.
+A fingerprint holds every distinct shingle hash below a fixed share of hash space, and only those, beside a sum that
+names the whole set.  Fingerprints of parts merge by union, and the share of common hashes estimates Jaccard likeness
+and, between very unequal documents, containment.  A set of n shingles keeps none with odds of (1 - share) ** n: under
+some 20 shingles the estimates are rough, and where nothing is kept only equal sets are known to be alike.
 """
 
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from graphloom.llm import _bytes
 from graphloom.llm.shared import partitions
@@ -23,55 +26,71 @@ WIDTH = 5
 SHARE = 1 / 4
 
 
-def sketches(texts: list[bytes], width: int = WIDTH, share: float = SHARE) -> list[np.ndarray]:
-    """Sorted kept hashes of each text.  A text none of whose hashes falls below the bound keeps its least."""
+class Sketch(NamedTuple):
+    kept: np.ndarray  # sorted hashes below the bound
+    total: int  # sum that names the whole set: 0 for a set without shingles, -1 where it isn't known
+
+
+def sketches(texts: list[bytes], width: int = WIDTH, share: float = SHARE) -> list[Sketch]:
+    """The sketch of each text."""
     out = []
     bound = np.uint64(min(int(share * 2.0**64), 2**64 - 1))
     for _, part in _bytes.slices(texts):
         h, b = _bytes.shingle_sets(part, width)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_bytes.mix(h))))
+        totals = ((sums[b[1:]] - sums[b[:-1]]) >> np.uint64(1)).tolist()
         for i in range(len(part)):
             own = h[b[i] : b[i + 1]]
-            out.append(own[: max(int(np.searchsorted(own, bound)), min(1, len(own)))])
+            out.append(Sketch(own[: int(np.searchsorted(own, bound))].copy(), totals[i]))
     return out
 
 
-def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.union1d(a, b)
+def merge(a: Sketch, b: Sketch) -> Sketch:
+    """The sketch of both sets' union."""
+    total = a.total if b.total in (0, a.total) else b.total if a.total == 0 else -1
+    return Sketch(np.union1d(a.kept, b.kept), total)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard likeness; two empty sketches are alike, an empty and another aren't."""
-    if not len(a) and not len(b):
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Estimated Jaccard likeness: 1 for equal sets, 0 where neither keeps anything."""
+    if a.total == b.total >= 0:
         return 1.0
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
+    return both / max(1, len(a.kept) + len(b.kept) - both)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of a's shingles that b has; 1 for an empty a."""
-    return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
+def containment(a: Sketch, b: Sketch) -> float | None:
+    """Estimated share of a's shingles that b has: 1 for a set without shingles, None where a keeps nothing to tell by."""
+    if a.total == 0 or a.total == b.total >= 0:
+        return 1.0
+    return len(np.intersect1d(a.kept, b.kept, assume_unique=True)) / len(a.kept) if len(a.kept) else None
 
 
-def to_text(a: np.ndarray) -> str:
-    return a.astype(">u8").tobytes().hex()
+def to_text(a: Sketch) -> str:
+    """Sixteen digits of the sum (all f: not known), then sixteen for each hash."""
+    return f"{a.total % 2**64:016x}" + a.kept.astype(">u8").tobytes().hex()
 
 
-def from_text(s: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(s), ">u8").astype(np.uint64)
+def from_text(s: str) -> Sketch:
+    total = int(s[:16], 16)
+    return Sketch(np.frombuffer(bytes.fromhex(s[16:]), ">u8").astype(np.uint64), -1 if total == 2**64 - 1 else total)
 
 
 def fingerprint(docs: DataFrame, *keep: str, width: int = WIDTH, share: float = SHARE) -> DataFrame:
-    """Columns ``keep`` and ``fingerprint`` (hex) of the whole of column ``text`` (null: empty)."""
+    """Columns ``keep`` and ``fingerprint`` (hex) of the whole of column ``text`` (null: empty).
+
+    Other columns are ignored, whatever their names; repeated rows repeat, an empty table gives an empty one.
+    """
     ship(docs.sparkSession)
-    schema = docs.select(*keep).schema
-    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + "fingerprint string"
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in keep]
+    schema = StructType([*docs.select(*own).schema]).add("fingerprint", "string")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             made = sketches([b or b"" for b in batch.column(len(keep)).to_pylist()], width, share)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array([to_text(x) for x in made], pa.string())], names=[*keep, "fingerprint"])
 
-    return docs.select(*keep, F.col("text").cast("binary").alias("_text")).mapInArrow(run, ddl)
+    return docs.select(*[c.alias(f"c{k}") for k, c in enumerate(own)], F.col("text").cast("binary").alias("_text")).mapInArrow(run, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -91,8 +110,8 @@ RANGES = 20_000
 def compare_with_next(docs: DataFrame, *, width: int = WIDTH, share: float = SHARE, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Each document against its edited text and its successor by (doc_id, text); the last one's is the first.
 
-    Columns as in _OUT.  Null texts are empty, a null doc_id comes first and keeps its row, repeated rows follow
-    each other.  Documents are dealt out once by ranges of doc_id; the first document of each range also goes to
+    Columns as in _OUT; ``contained_next`` is null where the text keeps no hash to tell by.  Null texts are empty, a null
+    doc_id comes first and keeps its row, repeated rows follow each other, other columns are ignored.  Documents are dealt out once by ranges of doc_id; the first document of each range also goes to
     the range before it, so every successor is at hand in the task that needs it and none sees more than its range.
     """
     spark = docs.sparkSession

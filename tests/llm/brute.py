@@ -169,3 +169,18 @@ def nearest(text, model):
     size = math.sqrt(sum(x * x for x in v)) or 1.0
     near = [sum(x * float(y) for x, y in zip(v, c, strict=True)) / size for c in model.centroids]
     return model.languages[model.owner[near.index(max(near))]], max(near)
+
+
+def sketch(text, share=0.25):
+    """Hashes of the text's distinct shingles, each hashed alone, that lie below the share of hash space."""
+    from graphloom.llm import _bytes
+
+    hashes = [int(_bytes.shingle_sets([" ".join(s).encode()], 5)[0][0]) for s in shingles(text)]
+    return {h for h in hashes if h < share * 2**64}
+
+
+def sketch_likeness(a, b):
+    if shingles(a) == shingles(b):
+        return 1.0
+    x, y = sketch(a), sketch(b)
+    return len(x & y) / max(1, len(x | y))
