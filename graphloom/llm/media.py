@@ -3,7 +3,7 @@
 An HTML document is parsed into an ordered sequence of text and media-reference structs; a media
 reference names its payload by digest.  Payloads are stored as lossless 8-bit RGB images (PNG) in
 a media table with one row per digest; reading decodes the stored bytes again.  References and
-media meet in a join on the digest that carries features, never payloads.
+media meet in a join on the digest that carries features, or the media themselves.
 """
 
 from __future__ import annotations
@@ -156,7 +156,11 @@ def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 
 def store(payloads: DataFrame, text: str = "text", *keep: str) -> DataFrame:
-    """Columns ``keep``, digest (SHA-256 of the unpadded payload) and its stored form of each row."""
+    """Columns ``keep``, n_bytes, digest (SHA-256 of the unpadded payload) and media, its stored form, of each row.
+
+    A null payload is empty; a payload of any length is one image and must fit a worker; repeated rows repeat (group by
+    digest for a media table), an empty table gives an empty one, other columns are ignored.
+    """
     ship(payloads.sparkSession)
     schema = payloads.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + "n_bytes long, digest string, media binary"
@@ -179,8 +183,11 @@ READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes
 
 
 def read(media: DataFrame) -> DataFrame:
-    """What the stored media hold when read back; the other columns stay and ``media`` goes."""
-    keep = [c for c in media.columns if c != "media"]
+    """What the stored media (never null) hold when read back; the other columns stay and ``media`` goes, as do those of READ's names.
+
+    Repeated rows repeat, an empty table gives an empty one.
+    """
+    keep = [c for c in media.columns if c != "media" and c not in {x.split()[0] for x in READ.split(", ")}]
     ship(media.sparkSession)
     schema = media.select(*keep).schema
     ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + READ
@@ -200,17 +207,17 @@ def read(media: DataFrame) -> DataFrame:
 
 
 def resolve(parts: DataFrame, media: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row per part of ``parts`` (from interleave), media parts with what ``media`` (digest, ...) knows.
+    """One row per part of ``parts`` (from interleave), in no order but with its pos; media parts with what ``media`` (digest, ...) knows.
 
-    References are ``sha256:`` and a digest; one that no media row has stays, with nulls.  ``media`` must have
-    one row per digest.  A digest that many documents use is one row of the small side of the join.
+    References are ``sha256:`` and a digest; one that no media row has stays, with nulls, and so do texts.  ``media`` must have
+    one row per digest: of several, each gives a row.  Its columns named key, pos, kind or text are ignored.  A page that is
+    repeated, or whose key is null, keeps its parts; an empty table gives none.  A digest that many documents use is one
+    row of the small side of the join.
     """
     each = parts.select(key, F.explode("parts").alias("p")).select(key, "p.pos", "p.kind", "p.text", F.regexp_extract(F.coalesce("p.ref", F.lit("")), "^sha256:([0-9a-f]{64})$", 1).alias("digest"))
-    return each.join(media, "digest", "left")
+    return each.join(media.drop(key, "pos", "kind", "text"), "digest", "left")
 
 
 def page_of(digest, caption) -> F.col:
     """A minimal interleaved page: a heading, the media reference and its caption."""
     return F.concat(F.lit("<h1>Document</h1><figure><img src=\"sha256:"), digest, F.lit("\"><figcaption>"), caption, F.lit("</figcaption></figure>"))
-
-

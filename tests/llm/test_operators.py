@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import textwrap
 
 import brute
@@ -82,8 +83,13 @@ def test_bpe_ids_decode_by_the_token_table(odd):
     assert sorted((r.doc_id or -1, bytes(r.decoded).decode()) for r in back) == sorted((i or -1, t or "") for i, t in odd_rows())
 
 
-def test_bpe_of_nothing(empty):
+def test_bpe_of_nothing_and_of_foreign_ids(empty):
     assert bpe.encode(empty, *ranks_and_pattern()).collect() == []
+    decoder = bpe.Decoder({b"a": 0, b"bc": 1})
+    assert decoder.decode(np.array([1, 0, 1])) == b"bcabc"
+    for ids in ([-1], [0, 2]):
+        with pytest.raises(ValueError):
+            decoder.decode(np.array(ids))
 
 
 # --- 4: Jaccard join
@@ -262,6 +268,45 @@ def test_media_resolve(spark):
     assert [(r.kind, r.media_bytes) for r in got] == [("text", None), ("media", 7), ("media", None)]
 
 
+def test_media_resolve_payloads_in_order_beside_their_texts(spark):
+    texts = ["", "one", "x" * 200_000, "one"]
+    stored = media.store(spark.createDataFrame([(t, "c", 1) for t in texts] + [(None, "c", 1)], "text string, kind string, pos int")).dropDuplicates(["digest"])
+    digest = {t: hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    page = "".join(f'<p>before {k}</p><figure><img src="sha256:{digest[t]}"><figcaption>caption {k}</figcaption></figure>' for k, t in enumerate(texts))
+    pages = spark.createDataFrame([(1, page, "x"), (None, page, "y"), (1, page, "x"), (3, "", "z"), (4, None, "z")], "page_id long, html string, kind string")
+    known = stored.join(media.read(stored), ["digest", "n_bytes"]).withColumn("kind", F.lit("clash")).withColumn("text", F.lit("clash"))
+    got = media.resolve(media.interleave(pages), known).collect()
+    for key, times in ((1, 2), (None, 1)):
+        rows = sorted((r for r in got if r.page_id == key), key=lambda r: r.pos)
+        want = [x for k, t in enumerate(texts) for x in [("text", f"before {k}", None)] * times + [("media", f"caption {k}", media.padded(t.encode()))] * times]
+        assert [(r.kind, r.text, None if r.media is None else media.decode(bytes(r.media))) for r in rows] == want
+    assert {r.page_id for r in got} == {1, None} and media.resolve(media.interleave(pages.limit(0)), known).collect() == []
+
+
+def test_media_sequences_of_the_pages_table(spark):
+    """Every text node and image of real pages, against a plain reading of their tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in media.interleave(pages, "url").collect():
+        assert [p.pos for p in r.parts] == list(range(len(r.parts))) and all(p.text == " ".join(p.text.split()) for p in r.parts if p.kind == "text")
+    html = {r.url: r.html or "" for r in pages.collect()}
+    for r in media.interleave(pages, "url").collect():
+        plain = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html[r.url])
+        assert len(re.findall(r"(?i)<(?:img|video|audio|source)\b[^>]*\ssrc=", plain)) == sum(p.kind == "media" for p in r.parts)
+
+
+def test_media_query_of_nothing_and_its_stored_form(spark, odd, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/e/documents.parquet")
+    assert queries.op7_media_columns(spark, f"{tmp_path}/e").collect() == []
+    odd.write.parquet(f"{tmp_path}/o/documents.parquet")
+    text = {i: t or "" for i, t in odd_rows()}
+    for r in queries.op7_media_columns(spark, f"{tmp_path}/o").collect():
+        if r.doc_id is None:
+            continue
+        stored = brute.png(text[r.doc_id].encode())
+        assert (r.media_bytes, r.media_sha256, r.caption, r.pos) == (len(stored), hashlib.sha256(stored).hexdigest(), f"document {r.doc_id}", 1)
+        assert r.feature == brute.media_feature(text[r.doc_id].encode())
+
+
 def test_media_query_on_whole_texts(spark, odd, tmp_path):
     odd.write.parquet(f"{tmp_path}/documents.parquet")
     got = queries.op7_media_columns(spark, str(tmp_path)).collect()
@@ -447,14 +492,15 @@ def test_chat_of_nothing(spark):
 # --- 1: URL filters
 
 
-def test_url_filters_evaluate_as_of(spark):
+@pytest.mark.parametrize("split", [2, 100_000])
+def test_url_filters_evaluate_as_of(spark, split):
     entries = spark.createDataFrame(
         [("bad", "evil.com", "add", 10), ("bad", "evil.com", "add", 12), ("bad", "evil.com", "remove", 20), ("bad", "evil.com", "add", 30), ("ok", "good.evil.com", "add", 15), ("bad", "x.org", "remove", 1), ("bad", "x.org", "add", 5), ("bad", "x.org", "remove", 5), (None, "y", "add", 1), ("bad", "z.net", "add", None)],
         "list string, domain string, action string, s int",
     ).withColumn("at", F.timestamp_seconds("s")).drop("s")
     urls = ["http://evil.com/a", "https://u:p@Good.EVIL.com:80/x", "http://notevil.com", "http://x.org.", "ftp://z.net", None, "", "nonsense", "http://www.evil.com"]
     rows = [(k * 100 + t, u, t) for k, u in enumerate(urls) for t in (5, 10, 19, 20, 35)] + [(7, "http://evil.com", None), (10, "http://evil.com/a", 10)]
-    got = url_filters.evaluate(spark.createDataFrame(rows, "page_id long, url string, s int").withColumn("fetched_at", F.timestamp_seconds("s")).drop("s"), entries, blocking=["bad"], allowing=["ok"]).collect()
+    got = url_filters.evaluate(spark.createDataFrame(rows, "page_id long, url string, s int").withColumn("fetched_at", F.timestamp_seconds("s")).drop("s"), entries, blocking=["bad"], allowing=["ok"], split=split).collect()
     assert len(got) == len(rows)
     on = {"bad": {"evil.com": [(10, 20), (30, 99)], "x.org": [(5, 99)]}, "ok": {"good.evil.com": [(15, 99)]}}
     hosts = ["evil.com", "good.evil.com", "notevil.com", "x.org", "z.net", "", "", "", "www.evil.com"]
@@ -468,10 +514,21 @@ def test_url_filters_evaluate_as_of(spark):
         assert (r.host, r.hits, r.verdict) == want[r.page_id, r.url, t]
 
 
+def test_url_filters_of_odd_hosts_columns_and_long_urls(spark):
+    urls = ["http://[2001:DB8::1]:80/x", "http://u@[2001:db8::1]/", "http://10.0.0.1/", "http://a.b/" + "x" * 100_000, "//no.scheme/"]
+    rows = [(k, u, k, "c") for k, u in enumerate(urls)]
+    captures = spark.createDataFrame(rows, "page_id long, url string, s int, host string").withColumn("fetched_at", F.timestamp_seconds("s")).withColumn("list", F.lit("x")).withColumn("hits", F.lit(9))
+    entries = spark.createDataFrame([("bad", "[2001:db8::1]", "add", 0, "x"), ("bad", "a.b", "add", 9, "x"), ("bad", "10.0.0.1", "add", 2, "y"), ("ok", "10.0.0.1", "add", 2, "y"), ("other", "a.b", "add", 0, "z")], "list string, domain string, action string, s int, host string").withColumn("at", F.timestamp_seconds("s"))
+    got = sorted((r.page_id, r.host, r.hits, r.lists, r.verdict) for r in url_filters.evaluate(captures, entries, blocking=["bad"], allowing=["ok"]).collect())
+    assert got == [(0, "[2001:db8::1]", 1, "bad", "block"), (1, "[2001:db8::1]", 1, "bad", "block"), (2, "10.0.0.1", 2, "bad,ok", "allow"), (3, "a.b", 0, "", "pass"), (4, "", 0, "", "pass")]
+
+
 def test_url_filters_of_nothing(spark):
     none = spark.createDataFrame([], "page_id long, url string, fetched_at timestamp")
     e = spark.createDataFrame([], "list string, domain string, action string, at timestamp")
     assert url_filters.evaluate(none, e, blocking=["a"], allowing=[]).collect() == []
+    one = spark.createDataFrame([(1, "http://a.b/", None)], "page_id long, url string, fetched_at timestamp")
+    assert [r.verdict for r in url_filters.evaluate(one, e, blocking=["a"], allowing=[]).collect()] == ["pass"]
 
 
 # --- 2: license scans
