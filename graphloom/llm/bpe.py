@@ -54,6 +54,8 @@ class Decoder:
         out, step = [], 1 << 18
         for at in range(0, len(ids), step):
             part = ids[at : at + step]
+            if len(part) and (part.min() < 0 or part.max() >= len(self.length)):
+                raise ValueError("an id that the vocabulary doesn't have")
             n = self.length[part]
             end = np.cumsum(n)
             place = np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - n, n) + np.repeat(self.start[part], n)
@@ -254,9 +256,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, emit: str
     shipped = spark.sparkContext.broadcast(ranks)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # one exchange by tile serves both sides below: the word lists to deal out and the documents to reassemble
-    first = src.mapInArrow(_tiles(pattern, tile_chars, tile_words), "kind int, tile string, doc_id long, n long, data binary").repartition("tile")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(partitions(spark), math.ceil(size / bucket_bytes))
+    first = src.mapInArrow(_tiles(pattern, tile_chars, tile_words), "kind int, tile string, doc_id long, n long, data binary").repartition(count, "tile")
     back = first.mapInArrow(_buckets(count), "bucket int, tile string, places binary, words binary").groupBy("bucket").applyInArrow(_streamed(_encode_bucket(shipped, pattern)), "tile string, places binary, ids binary")
     out = "doc_id long, n_tokens long, " + ("ids array<int>" if emit == "ids" else "ids_sha256 string, decoded_sha256 string")
     return first.groupBy("tile").cogroup(back.groupBy("tile")).applyInArrow(_tabled(_assemble(shipped, emit)), out)
