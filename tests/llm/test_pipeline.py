@@ -65,3 +65,28 @@ def test_near_duplicates_keep_unrelated_rows_of_equal_or_null_ids(spark, tmp_pat
     assert sorted(t.removesuffix(" more0") for t in one) == sorted(texts[:9])
     assert sorted(i for i, t in kept if t and i is not None) == [3, 7, 7, 7, 9] and (3, texts[2]) in kept and (7, texts[6]) in kept
     assert sorted(map(str, (r for r in kept if not r[1]))) == sorted(map(str, [(None, ""), (None, ""), (4, None)]))
+
+
+NAMES = ["size", "position", "spans", "rejected", "removed", "lang_pred", "score", "taken", "_row", "_id", "_text", "component_id", "other0", "a.b"]
+
+
+def test_every_stage_survives_any_columns_nulls_repeats_and_no_rows(spark, tmp_path):
+    rows = [(i, t, lang, s, n, *(f"{x}-{i}" for x in NAMES)) for i, t, lang, s, n in documents()]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None, None, *[None] * len(NAMES)), (None, T.prose(9000, 80), None, None, None, *[None] * len(NAMES)), (900, T.prose(7, 20_000), "en", "s1", 0, *["long"] * len(NAMES))]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{x}` string" for x in NAMES)
+    spark.createDataFrame(rows, kinds).repartition(3).write.parquet(f"{tmp_path}/full")
+    spark.createDataFrame([], kinds).write.parquet(f"{tmp_path}/none")
+    carried = {i: r[5:] for r in rows if (i := r[0]) is not None}
+    for path, some in ((f"{tmp_path}/full", True), (f"{tmp_path}/none", False)):
+        docs = spark.read.parquet(path)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns, name
+            out.write.parquet(f"{path}-{name}")
+            docs = spark.read.parquet(f"{path}-{name}")
+            got = docs.collect()
+            assert bool(got) == some, name
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert all(tuple(r[5:]) == carried[r.doc_id] for r in got if r.doc_id is not None and r.doc_id != 0), name
+                assert not some or {r.doc_id for r in got} >= {2, 900}, name
