@@ -5,13 +5,15 @@ pair is dropped as soon as a bound that follows from the sizes alone rules it ou
 
 1. A linked document shares at least 80 % of its own shingles with its partner.  Of a
    fixed share of hash space, screened column block by column block, at most 20 % of its
-   size may therefore be its own alone; other documents leave (``_screen``).
+   size may therefore be its own alone; other documents leave (``_tiler``, ``_shared``).
 2. The rest are held to the bound on all their shingles, counted exactly, and keep as many
    of their rarest shared ones as a partner can't miss all of (prefix filtering).
 3. Columns with several documents first compare each document with one pivot, then, in
    columns that still hold several components, all pairs between components.  Pairs inside a
    component need no test, so a group of copies costs a star and no square; a pair is met only
    in a column where the shingles still ahead of both can make up the overlap it needs.
+4. The product of the pairs that are left is taken column block by column block: each block gives
+   a pair's overlap in it, the overlaps add up, and pairs below the bound of their sizes go.
 
 Identical sets are folded into one class before any of it.
 """
@@ -39,6 +41,8 @@ TILE_BYTES = 16 << 20
 BLOCK = 1 << 21
 #: Rounds of pivots before the remaining columns are compared in full.
 PIVOTS = 3
+#: Column blocks of the product, by the first bits of the hash.
+CELL_BITS = 2
 
 _HELD = np.uint32(0xFFFFFFFF)
 _ROWS = "kind int, tile long, idx int, doc_id long, n long, f1 long, f2 long, q int, loc int, hs binary, ids binary"
@@ -173,13 +177,21 @@ def _counts(table: pa.Table) -> pa.Table:
 
 
 def _sets(width: int):
+    """Each document's shingles, cut into the column blocks of the product."""
+    cells = 1 << CELL_BITS
+
     def run(batches):
         for batch in batches:
             keys = batch.column("doc_id")
             for start, texts in _bytes.slices(_texts(batch)):
                 h, b = _bytes.shingle_sets(texts, width)
                 f1, f2 = prints(h, b)
-                yield pa.RecordBatch.from_arrays([keys.slice(start, len(texts)), pa.array(np.diff(b)), pa.array(f1), pa.array(f2), pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "n", "f1", "f2", "set"])
+                at = np.repeat(np.arange(len(texts)), np.diff(b)) * cells + (h >> np.uint64(64 - CELL_BITS)).view(np.int64)
+                cut = np.searchsorted(at, np.arange(len(texts) * cells + 1))
+                inner = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(h.view(np.int64)))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, len(texts) * cells + 1, cells), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([keys.slice(start, len(texts)), pa.array(np.diff(b)), pa.array(f1), pa.array(f2), made], names=["doc_id", "n", "f1", "f2", "cells"])
+        _bytes.trim()
 
     return run
 
@@ -215,13 +227,13 @@ def jaccard_join(docs: DataFrame, *, width: int = WIDTH, similarity: int = SIMIL
     tables.release()
 
     live = classes.where("open").select("f1", "f2", "n", "rep")
-    near = maybe_in(src, "doc_id", bitmap(live, "rep")).mapInArrow(_sets(width), "doc_id long, n long, f1 long, f2 long, set array<bigint>")
-    near = near.join(live, ["f1", "f2", "n"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("f1", "f2", "n").agg(F.first("rep").alias("rep"), F.first("set").alias("set"))
+    near = maybe_in(src, "doc_id", bitmap(live, "rep")).mapInArrow(_sets(width), "doc_id long, n long, f1 long, f2 long, cells array<array<bigint>>")
+    near = near.join(live, ["f1", "f2", "n"]).where(F.col("doc_id").eqNullSafe(F.col("rep"))).groupBy("f1", "f2", "n").agg(F.first("rep").alias("rep"), F.first("cells").alias("cells"))
     near = tables.write(near.select(F.monotonically_increasing_id().alias("node"), "*"), "sets")
     tables.release()
 
     entries = tables.write(_prefixes(near, similarity), "prefixes")
-    roots = _merge(tables, entries, near.select("node", "n", "set"), similarity, pivots)
+    roots = _merge(tables, entries, near.select("node", "n", "cells"), similarity, pivots)
 
     known = near.select("node", "f1", "f2", "n", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("rep").alias("component"))
@@ -243,7 +255,7 @@ def _prefixes(near: DataFrame, similarity: int) -> DataFrame:
 
     ``r`` is the shingle's place among all of the set's, rarest first.
     """
-    each = near.select("node", "n", F.explode("set").alias("h"))
+    each = near.select("node", "n", F.explode(F.flatten("cells")).alias("h"))
     often = each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     found = each.join(often, "h")
     from pyspark.sql import Window
@@ -264,13 +276,13 @@ def _reach(similarity: int) -> F.col:
     return F.expr(f"r <= n - {need} + 1 and pr <= pn - {need} + 1")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the distinct pairs (x, y) that link."""
-    a = sets.select(F.col("node").alias("x"), F.col("set").alias("sx"))
-    b = sets.select(F.col("node").alias("y"), F.col("set").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    union = F.size("sx") + F.size("sy") - both
-    return pairs.join(a, "x").join(b, "y").where(100 * both >= similarity * union)
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The distinct pairs (x, y, a, b) with the sizes nx and ny of their sets and their overlap c, added up over the column blocks."""
+    each = sets.select("node", "n", F.posexplode("cells").alias("block", "cell")).where(F.size("cell") > 0)
+    x = each.select(F.col("node").alias("x"), F.col("n").alias("nx"), "block", F.col("cell").alias("cx"))
+    y = each.select(F.col("node").alias("y"), F.col("n").alias("ny"), "block", F.col("cell").alias("cy"))
+    met = pairs.join(x, "x").join(y, ["y", "block"]).withColumn("c", F.size(F.array_intersect("cx", "cy")))
+    return met.groupBy("x", "y", "a", "b", "nx", "ny").agg(F.sum("c").alias("c"))
 
 
 def _merge(tables: Tables, entries: DataFrame, sets: DataFrame, similarity: int, pivots: int) -> DataFrame:
@@ -297,7 +309,7 @@ def _merge(tables: Tables, entries: DataFrame, sets: DataFrame, similarity: int,
             two = one.select("h", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("r").alias("pr"), F.col("root").alias("proot"))
             pairs = one.join(two, "h").where(fits & (F.col("node") < F.col("pivot")) & (F.col("root") != F.col("proot")))
             pairs = pairs.select(F.col("node").alias("x"), F.col("pivot").alias("y"), F.col("root").alias("a"), F.col("proot").alias("b")).distinct()
-        links = tables.write(_verified(pairs, sets, similarity).select("a", "b").distinct(), "links")
+        links = tables.write(_overlaps(pairs, sets).where(100 * F.col("c") >= similarity * (F.col("nx") + F.col("ny") - F.col("c"))).select("a", "b").distinct(), "links")
         if not links.isEmpty():
             roots = components(tables, links).select(F.col("id").alias("root"), F.col("root").alias("to"))
             labels = tables.write(labels.join(roots, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")

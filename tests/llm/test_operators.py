@@ -119,6 +119,19 @@ def test_jaccard_on_chained_near_copies(spark):
     check_components(rows, ngram_jaccard.jaccard_join(df, tile_bytes=4000, block=100).collect())
 
 
+def test_jaccard_overlaps_add_up_over_blocks(spark):
+    texts = [prose(k // 3, 60) + " " + prose(90 + k, 5 * k) for k in range(9)] + ["a", "a b c d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
+    sets = df.mapInArrow(ngram_jaccard._sets(5), "doc_id long, n long, f1 long, f2 long, cells array<array<bigint>>").withColumnRenamed("doc_id", "node")
+    pairs = spark.createDataFrame([(x, y, x, y) for x in range(len(texts)) for y in range(x)], "x long, y long, a long, b long")
+    got = {(r.x, r.y): (r.nx, r.ny, r.c) for r in ngram_jaccard._overlaps(pairs, sets).collect()}
+    own = [brute.shingles(t) for t in texts]
+    for x in range(len(texts)):
+        for y in range(x):
+            both = len(own[x] & own[y])
+            assert got.get((x, y), (len(own[x]), len(own[y]), 0)) == (len(own[x]), len(own[y]), both)
+
+
 def test_jaccard_of_nothing(empty):
     assert ngram_jaccard.jaccard_join(empty).collect() == []
 
