@@ -9,26 +9,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import local
-from graphloom.operators.graph import adjacency, simple, two_hop
+from graphloom.operators.graph import adjacency, induced, simple, two_hop
 from graphloom.shipping import ship
 from graphloom.sources.working import keep
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-9, every: int = 5, local_edges: int = local.EDGES) -> DataFrame:
-    """(id, pagerank): weighted, undirected; parallel edges add, loops are skipped, dangling mass is spread evenly.
+    """(id, pagerank): weighted, undirected; parallel edges add, dangling mass is spread evenly.
 
-    Each round is one join and one map-side combined sum; every ``every`` rounds the ranks are written, which
-    ends their lineage and tests the L1 change.  ``tolerance=0`` runs all rounds.
+    Loops, edges to an end that isn't a node, and null ids don't count.  Each round is one join and one map-side
+    combined sum; every ``every`` rounds the ranks are written, which ends their lineage, and the L1 change is tested.
+    ``tolerance=0`` runs all rounds.  Up to ``local_edges`` edge ends the same rounds run in one task.
     """
-    ids = keep(nodes.select("id").distinct(), "ids")
+    ids = keep(nodes.where("id is not null").select("id").distinct(), "ids")
     n = ids.count()
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
-    a = adjacency(edges.where("src <> dst")).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    a = induced(adjacency(edges.where("src <> dst")), ids).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     a = a.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("src"))).select("src", "dst", "share")
     a = keep(a, "shares")
     if local.fits(a, local_edges):
-        return local.pagerank(ids, a.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), damping, rounds, tolerance)
+        return local.pagerank(ids, a, damping, rounds, tolerance, every)
     linked = a.select(F.col("src").alias("id")).distinct()
     ids = keep(ids.join(linked.withColumn("linked", F.lit(1)), "id", "left"), "ids")
     rank = ids.select("id", "linked", F.lit(1.0 / n).alias("pagerank"))

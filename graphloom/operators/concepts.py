@@ -55,9 +55,9 @@ def cluster_names(scores: DataFrame, most: int = 3) -> DataFrame:
     """(cluster, name): up to three topic names in order of distinctiveness, none whose words contain another's."""
     toks = X.stems(X.tokens(F.col("name")))
     s = scores.withColumn("t", toks).where(F.size("t") > 0)
-    s = G.top_k(s, 40, ["cluster"], [F.desc("distinctiveness"), F.desc("local"), F.col("name")])
-    x = s.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "name", "t"))).alias("l"))
-    start = F.array().cast("array<struct<rank:int,name:string,t:array<string>>>")
+    key = F.struct((-F.col("distinctiveness")).alias("d"), (-F.col("local")).alias("local"), "name", "t")
+    x = s.groupBy("cluster").agg(F.array_sort(F.collect_list(key)).alias("l"))  # a cluster's topics: few, as its papers name them
+    start = F.filter("l", lambda x: F.lit(False))
 
     def step(kept, x):
         nested = F.exists(kept, lambda k: (F.size(F.array_except(x["t"], k["t"])) == 0) | (F.size(F.array_except(k["t"], x["t"])) == 0))

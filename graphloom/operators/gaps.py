@@ -65,7 +65,8 @@ def similarity(members: DataFrame, vectors: DataFrame) -> DataFrame:
     cross = x.join(v.toDF("t1", "a", "v1"), "a").join(v.toDF("t2", "b", "v2"), "b").select("a", "b", cosine(F.col("v1"), F.col("v2")).alias("c"))
     mean = cross.groupBy("a", "b").agg(F.avg("c").alias("similarity"))
     inner = v.toDF("t1", "k", "v1").join(v.toDF("t2", "k", "v2"), "k").where("t1 < t2").select("k", cosine(F.col("v1"), F.col("v2")).alias("c"))
-    own = x.join(inner, (F.col("k") == F.col("a")) | (F.col("k") == F.col("b"))).select("a", "b", "c")
+    # each pair once under either cluster, so that the join is by key
+    own = x.select("a", "b", F.explode(F.array("a", "b")).alias("k")).join(inner, "k").select("a", "b", "c")
     ref = G.order_statistic(cross.unionByName(own), "c", 0.9, "a", "b").select("a", "b", F.greatest(F.lit(0.12), F.least(F.lit(0.85), F.col("value"))).alias("reference"))
     return x.join(mean, ["a", "b"], "left").join(ref, ["a", "b"], "left").select("a", "b", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("reference", F.lit(DEFAULT_REFERENCE)).alias("reference"))
 

@@ -39,7 +39,7 @@ def _numbered(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, index.get_indexer(pdf.loc[edge, "src"]), index.get_indexer(pdf.loc[edge, "dst"].map(kind))
 
 
-def pagerank(ids: DataFrame, shares: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def pagerank(ids: DataFrame, shares: DataFrame, damping: float, rounds: int, tolerance: float, every: int) -> DataFrame:
     """(id, pagerank) from ids and transition shares (src, dst, share)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -49,10 +49,10 @@ def pagerank(ids: DataFrame, shares: DataFrame, damping: float, rounds: int, tol
         stuck = np.ones(n, bool)
         stuck[src] = False
         rank = np.full(n, 1.0 / n)
-        for _ in range(rounds):
+        for turn in range(1, rounds + 1):
             new = (1 - damping) / n + damping * (np.bincount(dst, rank[src] * share, n) + rank[stuck].sum() / n)
             change, rank = np.abs(new - rank).sum(), new
-            if tolerance and change < tolerance:
+            if tolerance and (turn % every == 0 or turn == rounds) and change < tolerance:
                 break
         return pd.DataFrame({"id": names, "pagerank": rank})
 

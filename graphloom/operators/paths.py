@@ -56,22 +56,43 @@ def evidence_path(edges: DataFrame, source: str, target: str, most: int = 4) ->
     return shortest_paths(e, source, one, min(most, 4))
 
 
-def weighted_distances(edges: DataFrame, source: str, rounds: int = 64) -> DataFrame:
-    """(id, distance) with lengths 1 / max(1e-6, weight): relaxation until nothing improves."""
-    a = adjacency(edges).groupBy("src", "dst").agg(F.min(1 / F.greatest("weight", F.lit(1e-6))).alias("len"))
-    a = keep(a, "lengths")
+def _lengths(edges: DataFrame) -> DataFrame:
+    return adjacency(edges).groupBy("src", "dst").agg(F.min(1 / F.greatest("weight", F.lit(1e-6))).alias("len"))
+
+
+def weighted_distances(edges: DataFrame, source: str) -> DataFrame:
+    """(id, distance) of every node that can be reached, with lengths 1 / max(1e-6, weight): relaxation until nothing improves.
+
+    A round costs a join with the nodes that have just improved; there are as many as the longest shortest path has hops.
+    """
+    a = keep(_lengths(edges), "lengths")
     best = keep(edges.sparkSession.createDataFrame([(source, 0.0)], "id string, distance double"), "best")
     front = best
-    for _ in range(rounds):
+    while not front.isEmpty():
         step = front.select(F.col("id").alias("src"), "distance").join(a, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("len")).alias("new"))
         better = step.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance") - 1e-12))
         front = keep(better.select("id", F.col("new").alias("distance")), "front")
-        if front.isEmpty():
-            break
         best = keep(best.join(front.select("id"), "id", "left_anti").unionByName(front), "best")
     return best
 
 
+def weighted_paths(edges: DataFrame, source: str, targets: DataFrame) -> DataFrame:
+    """(id, distance, path): to each target (id) that can be reached the path of least length.
+
+    Of several ways into a node the one from the least id counts.  Paths are followed back from the targets alone.
+    """
+    best = weighted_distances(edges, source)
+    at = best.select(F.col("id").alias("src"), F.col("distance").alias("d"))
+    into = _lengths(edges).join(at, "src").join(best, F.col("dst") == F.col("id")).where((F.col("id") != source) & (F.abs(F.col("d") + F.col("len") - F.col("distance")) <= 1e-9))
+    before = keep(into.groupBy("id").agg(F.min("src").alias("before")), "before")
+    found = best.join(targets.select("id").distinct(), "id", "left_semi").select("id", "distance", F.array("id").alias("path"), F.col("id").alias("now"))
+    found = keep(found, "paths")
+    while not found.where(F.col("now") != source).isEmpty():
+        step = found.join(before.select(F.col("id").alias("now"), "before"), "now", "left")
+        found = keep(step.select("id", "distance", F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat(F.array("before"), "path")).alias("path"), F.coalesce("before", F.lit(source)).alias("now")), "paths")
+    return found.drop("now")
+
+
 def components(nodes: DataFrame, edges: DataFrame, local_edges: int = local.EDGES) -> DataFrame:
     """(id, component): the least id that each node reaches; contraction of edges to least neighbours."""
     near = keep(simple(edges), "links")

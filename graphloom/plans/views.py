@@ -88,18 +88,28 @@ def pair_conflicts(conflicts: DataFrame, papers_a: DataFrame, papers_b: DataFram
 
 def distinct_clusters(members: DataFrame, names: DataFrame, own: DataFrame, overlap: float = 0.8) -> DataFrame:
     """(cluster) kept of (cluster, granularity, name): of one granularity and name, or with over 80 % of the smaller one's papers
-    shared, the larger stays; decided greedily from the largest, over the few clusters that there are.
+    shared, the larger stays; decided greedily from the largest, ties by cluster.
+
+    Each round keeps the clusters that no larger undecided one stands against and drops those that they stand against.
     """
     from graphloom.operators.gaps import shared_papers
 
     size = own.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    rows = names.join(size, "cluster").join(members.select("cluster").distinct(), "cluster", "left_semi").orderBy(F.desc("n"), "cluster").limit(200).collect()
-    both = {frozenset((r["a"], r["b"])): r["shared"] for r in shared_papers(own.join(F.broadcast(names.select("cluster").limit(200)), "cluster", "left_semi")).collect()}
-    kept: list = []
-    for r in rows:
-        if all(r["granularity"] != k["granularity"] or (r["name"] != k["name"] and both.get(frozenset((r["cluster"], k["cluster"])), 0) <= overlap * min(r["n"], k["n"])) for k in kept):
-            kept.append(r)
-    return names.sparkSession.createDataFrame([(r["cluster"],) for r in kept], names.select("cluster").schema)
+    c = keep(names.join(size, "cluster").join(members.select("cluster").distinct(), "cluster", "left_semi").select("cluster", "granularity", "name", "n").distinct(), "named")
+    side = lambda k: c.select(*[F.col(x).alias(f"{x}_{k}") for x in c.columns])
+    same = side("a").join(side("b"), (F.col("granularity_a") == F.col("granularity_b")) & (F.col("name_a") == F.col("name_b"))).where("cluster_a < cluster_b")
+    near = shared_papers(own).select(F.col("a").alias("cluster_a"), F.col("b").alias("cluster_b"), "shared").join(side("a"), "cluster_a").join(side("b"), "cluster_b")
+    near = near.where((F.col("granularity_a") == F.col("granularity_b")) & (F.col("shared") > overlap * F.least("n_a", "n_b")))
+    first = F.col("n_a") >= F.col("n_b")  # cluster_a is the lesser id
+    pair = lambda x: x.select(F.when(first, F.col("cluster_a")).otherwise(F.col("cluster_b")).alias("over"), F.when(first, F.col("cluster_b")).otherwise(F.col("cluster_a")).alias("cluster"))
+    against = keep(pair(same).unionByName(pair(near)).distinct(), "against")
+    left, kept = c.select("cluster"), c.select("cluster").limit(0)
+    while not left.isEmpty():
+        now = keep(left.join(against.join(left.toDF("over"), "over", "left_semi").select("cluster"), "cluster", "left_anti"), "kept")
+        kept = kept.unionByName(now)
+        gone = against.join(now.toDF("over"), "over", "left_semi").select("cluster")
+        left = keep(left.join(now, "cluster", "left_anti").join(gone, "cluster", "left_anti"), "undecided")
+    return kept
 
 
 def answer_confidence(papers, claims, gap_level) -> F.col:

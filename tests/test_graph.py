@@ -39,6 +39,29 @@ def test_pagerank_spreads_dangling_mass(spark, most):
     assert A.pagerank(nodes_of(spark, "a").limit(0), edges_of(spark, TOY)).collect() == []
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_pagerank_leaves_out_unknown_ends_loops_and_null_ids(spark, most):
+    e = edges_of(spark, [("a", "b"), ("c", "zz"), ("c", "c"), ("a", "b")])
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("a",)], "id string")
+    got = {r.id: r.pagerank for r in A.pagerank(ids, e, local_edges=most).collect()}
+    assert sum(got.values()) == pytest.approx(1, abs=1e-9) and got == pytest.approx({"a": 0.465116, "b": 0.465116, "c": 0.069767}, abs=1e-6)
+
+
+def test_pagerank_has_equal_rounds_in_both_forms(spark):
+    e = edges_of(spark, [*TRIANGLES, ("a1", "z", 3.0), ("b2", "y")])
+    ids = nodes_of(spark, ["a1", "a2", "a3", "b1", "b2", "b3", "z", "y", "alone"])
+    one, many = ({r.id: r.pagerank for r in A.pagerank(ids, e, tolerance=1e-3, local_edges=k).collect()} for k in (10**6, 0))
+    assert one == pytest.approx(many, abs=1e-12)
+
+
+def test_weighted_paths_go_all_the_way(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}", 2.0) for i in range(70)]
+    e = edges_of(spark, [*chain, ("n000", "n002", 0.9), ("m", "n070", 1.0), ("n000", "far", 0.01), ("n003", "far", 1.0), ("lone", "lone2")])
+    got = {r.id: (r.distance, r.path) for r in H.weighted_paths(e, "n000", nodes_of(spark, ["n070", "m", "far", "n000", "lone"])).collect()}
+    line = [f"n{i:03d}" for i in range(71)]
+    assert got == {"n070": (35.0, line), "m": (36.0, [*line, "m"]), "far": (2.5, [*line[:4], "far"]), "n000": (0.0, ["n000"])}
+
+
 def test_communities_and_modularity(spark):
     e = edges_of(spark, TRIANGLES)
     labels = A.louvain(nodes_of(spark, ["a1", "a2", "a3", "b1", "b2", "b3", "z"]), e)
