@@ -10,7 +10,8 @@ from graphloom.operators import graph as N
 from graphloom.operators import paths as H
 from graphloom.plans import dsl as D
 from graphloom.plans.catalog_graph import brands, related
-from graphloom.plans.registry import query, with_
+from graphloom.plans.registry import CTES, SQL, query, with_
+from graphloom.plans.research import NOTICE
 from graphloom.sources import projection as P
 
 T = P.table
@@ -38,41 +39,80 @@ def bfs_distances(s, d):
     return H.distances(e, start, 3)
 
 
-TRADE_E = ", e AS (SELECT src, dst FROM trade WHERE src <> dst AND n % 5 = 0 AND (ascii(src) + ascii(dst)) % 3 = 0 UNION SELECT dst, src FROM trade WHERE src <> dst AND n % 5 = 0 AND (ascii(src) + ascii(dst)) % 3 = 0)"
+def nations(s, d):
+    return T(s, d, "nation").select(F.col("n_name").alias("id"), F.lit("Institution").alias("label"), F.col("n_name").alias("name"), F.lit(None).cast("int").alias("year"))
 
 
 def trade_graph(s, d):
-    """A sparse graph of nations: each kept cell of the trade table is an edge."""
-    t = P.trade(s, d).where("src <> dst and n % 5 = 0 and (ascii(src) + ascii(dst)) % 3 = 0")
-    return t.select("src", "dst", F.lit("STUDIES").alias("type"), F.lit(1.0).alias("weight"), F.lit(False).alias("predicted"))
+    """The trade between nations: each cell of the table but the loops is an edge."""
+    return P.trade(s, d).where("src <> dst").select("src", "dst", F.lit("STUDIES").alias("type"), F.col("n").cast("double").alias("weight"), F.lit(False).alias("predicted"))
 
 
-def nations(s, d):
-    return T(s, d, "nation").select(F.col("n_name").alias("id"), F.lit("Institution").alias("label"), F.col("n_name").alias("name"), F.lit(None).cast("int").alias("year"))
+def places(s, d):
+    """(nodes, edges) of suppliers in their nations, and nations in their regions."""
+    t = lambda n: T(s, d, n)
+    r, n, p = (F.concat(F.lit(f"{k}:"), F.col(c).cast("string")) for k, c in (("region", "n_regionkey"), ("nation", "n_nationkey"), ("supplier", "s_suppkey")))
+    up = t("nation").select(n.alias("src"), r.alias("dst")).unionByName(t("supplier").select(p.alias("src"), F.concat(F.lit("nation:"), F.col("s_nationkey").cast("string")).alias("dst")))
+    own = t("region").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id")).unionByName(t("nation").select(n.alias("id"))).unionByName(t("supplier").select(p.alias("id")))
+    return own, up.withColumn("weight", F.lit(1.0))
 
 
+PLACES = """up AS (SELECT 'nation:' || n_nationkey AS src, 'region:' || n_regionkey AS dst FROM nation UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier), e AS (SELECT src, dst FROM up UNION SELECT dst, src FROM up),
+ids AS (SELECT 'region:' || r_regionkey AS id FROM region UNION ALL SELECT 'nation:' || n_nationkey FROM nation UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier)"""
 
 
-SHORT = with_("trade", recursive=True) + TRADE_E + """, walk(id, hops, path) AS (SELECT (SELECT min(n_name) FROM nation), 0, [(SELECT min(n_name) FROM nation)] UNION ALL SELECT dst, hops + 1, path FROM (SELECT e.dst, walk.hops, list_append(walk.path, e.dst) AS path, row_number() OVER (PARTITION BY e.dst ORDER BY list_append(walk.path, e.dst)) AS r FROM walk JOIN e ON e.src = walk.id WHERE walk.hops < {most} AND NOT list_contains(walk.path, e.dst)) WHERE r = 1),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY hops, path) AS r FROM walk) SELECT id, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM ranked WHERE r = 1"""
+def first_author(s, d) -> str:
+    return T(s, d, "customer").agg(F.min(F.concat(F.lit("author:"), F.col("c_custkey").cast("string")))).first()[0]
 
 
-@query(SHORT.format(most=6))
+def _sql_paths(most: int) -> str:
+    """Level by level over the whole graph: a node keeps its least path."""
+    out = with_("adj") + ", one AS (SELECT DISTINCT src, dst FROM adj WHERE src <> dst), p0 AS (SELECT min('author:' || c_custkey) AS id, 0 AS hops, [min('author:' || c_custkey)] AS path FROM customer)"
+    for k in range(1, most + 1):
+        out += f", p{k} AS MATERIALIZED (SELECT * FROM p{k - 1} UNION ALL SELECT dst, {k}, min(list_append(path, dst)) FROM p{k - 1} JOIN one ON src = id WHERE hops = {k - 1} AND dst NOT IN (SELECT id FROM p{k - 1}) GROUP BY dst)"
+    return out
+
+
+@query(_sql_paths(6) + " SELECT id, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM p6 WHERE starts_with(id, 'institution:')")
 def shortest_path(s, d):
-    start = T(s, d, "nation").agg(F.min("n_name")).first()[0]
-    return H.shortest_paths(trade_graph(s, d), start, nations(s, d).select("id"), 6).select("id", "hops", F.array_join("path", ">").alias("path"))
+    targets = P.nodes(s, d).where("label = 'Institution'")
+    return H.shortest_paths(P.edges(s, d), first_author(s, d), targets, 6).select("id", "hops", F.array_join("path", ">").alias("path"))
 
 
-@query(with_("trade", recursive=True) + TRADE_E + ", walk(id, depth) AS (SELECT (SELECT min(n_name) FROM nation), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.id WHERE depth < 6) SELECT id, min(depth)::INTEGER AS hops FROM walk GROUP BY 1")
+@query(_sql_paths(6) + " SELECT id, hops::INTEGER AS hops FROM p6")
 def shortest_hops(s, d):
-    start = T(s, d, "nation").agg(F.min("n_name")).first()[0]
-    return H.shortest_paths(trade_graph(s, d), start, nations(s, d).select("id"), 6).select("id", "hops")
+    return H.shortest_paths(P.edges(s, d), first_author(s, d), P.nodes(s, d), 6).select("id", "hops")
+
 
+@query(SQL["shortest_hops"], name="shortest_hops_distributed")
+def shortest_hops_distributed(s, d):
+    return H.shortest_paths(P.edges(s, d), first_author(s, d), P.nodes(s, d), 6, local_edges=0).select("id", "hops")
 
-@query(with_("trade", recursive=True) + TRADE_E + ", walk(id, depth) AS (SELECT (SELECT min(n_name) FROM nation), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON e.src = walk.id WHERE depth < 4) SELECT id, min(depth)::INTEGER AS hops FROM walk WHERE id = (SELECT max(n_name) FROM nation) GROUP BY 1")
+
+@query(_sql_paths(4) + " SELECT id, hops::INTEGER AS hops, array_to_string(path, '>') AS path FROM p4 WHERE id = (SELECT max('topic:' || p_partkey) FROM part)")
 def evidence_path(s, d):
-    ends = T(s, d, "nation").agg(F.min("n_name"), F.max("n_name")).first()
-    return H.evidence_path(trade_graph(s, d), ends[0], ends[1], 4).select("id", "hops")
+    last = T(s, d, "part").agg(F.max(F.concat(F.lit("topic:"), F.col("p_partkey").cast("string")))).first()[0]
+    return H.evidence_path(P.edges(s, d), first_author(s, d), last, 4).select("id", "hops", F.array_join("path", ">").alias("path"))
+
+
+def _sql_weighted(rounds: int) -> str:
+    out = with_("related") + ", e AS (SELECT src, dst, min(len) AS len FROM (SELECT src, dst, 1 / shared::DOUBLE AS len FROM related UNION ALL SELECT dst, src, 1 / shared::DOUBLE FROM related) GROUP BY 1, 2), d0 AS (SELECT min(src) AS id, 0::DOUBLE AS d FROM related)"
+    for k in range(1, rounds + 1):
+        out += f", d{k} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT e.dst, d + len FROM d{k - 1} JOIN e ON e.src = id) GROUP BY 1)"
+    return out + f" SELECT id::VARCHAR AS id, round(d, 6) AS distance FROM d{rounds}"
+
+
+@query(_sql_weighted(40))
+def weighted_distances(s, d):
+    e = related(s, d)
+    start = e.agg(F.min("src").cast("string")).first()[0]
+    w = e.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.col("shared").cast("double").alias("weight"))
+    return H.weighted_distances(w, start).select("id", F.round("distance", 6).alias("distance")) if start else w.select(F.col("src").alias("id"), F.col("weight").alias("distance")).limit(0)
+
+
+@query(with_("near", recursive=True) + ", walk(id, depth) AS (SELECT (SELECT min(src) FROM near), 0 UNION SELECT near.dst, depth + 1 FROM walk JOIN near ON near.src = walk.id WHERE depth < 3) SELECT id::VARCHAR AS id, min(depth)::INTEGER AS depth FROM walk GROUP BY 1")
+def bfs_distributed(s, d):
+    return H.distances(parts_graph(s, d), related(s, d).agg(F.min("src").cast("string").alias("id")), 3, local_edges=0)
 
 
 @query(with_("related", recursive=True) + """, near AS (SELECT src, dst FROM related WHERE shared >= 3 UNION SELECT dst, src FROM related WHERE shared >= 3), walk(id, root) AS (SELECT src, src FROM near UNION SELECT near.dst, root FROM walk JOIN near ON near.src = walk.id)
@@ -82,6 +122,12 @@ def components(s, d):
     return H.components(n, related(s, d).where("shared >= 3")).select(F.col("id").cast("string").alias("id"), F.col("component").cast("string").alias("component"))
 
 
+@query(SQL["components"])
+def components_distributed(s, d):
+    n = T(s, d, "part").select(F.col("p_partkey").alias("id"))
+    return H.components(n, related(s, d).where("shared >= 3"), local_edges=0).select(F.col("id").cast("string").alias("id"), F.col("component").cast("string").alias("component"))
+
+
 @query(with_("near", recursive=True) + ", walk(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey IN (1, 2, 3) UNION SELECT near.dst, depth + 1 FROM walk JOIN near ON near.src = walk.id WHERE depth < 2) SELECT id::VARCHAR AS id, min(depth)::INTEGER AS depth FROM walk GROUP BY 1 ORDER BY 2, 1 LIMIT 50")
 def subgraph_depth(s, d):
     n = T(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("Topic").alias("label"), F.col("p_name").alias("name"), F.lit(None).cast("int").alias("year"))
@@ -112,21 +158,27 @@ def pagerank_10(s, d):
     return A.pagerank(nations(s, d), e, rounds=10, tolerance=0).select("id", F.round("pagerank", 6).alias("pagerank"))
 
 
+@query(SQL["pagerank_10"])
+def pagerank_distributed(s, d):
+    e = P.trade(s, d).select("src", "dst", F.col("n").cast("double").alias("weight"))
+    return A.pagerank(nations(s, d), e, rounds=10, tolerance=0, local_edges=0).select("id", F.round("pagerank", 6).alias("pagerank"))
+
+
 @query()
 def pagerank_parts(s, d):
     n = T(s, d, "part").select(F.col("p_partkey").cast("string").alias("id"))
     return A.pagerank(n, parts_graph(s, d), rounds=20, tolerance=1e-6)
 
 
-BETWEEN = with_("trade", recursive=True) + TRADE_E + """, walk(s, id, path) AS (SELECT n_name, n_name, [n_name] FROM nation UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM walk JOIN e ON e.src = walk.id WHERE len(path) < 5 AND NOT list_contains(path, e.dst)),
+BETWEEN = "WITH RECURSIVE " + PLACES + """, walk(s, id, path) AS (SELECT id, id, [id] FROM ids UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM walk JOIN e ON e.src = walk.id WHERE NOT list_contains(path, e.dst)),
 best AS (SELECT s, id, min(len(path)) AS k FROM walk WHERE s <> id GROUP BY 1, 2), sp AS (SELECT w.s, w.id, w.path FROM walk w JOIN best b ON b.s = w.s AND b.id = w.id AND b.k = len(w.path)), cnt AS (SELECT s, id, count(*) AS c FROM sp GROUP BY 1, 2),
 mid AS (SELECT v, sum(1.0 / c) AS t FROM (SELECT s, id, unnest(path[2:-2]) AS v FROM sp) JOIN cnt USING (s, id) GROUP BY 1)
-SELECT n_name AS id, round(coalesce(t, 0) / ((SELECT count(*) FROM nation) - 1) / ((SELECT count(*) FROM nation) - 2), 6)::DOUBLE AS betweenness FROM nation LEFT JOIN mid ON v = n_name"""
+SELECT id, round(coalesce(t, 0) / ((SELECT count(*) FROM ids) - 1) / ((SELECT count(*) FROM ids) - 2), 6)::DOUBLE AS betweenness FROM ids LEFT JOIN mid ON v = ids.id"""
 
 
 @query(BETWEEN)
 def betweenness_nations(s, d):
-    return A.betweenness(nations(s, d), trade_graph(s, d), weighted=False)
+    return A.betweenness(*places(s, d), weighted=False)
 
 
 @query()
@@ -157,7 +209,7 @@ def gap_frames(s, d):
     o = T(s, d, "orders").select(F.col("o_orderkey").alias("paper"), F.year("o_orderdate").alias("year"), F.col("o_orderpriority").alias("community"), F.col("o_totalprice").alias("pagerank"))
     papers = o.join(deg, "paper").select("paper", "year", "community", "pagerank", F.col("k").alias("betweenness"))
     co = N.cooccurrence(brands(s, d), "paper", "brand", least=1)
-    links = co.where("shared % 2 = 0").select("a", "b", F.col("jaccard").alias("weight"))
+    links = co.select("a", "b", F.col("jaccard").alias("weight"))
     return members, studies, papers, links
 
 
@@ -183,17 +235,33 @@ def pair_rejections(s, d):
     return O.rejections(names, members, O.cluster_papers(members, studies))
 
 
-@query(GAP + """, papers AS (SELECT o_orderkey AS paper, year(o_orderdate) AS year, o_orderpriority AS community FROM orders WHERE o_orderkey IN (SELECT paper FROM brands)), f AS (SELECT * FROM own JOIN papers USING (paper)),
-c AS (SELECT cluster, community, count(*) AS n FROM f GROUP BY 1, 2), p AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster)::DOUBLE AS p FROM c), sep AS (SELECT x.cluster AS a, y.cluster AS b, round(1 - sum(least(x.p, y.p)), 6) AS community_separation FROM p x JOIN p y ON x.community = y.community AND x.cluster < y.cluster GROUP BY 1, 2),
-u AS (SELECT a, b, count(*) AS scoped_papers, count(*) FILTER (year >= 1999) AS recent_papers, count(*) FILTER (k = 2) AS bridge_papers, count(*) FILTER (k = 2 AND year >= 2000) AS bridges_recent FROM (SELECT a, b, paper, any_value(year) AS year, count(*) AS k FROM pr JOIN f ON cluster IN (a, b) GROUP BY 1, 2, 3) GROUP BY 1, 2), w AS (SELECT count(*) FILTER (year >= 1999) / count(*)::DOUBLE AS w FROM papers)
-SELECT a, b, community_separation, scoped_papers, recent_papers, bridge_papers, bridges_recent, round(least(1.0, recent_papers / scoped_papers::DOUBLE / greatest(0.05, w) * 0.75), 6) AS research_activity FROM sep JOIN u USING (a, b), w""")
+FEATURES = GAP.replace("WITH ", "WITH " + CTES["vecs"] + ", ", 1) + """, papers AS (SELECT o_orderkey AS paper, year(o_orderdate) AS year, o_orderpriority AS community, o_totalprice AS pagerank, k::DOUBLE AS betweenness FROM orders JOIN (SELECT paper, count(*) AS k FROM brands GROUP BY 1) ON paper = o_orderkey),
+f AS (SELECT * FROM own JOIN papers USING (paper)), bn AS (SELECT brand, count(*) AS n FROM brands GROUP BY 1),
+links AS (SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS weight FROM (SELECT p.brand AS a, q.brand AS b, count(*) AS k FROM brands p JOIN brands q ON p.paper = q.paper AND p.brand < q.brand GROUP BY 1, 2) JOIN bn x ON x.brand = a JOIN bn y ON y.brand = b),
+sz AS (SELECT cluster, count(*) AS n FROM members GROUP BY 1), inn AS (SELECT cluster, n, CASE WHEN n > 1 THEN coalesce(w, 0) / (n * (n - 1) / 2.0) ELSE 0 END AS density FROM sz LEFT JOIN (SELECT x.cluster, sum(weight) AS w FROM links JOIN members x ON x.topic = a JOIN members y ON y.topic = b AND y.cluster = x.cluster GROUP BY 1) USING (cluster)),
+cr AS (SELECT least(x.cluster, y.cluster) AS a, greatest(x.cluster, y.cluster) AS b, sum(weight) AS w FROM links JOIN members x ON x.topic = links.a JOIN members y ON y.topic = links.b WHERE x.cluster <> y.cluster GROUP BY 1, 2),
+nb AS (SELECT DISTINCT m.cluster, l.b AS topic FROM members m JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = m.topic WHERE NOT EXISTS (SELECT 1 FROM members z WHERE z.cluster = m.cluster AND z.topic = l.b)),
+nk AS (SELECT cluster, count(*) AS k FROM nb GROUP BY 1), met AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS m FROM nb x JOIN nb y ON x.topic = y.topic AND x.cluster < y.cluster GROUP BY 1, 2),
+cc AS (SELECT cluster, community, count(*) AS n FROM f GROUP BY 1, 2), cp AS (SELECT *, n / sum(n) OVER (PARTITION BY cluster)::DOUBLE AS p FROM cc), sep AS (SELECT x.cluster AS a, y.cluster AS b, round(1 - sum(least(x.p, y.p)), 6) AS s FROM cp x JOIN cp y ON x.community = y.community AND x.cluster < y.cluster GROUP BY 1, 2),
+rk AS (SELECT paper, 0.5::DOUBLE * (p1 + p2) AS position FROM (SELECT paper, round((row_number() OVER (ORDER BY pagerank, paper) - 1) / greatest(1, count(*) OVER () - 1)::DOUBLE, 6) AS p1, round((row_number() OVER (ORDER BY betweenness, paper) - 1) / greatest(1, count(*) OVER () - 1)::DOUBLE, 6) AS p2 FROM papers)),
+u AS (SELECT a, b, count(*) AS n, count(*) FILTER (year >= 1999) AS recent, sum(position) AS pos, count(*) FILTER (k = 2) AS bridges, count(*) FILTER (k = 2 AND year >= 2000) AS bridges_recent, count(*) FILTER (k = 2 AND year < 2000 AND year > 0) AS bridges_older FROM (SELECT a, b, paper, any_value(year) AS year, any_value(position) AS position, count(*) AS k FROM pr JOIN f ON cluster IN (a, b) JOIN rk USING (paper) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+bv AS (SELECT p_brand AS topic, list(x ORDER BY i) AS vec FROM (SELECT DISTINCT p_brand FROM part) JOIN (SELECT cluster AS label, i, avg(x) AS x FROM (SELECT cluster, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM vecs) GROUP BY 1, 2) ON label = regexp_extract(p_brand, '[0-9]+')::INTEGER % 5 GROUP BY 1), mv AS (SELECT cluster, topic, vec FROM members JOIN bv USING (topic)),
+cs AS (SELECT a, b, list_cosine_similarity(x.vec, y.vec) AS c, true AS crossed FROM pr JOIN mv x ON x.cluster = a JOIN mv y ON y.cluster = b UNION ALL SELECT a, b, list_cosine_similarity(x.vec, y.vec), false FROM pr JOIN mv x ON x.cluster IN (a, b) JOIN mv y ON y.cluster = x.cluster AND x.topic < y.topic),
+si AS (SELECT a, b, avg(c) FILTER (crossed) AS similarity, greatest(0.12, least(0.85, list_sort(list(c))[least(floor(0.9 * count(*))::INTEGER, count(*)::INTEGER - 1) + 1])) AS reference FROM cs GROUP BY 1, 2), w AS (SELECT count(*) FILTER (year >= 1999) / greatest(1, count(*))::DOUBLE AS w FROM papers),
+g AS (SELECT pr.a, pr.b, coalesce(sep.s, 1.0) AS s, coalesce(similarity, 0.0) AS similarity, coalesce(reference, 0.35) AS reference, CASE WHEN coalesce(ka.k, 0) + coalesce(kb.k, 0) - coalesce(m, 0) > 0 THEN coalesce(m, 0) / (coalesce(ka.k, 0) + coalesce(kb.k, 0) - coalesce(m, 0))::DOUBLE ELSE 0 END AS jac, 0.5 * (ia.density + ib.density) AS internal, coalesce(cr.w, 0) AS crossed, coalesce(cr.w, 0) / greatest(1.0, ia.n * ib.n) AS density, u.* EXCLUDE (a, b), w.w
+ FROM pr JOIN inn ia ON ia.cluster = pr.a JOIN inn ib ON ib.cluster = pr.b JOIN u ON u.a = pr.a AND u.b = pr.b LEFT JOIN sep ON sep.a = pr.a AND sep.b = pr.b LEFT JOIN si ON si.a = pr.a AND si.b = pr.b LEFT JOIN cr ON cr.a = pr.a AND cr.b = pr.b LEFT JOIN met ON met.a = pr.a AND met.b = pr.b LEFT JOIN nk ka ON ka.cluster = pr.a LEFT JOIN nk kb ON kb.cluster = pr.b, w),
+features AS (SELECT a, b, round(s, 6)::DOUBLE AS community_separation, round(0.6 * least(1.0, similarity / reference) + 0.4 * least(1.0, jac / 0.6), 6)::DOUBLE AS semantic_similarity, round(1 - least(1.0, CASE WHEN internal > 0 THEN density / (internal * 0.5) ELSE 0 END), 6)::DOUBLE AS relationship_sparsity,
+ round(least(1.0, recent / n::DOUBLE / greatest(0.05, w) * 0.75), 6)::DOUBLE AS research_activity, round(least(1.0, pos / n + CASE WHEN bridges > 0 THEN 0.15 ELSE 0 END), 6)::DOUBLE AS bridge_potential, round(crossed, 6)::DOUBLE AS cross_edge_weight, bridges AS bridge_papers, bridges_recent, bridges_older, round(jac, 6)::DOUBLE AS neighbourhood_jaccard, n AS scoped_papers, recent AS recent_papers FROM g)"""
+SCORES = FEATURES + ", scored AS (SELECT *, round(0::DOUBLE + " + " + ".join(f"{100 * w!r}::DOUBLE * {k}" for k, w in O.WEIGHTS.items()) + ", 2) AS score FROM features), told AS (SELECT *, CASE WHEN score >= 68 AND scoped_papers >= 8 THEN 'Medium-High' WHEN score >= 55 AND scoped_papers >= 5 THEN 'Medium' ELSE 'Low' END AS confidence, CASE WHEN bridges_recent + bridges_older = 0 THEN 'no bridges in corpus' WHEN bridges_recent = 0 THEN 'persistent gap' WHEN bridges_older = 0 THEN 'emerging bridge' WHEN bridges_recent * 2 >= bridges_recent + bridges_older THEN 'closing gap' ELSE 'slowly closing gap' END AS trajectory FROM scored)"
+
+
+@query(FEATURES + " SELECT * FROM features")
 def pair_features(s, d):
     members, studies, papers, links = gap_frames(s, d)
-    f = O.features(members, studies, papers, links, gap_vectors(s, d), recent=1999, bridge_recent=2000)
-    return f.select("a", "b", "community_separation", "scoped_papers", "recent_papers", "bridge_papers", "bridges_recent", "research_activity")
+    return O.features(members, studies, papers, links, gap_vectors(s, d), recent=1999, bridge_recent=2000)
 
 
-@query()
+@query(SCORES + " SELECT * FROM told")
 def opportunity_score(s, d):
     members, studies, papers, links = gap_frames(s, d)
     f = O.score(O.features(members, studies, papers, links, gap_vectors(s, d), recent=1999, bridge_recent=2000))
@@ -215,14 +283,21 @@ def score_model(s, d):
     return s.createDataFrame(O.score_model_rows(), "component string, label string, weight double")
 
 
-@query()
+@query(GAP + """, p AS (SELECT cluster, paper, o_totalprice AS pagerank FROM own JOIN orders ON o_orderkey = paper), t AS (SELECT cluster, paper, r FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pagerank DESC, paper) AS r FROM p) WHERE r <= 3),
+c AS (SELECT a, b, paper, 1 AS k, r, 'cluster_a' AS role FROM pr JOIN t ON cluster = a UNION ALL SELECT a, b, paper, 2, r, 'cluster_b' FROM pr JOIN t ON cluster = b UNION ALL SELECT a, b, paper, 3, r, 'bridge' FROM (SELECT x.cluster AS a, y.cluster AS b, paper, row_number() OVER (PARTITION BY x.cluster, y.cluster ORDER BY x.pagerank DESC, paper) AS r FROM p x JOIN p y USING (paper) WHERE x.cluster < y.cluster) WHERE r <= 3)
+SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY k, r) AS pos, paper, role FROM (SELECT *, row_number() OVER (PARTITION BY a, b, paper ORDER BY k, r) AS z FROM c) WHERE z = 1""")
 def evidence_papers(s, d):
     members, studies, papers, _ = gap_frames(s, d)
     own = O.cluster_papers(members, studies)
     return O.evidence(own, papers, O.pairs(members))
 
 
-@query()
+ENTANGLED = """, size AS (SELECT cluster, count(*) AS n FROM own GROUP BY 1), both_ AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS k FROM own x JOIN own y ON x.paper = y.paper AND x.cluster < y.cluster GROUP BY 1, 2),
+fit AS (SELECT told.* FROM told JOIN size x ON x.cluster = a JOIN size y ON y.cluster = b LEFT JOIN both_ USING (a, b) WHERE coalesce(k, 0) / least(x.n, y.n)::DOUBLE < 0.35), best AS (SELECT *, 1.0::DOUBLE AS relevance, round_even(score / 2.5, 0) AS bucket, a || '|' || b AS key FROM fit ORDER BY bucket DESC, key LIMIT 10),
+ranked AS (SELECT * EXCLUDE (key), row_number() OVER (ORDER BY bucket DESC, key) AS rank FROM best)"""
+
+
+@query(SCORES + ENTANGLED + f" SELECT *, printf('%s and %s: score %.1f over %d papers, %d bridges, %s. %s', a, b, round(score, 1), scoped_papers, bridge_papers, trajectory, '{NOTICE}') AS rationale FROM ranked")
 def gaps(s, d):
     from graphloom.plans.research import find_gaps
 

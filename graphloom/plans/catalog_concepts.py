@@ -29,11 +29,11 @@ def concept_graph(s, d):
     return x.select("a", "b", F.round("weight", 4).alias("weight"))
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS g, p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_suppkey % 3 = 0 AND l_quantity > 45), n AS (SELECT i, count(*) AS n FROM p GROUP BY 1),
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS g, p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey), n AS (SELECT i, count(*) AS n FROM p GROUP BY 1),
 c AS (SELECT x.i AS a, y.i AS b, count(*) AS k FROM p x JOIN p y ON x.g = y.g AND x.i <> y.i GROUP BY 1, 2), j AS (SELECT a, b, round(k / (na.n + nb.n - k)::DOUBLE, 6) AS jaccard FROM c JOIN n na ON na.i = a JOIN n nb ON nb.i = b)
 SELECT a, b, jaccard, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY jaccard DESC, b) AS rank FROM j WHERE jaccard >= 0.4) WHERE rank <= 15""")
 def node_similarity(s, d):
-    li = T(s, d, "lineitem").where("l_suppkey % 3 = 0 and l_quantity > 45").join(T(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    li = T(s, d, "lineitem").join(T(s, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
     return K.node_similarity(li.select(F.col("l_suppkey").alias("g"), F.col("p_brand").alias("i")), "g", "i").select("a", "b", "jaccard", "rank")
 
 

@@ -151,17 +151,17 @@ def bridge_entities(s, d):
     return N.bridges(brands(s, d), "paper", "brand", a, b)
 
 
-@query(with_("edges") + ", ids AS (SELECT 'author:' || c_custkey AS id FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 'paper:' || o_orderkey FROM orders WHERE o_orderkey <= 2000) SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
+@query(with_("edges") + ", ids AS (SELECT 'author:' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'paper:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') SELECT src, dst, type FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)")
 def induced_edges(s, d):
     return N.induced(P.edges(s, d).select("src", "dst", "type"), some_ids(s, d))
 
 
 def some_ids(s, d):
-    a = T(s, d, "customer").where("c_custkey <= 50").select(F.concat(F.lit("author:"), F.col("c_custkey").cast("string")).alias("id"))
-    return a.unionByName(T(s, d, "orders").where("o_orderkey <= 2000").select(F.concat(F.lit("paper:"), F.col("o_orderkey").cast("string")).alias("id")))
+    a = T(s, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("author:"), F.col("c_custkey").cast("string")).alias("id"))
+    return a.unionByName(T(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("paper:"), F.col("o_orderkey").cast("string")).alias("id")))
 
 
-@query(with_("adj") + ", ids AS (SELECT 'author:' || c_custkey AS id FROM customer WHERE c_custkey <= 50 UNION ALL SELECT 'paper:' || o_orderkey FROM orders WHERE o_orderkey <= 2000) SELECT DISTINCT dst AS id FROM adj WHERE src IN (SELECT id FROM ids) AND dst NOT IN (SELECT id FROM ids)")
+@query(with_("adj") + ", ids AS (SELECT 'author:' || c_custkey AS id FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT 'paper:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') SELECT DISTINCT dst AS id FROM adj WHERE src IN (SELECT id FROM ids) AND dst NOT IN (SELECT id FROM ids)")
 def frontier(s, d):
     return N.frontier(P.edges(s, d), some_ids(s, d))
 
@@ -178,9 +178,9 @@ def cross_group_shared(s, d):
     return N.cooccurrence(x, "p", "g").select("a", "b", "shared")
 
 
-@query("SELECT c_custkey AS id, c_name AS name, o_orderkey AS other FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' WHERE c_custkey % 5 = 0")
+@query("SELECT c_custkey AS id, c_name AS name, o_orderkey AS other FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'")
 def optional_neighbourhood(s, d):
-    c = T(s, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    c = T(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     o = T(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("other"))
     return c.join(o, "id", "left")
 
@@ -410,7 +410,7 @@ def export_csv_edges(s, d):
     return sinks.csv_frames(n, N.induced(P.edges(s, d), n.select("id")))[1].select("source", "source_type", "target", "target_type", "relationship")
 
 
-@query()
+@query(with_("nodes") + """ SELECT 'node' AS kind, id, '{"id":"' || id || '","label":"' || label || '","name":"' || name || '"}' AS json FROM nodes WHERE label = 'Dataset'""")
 def export_json_rows(s, d):
     n = P.nodes(s, d).where("label = 'Dataset'")
     return sinks.json_rows(n, N.induced(P.edges(s, d), n.select("id")))
@@ -423,7 +423,9 @@ def calls_per_minute(s, d):
     return per_minute(T(s, d, "events"), "user_id", "ts")
 
 
-@query()
+@query("""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+r(event_id, event_type, i, held, admitted) AS (SELECT event_id, event_type, i, [t], true FROM e WHERE i = 1 UNION ALL SELECT event_id, event_type, i, CASE WHEN len(held) < 3 THEN list_append(held, t) ELSE held END, len(held) < 3 FROM (SELECT e.*, list_filter(r.held, lambda x: x > e.t - 3600000000) AS held FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1))
+SELECT event_id, event_type, admitted FROM r""")
 def rate_limiter(s, d):
     from graphloom.streaming.limiter import admit
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as X
 from graphloom.operators import claims as C
 from graphloom.plans import research as R
 from graphloom.plans.catalog_algorithms import gap_frames, gap_vectors
-from graphloom.plans.catalog_text import SCORED, made_claims
+from graphloom.plans.catalog_text import SCORED, _sql_in, _sql_list, made_claims, sql_stem, sql_tokens
 from graphloom.plans.registry import query, with_
 from graphloom.sources import projection as P
 
@@ -22,12 +23,26 @@ def papers(s, d):
 
 
 
-@query()
+TERMS = R.question_terms(QUESTION)
+NOISE = sorted(set(X.QUESTION_NOISE) | set(X.STOPWORDS))
+
+
+def sql_compounds(text: str) -> str:
+    return f"list_distinct(list_filter(list_transform(flatten(list_transform({sql_tokens(text)}, lambda t: list_concat([t], string_split(replace(t, '_', '-'), '-')))), lambda x: {sql_stem('x')}), lambda x: length(x) > 1 AND x NOT IN {_sql_in(NOISE)}))"
+
+
+RANKED = f"""WITH q AS (SELECT unnest({_sql_list(TERMS)}) AS term), x AS (SELECT p_partkey AS id, p_size AS year, p_name AS title, {sql_compounds('p_name')} AS a, {sql_compounds('p_type')} AS b, {sql_compounds('p_brand')} AS c FROM part),
+h AS (SELECT id, year, title, term, list_contains(a, term) AS in_a, list_contains(b, term) AS in_b, list_contains(c, term) AS in_c FROM x, q WHERE list_contains(a, term) OR list_contains(b, term) OR list_contains(c, term)),
+w AS (SELECT q.term, ln(1 + (greatest(1, (SELECT count(*) FROM part)) + 0.5) / (count(h.id) + 0.5)) AS w FROM q LEFT JOIN h USING (term) GROUP BY 1), s AS (SELECT id, any_value(year) AS year, any_value(title) AS title, string_agg(term, ',' ORDER BY term) AS matched, round((0.52 * sum(CASE WHEN in_a THEN w ELSE 0 END) + 0.30 * sum(CASE WHEN in_b THEN w ELSE 0 END) + 0.18 * sum(CASE WHEN in_c THEN w ELSE 0 END)) / (SELECT sum(w) FROM w) / 1.05, 4) AS relevance FROM h JOIN w USING (term) GROUP BY 1),
+ranked AS (SELECT id, relevance, matched, year FROM s ORDER BY relevance DESC, coalesce(year, 0) DESC, lower(title), id LIMIT 50)"""
+
+
+@query(RANKED + " SELECT * FROM ranked")
 def paper_rank(s, d):
     return R.rank_papers(papers(s, d), QUESTION, limit=50)
 
 
-@query()
+@query(RANKED + f" SELECT count(*) AS papers, min(year) AS first, max(year) AS last, {len(TERMS)} AS terms, (SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(matched, ',')) AS t FROM ranked)) AS hit, round((SELECT count(DISTINCT t) FROM (SELECT unnest(string_split(matched, ',')) AS t FROM ranked)) / {len(TERMS)}::DOUBLE, 3) AS coverage FROM ranked")
 def paper_coverage(s, d):
     return R.coverage_report(R.rank_papers(papers(s, d), QUESTION, limit=50), QUESTION)
 

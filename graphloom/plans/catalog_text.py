@@ -52,7 +52,7 @@ def sql_direction(forms: str) -> str:
 
 
 SENT = "list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?]+[.!?]*'), lambda s: trim(regexp_replace(s, '[ \\t\\r\\n]+', ' ', 'g'))), lambda s: length(s) > 0)"
-CLAIMS = f"""claims AS (SELECT item_id::VARCHAR || ':' || (i - 1) AS id, s[i] AS text, 'paper:' || item_id AS paper FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {SENT} AS s FROM benchmark)) WHERE i <= 3 AND length(s[i]) BETWEEN 20 AND 400),
+CLAIMS = f"""claims AS (SELECT item_id::VARCHAR || ':' || (i - 1) AS id, s[i] AS text, 'paper:' || item_id AS paper FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {SENT} AS s FROM benchmark))),
 toks AS (SELECT *, {sql_tokens('text')} AS t FROM claims),
 parsed AS (SELECT id, text, paper, t, array_to_string(list_filter(t, lambda x: length(x) > 3)[1:3], ' ') AS subject, array_to_string(list_filter(t, lambda x: length(x) > 3)[4:6], ' ') AS predicate,
  {sql_direction('f')} AS direction, {sql_negated('text')} AS negated, {sql_strength('t')} AS strength, list_distinct(list_transform(list_filter(t, lambda x: length(x) > 3), lambda x: {sql_stem('x')})) AS stems FROM (SELECT *, {sql_forms('t')} AS f FROM toks))"""
@@ -230,13 +230,13 @@ TEMPLATES = [
 
 
 def made_claims(s, d):
-    p = T(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", "")).alias("x")).where("k <= 200")
+    p = T(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]+", "")).alias("x"))
     texts = F.element_at(X.words(TEMPLATES), (F.col("k") % len(TEMPLATES) + 1).cast("int"))
     group = F.concat(F.lit("task"), (F.col("k") / 6).cast("int").cast("string"))
     return p.select(F.lpad(F.col("k").cast("string"), 6, "0").alias("id"), F.replace(texts, F.lit("{x}"), group).alias("text"), F.concat(F.lit("p"), (F.col("k") % 7).cast("string")).alias("paper"))
 
 
-MADE = "claims AS (SELECT lpad(k::VARCHAR, 6, '0') AS id, replace((" + _sql_list(TEMPLATES) + ")[(k % 6 + 1)::INTEGER], '{x}', 'task' || floor(k / 6)::INTEGER) AS text, 'p' || (k % 7) AS paper FROM (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey <= 200))"
+MADE = "claims AS (SELECT lpad(k::VARCHAR, 6, '0') AS id, replace((" + _sql_list(TEMPLATES) + ")[(k % 6 + 1)::INTEGER], '{x}', 'task' || floor(k / 6)::INTEGER) AS text, 'p' || (k % 7) AS paper FROM (SELECT s_suppkey AS k FROM supplier))"
 PARSED = MADE + CLAIMS[CLAIMS.index(",\ntoks AS") :]
 OPPOSED = " OR ".join(f"(a.direction = '{x}' AND b.direction = '{y}') OR (a.direction = '{y}' AND b.direction = '{x}')" for x, y in X.DIRECTIONS)
 SCORED = (

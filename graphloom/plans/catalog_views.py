@@ -77,12 +77,12 @@ def duplicate_ids(s, d):
     return corpus.duplicates(T(s, d, "lineitem").select(F.col("l_returnflag").alias("label"), F.col("l_orderkey").alias("id")))
 
 
-@query("SELECT coalesce(a.k, b.k) AS id, coalesce(b.name, a.name) AS name, a.bal FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer WHERE c_custkey <= 40) b ON a.k = b.k")
+@query("SELECT coalesce(a.k, b.k) AS id, coalesce(b.name, a.name) AS name, a.bal FROM (SELECT s_suppkey AS k, s_name AS name, s_acctbal AS bal FROM supplier) a FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS name FROM customer) b ON a.k = b.k")
 def upsert(s, d):
     from graphloom.sources.sinks import upsert as put
 
     old = T(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("bal"))
-    return put(old, T(s, d, "customer").where("c_custkey <= 40").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name")), "id")
+    return put(old, T(s, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).alias("name")), "id")
 
 
 @query()
@@ -99,7 +99,7 @@ def lexical_embedding_fnv(s, d):
     return made_claims(s, d).select("id", V.lexical(384, V.fnv1a)(F.col("text")).alias("vec"))
 
 
-@query(with_("adj") + " SELECT src AS id, count(*) AS degree FROM adj WHERE src IN (SELECT 'author:' || c_custkey FROM customer WHERE c_custkey <= 20) AND type = 'AUTHORED' GROUP BY 1")
+@query(with_("adj") + " SELECT src AS id, count(*) AS degree FROM adj WHERE src IN (SELECT 'author:' || c_custkey FROM customer) AND type = 'AUTHORED' GROUP BY 1")
 def author_degrees(s, d):
-    ids = T(s, d, "customer").where("c_custkey <= 20").select(F.concat(F.lit("author:"), F.col("c_custkey").cast("string")).alias("id"))
+    ids = T(s, d, "customer").select(F.concat(F.lit("author:"), F.col("c_custkey").cast("string")).alias("id"))
     return N.degree(P.edges(s, d).where("type = 'AUTHORED'")).join(ids, "id", "left_semi").select("id", "degree")

@@ -85,10 +85,9 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("cluster"))
 
 
-def claims(spark: SparkSession, d: str, most: int = 3) -> DataFrame:
-    """(id, text, paper): sentences of 20 to 400 characters of ``benchmark`` texts, the first ``most`` of each."""
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    """(id, text, paper): the sentences of ``benchmark`` texts."""
     from graphloom.functions.text import sentences
 
     s = table(spark, d, "benchmark").select("item_id", F.posexplode(sentences(F.col("text"))).alias("pos", "text"))
-    s = s.where(F.length("text").between(20, 400) & (F.col("pos") < most))
     return s.select(F.concat_ws(":", F.col("item_id").cast("string"), F.col("pos").cast("string")).alias("id"), "text", F.concat(F.lit("paper:"), F.col("item_id").cast("string")).alias("paper"))
