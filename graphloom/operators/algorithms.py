@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import local
-from graphloom.operators.graph import adjacency, induced, simple, two_hop
+from graphloom.operators.graph import adjacency, induced, project, simple, two_hop
 from graphloom.shipping import ship
+from graphloom.sources import model
 from graphloom.sources.working import keep
 
 
@@ -61,6 +62,15 @@ def link_prediction(edges: DataFrame, pairs: DataFrame | None = None) -> DataFra
     return x.select("a", "b", common.alias("common"), F.round(F.coalesce(F.try_divide(common, F.col("da") + F.col("db") - common), F.lit(0.0)), 6).alias("jaccard"), F.round(F.coalesce("aa", F.lit(0.0)), 6).alias("adamic_adar"))
 
 
+def structural_similarity(nodes: DataFrame, edges: DataFrame, *, labels: list[str] | None = None, limit: int = 400) -> DataFrame:
+    """(a, b, common, jaccard, adamic_adar) of nodes two hops apart in the projection by associative types, the ``limit`` best.
+
+    Best is the greatest Adamic-Adar, then Jaccard, then the least ids.  These are predictions, not links.
+    """
+    _, e = project(nodes, edges, labels, model.ASSOCIATIVE)
+    return link_prediction(e).orderBy(F.desc("adamic_adar"), F.desc("jaccard"), "a", "b").limit(limit)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, *, weighted: bool = True, samples: int | None = None, seed: int = 7) -> DataFrame:
     """(id, betweenness): dependencies summed over sources, scaled by 1 / ((n-1)(n-2)).
 
@@ -222,3 +232,12 @@ def bridging(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(id, reach): distinct communities among each node's neighbours."""
     s = simple(edges)
     return s.join(labels.toDF("dst", "community"), "dst").groupBy(F.col("src").alias("id")).agg(F.countDistinct("community").alias("reach"))
+
+
+def bridging_scores(nodes: DataFrame, edges: DataFrame, between: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, betweenness, cross_community, bridge_score): .6 betweenness and .4 of the communities met, over an eighth of the other nodes."""
+    n = nodes.select("id").distinct()
+    most = n.agg((F.greatest(F.lit(1), F.count(F.lit(1)) - 1) / 8).alias("most"))
+    x = n.join(between.select("id", "betweenness"), "id", "left").join(bridging(edges, labels), "id", "left").join(F.broadcast(most))  # one row
+    cross = F.least(F.lit(1.0), F.coalesce("reach", F.lit(0)) / F.greatest(F.lit(1.0), F.col("most")))
+    return x.select("id", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.round(cross, 6).alias("cross_community"), F.round(0.6 * F.coalesce("betweenness", F.lit(0.0)) + 0.4 * cross, 6).alias("bridge_score"))

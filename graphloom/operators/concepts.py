@@ -139,3 +139,51 @@ def answer_match(questions: DataFrame, answers: DataFrame, least: float = 0.5) -
     x = met.join(q.select("q", F.size("tq").alias("nq")), "q").join(a.select("a", F.size("ta").alias("na")), "a")
     x = x.withColumn("jaccard", F.round(F.col("c") / (F.col("nq") + F.col("na") - F.col("c")), 6)).where(F.col("jaccard") >= least)
     return G.top_k(x, 1, ["q"], [F.desc("jaccard"), F.col("a")]).select("q", "a", "jaccard")
+
+
+def _tokens(question: str) -> list[str]:
+    import re
+
+    return [t for t in re.findall(X.TOKEN, question.lower()) if t not in X.STOPWORDS]
+
+
+def resolution(names, key: str, name: str, question: str, least: float | None = None):
+    """Topic names scored against a question: whole substring 1, else shared tokens, aliases and the head word.
+
+    Kept from .75 (one-word questions .5), or from ``least``.
+    """
+    asked = sorted({X.py_stem(t) for t in _tokens(question) if t not in X.QUERY_STOP})
+    head = X.py_stem([t for t in question.lower().replace("-", " ").split() if t not in X.QUERY_STOP][-1])
+    more = sorted({a for t in asked for a in X.ALIASES.get(t, [])} - set(asked))
+    toks = X.stems(F.filter(X.tokens(F.col(name)), lambda t: ~t.isin(X.QUERY_STOP)))
+    direct = F.size(F.array_intersect(toks, X.words(asked))) / max(1, len(asked))
+    alias = F.when(F.arrays_overlap(toks, X.words(more)), 1.0).otherwise(0.0) if more else F.lit(0.0)
+    score = F.when(F.lower(name).contains(question.lower()), 1.0).otherwise(F.least(F.lit(1.0), direct + F.when(direct > 0, 0.25 * alias).otherwise(0.0) + F.when(F.array_contains(toks, head), 0.3).otherwise(0.0)))
+    out = names.where(F.size(toks) > 0).select(key, name, F.round(score, 6).alias("score"))
+    return out.where(F.col("score") >= (least or (0.75 if len(asked) >= 2 else 0.5))).orderBy(F.desc("score"), name)
+
+
+def scope_scores(names, key: str, name: str, support: str, question: str):
+    """Topics scored as the scope of a question: .75 precision + .25 recall of their tokens; one word at most .55; a whole name 1."""
+    asked = sorted({X.py_stem(t) for t in _tokens(question)} - set(X.QUESTION_NOISE))
+    toks = X.stems(F.filter(X.tokens(F.col(name)), lambda t: ~t.isin(X.QUESTION_NOISE)))
+    both = F.size(F.array_intersect(toks, X.words(asked)))
+    raw = 0.75 * both / F.size(toks) + 0.25 * both / max(1, len(asked))
+    score = F.when(F.lit(question.lower()).contains(F.lower(name)), 1.0).when(F.size(toks) == 1, F.least(raw, F.lit(0.55))).otherwise(raw)
+    return names.where((F.size(toks) > 0) & (both > 0)).select(key, F.round(score, 6).alias("score"), support).orderBy(F.desc("score"), F.desc(support), F.lower(name))
+
+
+def query_relevance(named: DataFrame, question: str) -> DataFrame:
+    """(cluster, relevance) of (cluster, name), a row a topic: how near a cluster's words are to a question, for ranking only.
+
+    The share of the question's words that the topics have, and half the share of their aliases; 1 without a question, .2 for a cluster without words.
+    """
+    asked = sorted({X.py_stem(t) for t in _tokens(question) if t not in X.QUERY_STOP})
+    more = sorted({a for t in asked for a in X.ALIASES.get(t, [])} - set(asked))
+    toks = X.stems(F.filter(X.tokens(F.col("name")), lambda t: ~t.isin(X.QUERY_STOP)))
+    has = named.select("cluster", toks.alias("t")).groupBy("cluster").agg(F.array_distinct(F.flatten(F.collect_list(F.array_intersect("t", X.words(asked + more))))).alias("t") if asked else F.lit(None).alias("t"), F.sum(F.size("t")).alias("n"))
+    if not asked:
+        return has.select("cluster", F.lit(1.0).alias("relevance"))
+    part = lambda of: F.size(F.array_intersect("t", X.words(of))) / max(1, len(of)) if of else F.lit(0.0)
+    near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), part(asked) + 0.5 * part(more)))
+    return has.select("cluster", F.round(F.when(F.col("n") > 0, near).otherwise(0.2), 6).alias("relevance"))

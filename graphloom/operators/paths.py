@@ -48,12 +48,39 @@ def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int,
     return seen.join(targets.select("id").distinct(), "id", "left_semi")
 
 
+def observed(edges: DataFrame) -> DataFrame:
+    """Edges of observed types that aren't predicted."""
+    e = edges.where(F.col("type").isin(model.OBSERVED))
+    return e.where(~F.coalesce("predicted", F.lit(False))) if "predicted" in edges.columns else e
+
+
 def evidence_path(edges: DataFrame, source: str, target: str, most: int = 4) -> DataFrame:
     """The shortest path over observed, non-predicted edges, at most four hops."""
-    e = edges.where(F.col("type").isin(model.OBSERVED))
-    e = e.where(~F.coalesce("predicted", F.lit(False))) if "predicted" in edges.columns else e
     one = edges.sparkSession.createDataFrame([(target,)], "id string")
-    return shortest_paths(e, source, one, min(most, 4))
+    return shortest_paths(observed(edges), source, one, min(most, 4))
+
+
+def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, hops, path) of each of ``pairs`` (source, target, most) with a path of at most ``most`` hops.
+
+    Of several shortest paths the least in order of its ids counts.  All pairs go level by level together; a pair is
+    done when its target is met, so cost is that of the pairs' own neighbourhoods: meant for few pairs.
+    """
+    near = keep(simple(edges), "adjacency")
+    p = pairs.groupBy("source", "target").agg(F.max("most").alias("most"))
+    front = seen = keep(p.select("source", "target", "most", F.col("source").alias("id"), F.array("source").alias("path")), "pair-paths")
+    most = p.agg(F.max("most")).first()[0] or 0
+    met = seen.where("id = target")
+    for depth in range(1, most + 1):
+        todo = front.where(F.col("most") >= depth).join(met.select("source", "target"), ["source", "target"], "left_anti")
+        step = todo.select("source", "target", "most", F.col("id").alias("src"), "path").join(near, "src").select("source", "target", "most", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.join(seen.select("source", "target", "id"), ["source", "target", "id"], "left_anti").groupBy("source", "target", "most", "id").agg(F.min("path").alias("path"))
+        front = keep(step, "pair-paths")
+        if front.isEmpty():
+            break
+        seen = keep(seen.unionByName(front), "pair-paths")
+        met = seen.where("id = target")
+    return met.select("source", "target", (F.size("path") - 1).alias("hops"), "path")
 
 
 def _lengths(edges: DataFrame) -> DataFrame:

@@ -172,15 +172,27 @@ def pagerank_parts(s, d):
 
 BETWEEN = "WITH RECURSIVE " + PLACES + """, walk(s, id, path) AS (SELECT id, id, [id] FROM ids UNION ALL SELECT s, e.dst, list_append(path, e.dst) FROM walk JOIN e ON e.src = walk.id WHERE NOT list_contains(path, e.dst)),
 best AS (SELECT s, id, min(len(path)) AS k FROM walk WHERE s <> id GROUP BY 1, 2), sp AS (SELECT w.s, w.id, w.path FROM walk w JOIN best b ON b.s = w.s AND b.id = w.id AND b.k = len(w.path)), cnt AS (SELECT s, id, count(*) AS c FROM sp GROUP BY 1, 2),
-mid AS (SELECT v, sum(1.0 / c) AS t FROM (SELECT s, id, unnest(path[2:-2]) AS v FROM sp) JOIN cnt USING (s, id) GROUP BY 1)
-SELECT id, round(coalesce(t, 0) / ((SELECT count(*) FROM ids) - 1) / ((SELECT count(*) FROM ids) - 2), 6)::DOUBLE AS betweenness FROM ids LEFT JOIN mid ON v = ids.id"""
+mid AS (SELECT v, sum(1.0 / c) AS t FROM (SELECT s, id, unnest(path[2:-2]) AS v FROM sp) JOIN cnt USING (s, id) GROUP BY 1), bt AS (SELECT id, round(coalesce(t, 0) / ((SELECT count(*) FROM ids) - 1) / ((SELECT count(*) FROM ids) - 2), 6)::DOUBLE AS betweenness FROM ids LEFT JOIN mid ON v = ids.id)"""
 
 
-@query(BETWEEN)
+@query(BETWEEN + " SELECT * FROM bt")
 def betweenness_nations(s, d):
     return A.betweenness(*places(s, d), weighted=False)
 
 
+@query(BETWEEN + """, rc AS (SELECT src AS id, count(DISTINCT split_part(dst, ':', 1)) AS reach FROM e GROUP BY 1), x AS (SELECT bt.id, betweenness, least(1.0, coalesce(reach, 0) / greatest(1.0, greatest(1, (SELECT count(*) FROM ids) - 1) / 8.0))::DOUBLE AS c FROM bt LEFT JOIN rc USING (id))
+SELECT id, betweenness, round(c, 6) AS cross_community, round(0.6 * betweenness + 0.4 * c, 6) AS bridge_score FROM x""")
+def bridging_scores(s, d):
+    n, e = places(s, d)
+    return A.bridging_scores(n, e, A.betweenness(n, e, weighted=False), n.select("id", F.substring_index("id", ":", 1).alias("community")))
+
+
+@query(LP + " ORDER BY adamic_adar DESC, jaccard DESC, a, b LIMIT 400")
+def structural_similarity(s, d):
+    n = T(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Topic").alias("label"))
+    return A.structural_similarity(n, related(s, d).withColumn("type", F.lit("RELATED_TO")), labels=["Topic"])
+
+
 @query()
 def betweenness_sampled(s, d):
     e = parts_graph(s, d)
@@ -283,15 +295,35 @@ def score_model(s, d):
     return s.createDataFrame(O.score_model_rows(), "component string, label string, weight double")
 
 
-@query(GAP + """, p AS (SELECT cluster, paper, o_totalprice AS pagerank FROM own JOIN orders ON o_orderkey = paper), t AS (SELECT cluster, paper, r FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pagerank DESC, paper) AS r FROM p) WHERE r <= 3),
-c AS (SELECT a, b, paper, 1 AS k, r, 'cluster_a' AS role FROM pr JOIN t ON cluster = a UNION ALL SELECT a, b, paper, 2, r, 'cluster_b' FROM pr JOIN t ON cluster = b UNION ALL SELECT a, b, paper, 3, r, 'bridge' FROM (SELECT x.cluster AS a, y.cluster AS b, paper, row_number() OVER (PARTITION BY x.cluster, y.cluster ORDER BY x.pagerank DESC, paper) AS r FROM p x JOIN p y USING (paper) WHERE x.cluster < y.cluster) WHERE r <= 3)
-SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY k, r) AS pos, paper, role FROM (SELECT *, row_number() OVER (PARTITION BY a, b, paper ORDER BY k, r) AS z FROM c) WHERE z = 1""")
+EVIDENCE = GAP + """, p AS (SELECT cluster, paper, o_totalprice AS pagerank FROM own JOIN orders ON o_orderkey = paper), t AS (SELECT cluster, paper, r FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY pagerank DESC, paper) AS r FROM p) WHERE r <= 3),
+c AS (SELECT a, b, paper, 1 AS k, r, 'cluster_a' AS role FROM pr JOIN t ON cluster = a UNION ALL SELECT a, b, paper, 2, r, 'cluster_b' FROM pr JOIN t ON cluster = b UNION ALL SELECT a, b, paper, 3, r, 'bridge' FROM (SELECT x.cluster AS a, y.cluster AS b, paper, row_number() OVER (PARTITION BY x.cluster, y.cluster ORDER BY x.pagerank DESC, paper) AS r FROM p x JOIN p y USING (paper) WHERE x.cluster < y.cluster) WHERE r <= 3),
+ev AS (SELECT a, b, row_number() OVER (PARTITION BY a, b ORDER BY k, r) AS pos, paper, role FROM (SELECT *, row_number() OVER (PARTITION BY a, b, paper ORDER BY k, r) AS z FROM c) WHERE z = 1)"""
+
+
+@query(EVIDENCE + " SELECT * FROM ev")
 def evidence_papers(s, d):
     members, studies, papers, _ = gap_frames(s, d)
     own = O.cluster_papers(members, studies)
     return O.evidence(own, papers, O.pairs(members))
 
 
+@query(EVIDENCE + """, b3 AS (SELECT a, b, paper, row_number() OVER (PARTITION BY a, b ORDER BY pos, paper) AS r FROM ev WHERE role = 'bridge'), one AS (SELECT a, b, r, min(topic) FILTER (cluster = a) AS l, min(topic) FILTER (cluster = b) AS z FROM b3 JOIN brands USING (paper) JOIN members ON topic = brand WHERE r <= 3 GROUP BY 1, 2, 3 HAVING l IS NOT NULL AND z IS NOT NULL),
+few AS (SELECT cluster, topic, row_number() OVER (PARTITION BY cluster ORDER BY topic) AS i FROM members), two AS (SELECT a, b, x.i * 4 + y.i AS r, x.topic AS l, y.topic AS z FROM pr JOIN few x ON x.cluster = a AND x.i <= 4 JOIN few y ON y.cluster = b AND y.i <= 4 WHERE NOT EXISTS (SELECT 1 FROM one WHERE one.a = pr.a AND one.b = pr.b)),
+ends AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY r) AS k FROM (SELECT * FROM one UNION ALL SELECT * FROM two)), pp AS (SELECT x.brand AS l, y.brand AS z, min('paper:' || paper) AS p FROM brands x JOIN brands y USING (paper) WHERE x.brand <> y.brand GROUP BY 1, 2),
+got AS (SELECT a, b, l, pp.p, z, min(k) AS k FROM ends JOIN pp USING (l, z) WHERE k <= 3 GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY k) AS pos FROM got)
+SELECT a, b, pos::INTEGER AS pos, 'topic:' || l || '>' || p || '>topic:' || z AS path, CASE WHEN EXISTS (SELECT 1 FROM ev WHERE ev.a = top.a AND ev.b = top.b AND role = 'bridge' AND 'paper:' || ev.paper = top.p) THEN p ELSE '' END AS bridge_papers FROM top WHERE pos <= 2""")
+def candidate_paths(s, d):
+    from graphloom.plans.research import candidate_paths as paths
+
+    members, studies, papers, _ = gap_frames(s, d)
+    of = O.pairs(members)
+    bridge = O.evidence(O.cluster_papers(members, studies), papers, of).where("role = 'bridge'").select("a", "b", "pos", F.concat(F.lit("paper:"), F.col("paper").cast("string")).alias("paper"))
+    topic = F.concat(F.lit("topic:"), "topic")
+    e = studies.select(F.concat(F.lit("paper:"), F.col("paper").cast("string")).alias("src"), topic.alias("dst"), F.lit("STUDIES").alias("type"))
+    x = paths(e, members.select("cluster", topic.alias("topic")), of, bridge)
+    return x.select("a", "b", "pos", F.array_join("path", ">").alias("path"), F.array_join("bridge_papers", ",").alias("bridge_papers"))
+
+
 ENTANGLED = """, size AS (SELECT cluster, count(*) AS n FROM own GROUP BY 1), both_ AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS k FROM own x JOIN own y ON x.paper = y.paper AND x.cluster < y.cluster GROUP BY 1, 2),
 fit AS (SELECT told.* FROM told JOIN size x ON x.cluster = a JOIN size y ON y.cluster = b LEFT JOIN both_ USING (a, b) WHERE coalesce(k, 0) / least(x.n, y.n)::DOUBLE < 0.35), best AS (SELECT *, 1.0::DOUBLE AS relevance, round_even(score / 2.5, 0) AS bucket, a || '|' || b AS key FROM fit ORDER BY bucket DESC, key LIMIT 10),
 ranked AS (SELECT * EXCLUDE (key), row_number() OVER (ORDER BY bucket DESC, key) AS rank FROM best)"""

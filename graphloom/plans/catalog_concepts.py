@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as X
 from graphloom.operators import concepts as K
 from graphloom.operators import graph as N
 from graphloom.plans.catalog_graph import related
-from graphloom.plans.catalog_text import ASKED, KNN, SAID, _asked, _sql_list, made_docs, MADE_DOCS, resolution, sql_stem, sql_tokens
+from graphloom.plans.catalog_text import ASKED, KNN, SAID, _asked, _sql_in, _sql_list, made_docs, MADE_DOCS, resolution, sql_stem, sql_tokens
 from graphloom.plans.registry import query, with_
 from graphloom.sources import projection as P
 
@@ -75,6 +76,16 @@ def scope(s, d):
     return K.scope(found, P.studies(s, d), papers, low=1996, high=1999)
 
 
+RELEVANT = "small hot gear of the widget study"
+_relevant = sorted({X.py_stem(t) for t in RELEVANT.split() if t not in X.STOPWORDS and t not in X.QUERY_STOP})
+
+
+@query(f"""WITH t AS (SELECT p_brand AS cluster, list_transform(list_filter({sql_tokens('p_name')}, lambda x: x NOT IN {_sql_in(X.QUERY_STOP)}), lambda x: {sql_stem('x')}) AS t FROM part), c AS (SELECT cluster, list_distinct(flatten(list(t))) AS t FROM t GROUP BY 1)
+SELECT cluster, round(CASE WHEN len(t) > 0 THEN len(list_filter({_sql_list(_relevant)}, lambda x: list_contains(t, x))) / {len(_relevant)}::DOUBLE ELSE 0.2 END, 6) AS relevance FROM c""")
+def query_relevance(s, d):
+    return K.query_relevance(T(s, d, "part").select(F.col("p_brand").alias("cluster"), F.col("p_name").alias("name")), RELEVANT)
+
+
 QUESTIONS = ["which papers connect {x} and graph memory?", "links between planning and {x}.", "what is linking tools to {x}", "nothing about {x}"]
 
 

@@ -392,7 +392,8 @@ def export_top_edges(s, d):
     return sinks.top_subgraph(n, P.edges(s, d), "degree", 60)[1].select("src", "dst", "type")
 
 
-@query()
+@query(with_("nodes", "edges") + """ SELECT 0 AS part, '' AS id, '""" + sinks.graphml_head() + """' AS line UNION ALL SELECT 3, '', '</graph></graphml>' UNION ALL SELECT 1, id, '<node id="' || id || '"><data key="node_label">' || label || '</data><data key="node_name">' || name || '</data><data key="node_year">0</data><data key="node_pagerank">0.0</data><data key="node_betweenness">0.0</data><data key="node_degree">0</data><data key="node_community">-1</data></node>' FROM nodes WHERE label IN ('Author', 'Institution')
+UNION ALL SELECT 2, src || '|' || type || '|' || dst, '<edge id="' || src || '|' || type || '|' || dst || '" source="' || src || '" target="' || dst || '"><data key="edge_label">' || type || '</data><data key="edge_weight">1.0</data><data key="edge_provenance">tables</data><data key="edge_predicted">false</data></edge>' FROM edges WHERE type = 'AFFILIATED_WITH'""")
 def export_graphml_rows(s, d):
     n = P.nodes(s, d).where("label in ('Author', 'Institution')")
     return sinks.graphml_rows(n, N.induced(P.edges(s, d), n.select("id")))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import claims as C
+from graphloom.operators import gaps as O
+from graphloom.operators import graph as N
 from graphloom.plans import research as R
-from graphloom.plans.catalog_algorithms import gap_frames, gap_vectors
+from graphloom.plans.catalog_algorithms import ENTANGLED, SCORES, gap_frames, gap_vectors
 from graphloom.plans.catalog_text import SCORED, _sql_in, _sql_list, made_claims, sql_stem, sql_tokens
 from graphloom.plans.registry import query, with_
 from graphloom.sources import projection as P
@@ -53,20 +55,57 @@ def candidate_relevance(s, d):
     return R.candidate_relevance(c, "small gear")
 
 
-@query()
+@query("SELECT 'field' AS kind, o_orderpriority AS name, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'summary_source', o_orderstatus, count(*) FROM orders WHERE o_orderstatus <> '' GROUP BY 2")
+def coverage_counts(s, d):
+    return R.coverage_counts(T(s, d, "orders").select(F.col("o_orderpriority").alias("field"), F.col("o_orderstatus").alias("summary_source")))
+
+
+SEEDS = [("dataset:1", 1.0), ("institution:3", 0.5)]
+REACHED = with_("nodes", "adj") + """, seeds(id, score) AS (VALUES ('dataset:1', 1.0::DOUBLE), ('institution:3', 0.5::DOUBLE)), reached AS (SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM seeds UNION ALL SELECT dst, 1 FROM adj JOIN seeds ON src = id) GROUP BY 1 ORDER BY 2, 1 LIMIT 90),
+rp AS (SELECT r.id, name, coalesce(s.score, 0) AS score, k / 1000::DOUBLE AS pagerank FROM reached r JOIN nodes USING (id) LEFT JOIN seeds s ON s.id = r.id JOIN (SELECT src AS id, count(*) AS k FROM adj GROUP BY 1) g ON g.id = r.id WHERE label = 'Paper'), ordered AS (SELECT *, (row_number() OVER (ORDER BY score + 30 * pagerank DESC, id))::INTEGER AS pos FROM rp)"""
+
+
+def reached(s, d):
+    n, e = P.nodes(s, d), P.edges(s, d).select("src", "dst", "type")
+    m = N.degree(e).select("id", (F.col("degree") / 1000).alias("pagerank"), F.lit(None).cast("string").alias("community"))
+    return R.retrieval_context(n, e, s.createDataFrame(SEEDS, "id string, score double"), metrics=m)
+
+
+@query(REACHED + " SELECT id, score, pagerank, pos FROM ordered")
+def retrieval_papers(s, d):
+    return reached(s, d)["papers"].select("id", "score", "pagerank", "pos")
+
+
+@query(REACHED + " SELECT pos, 'paper' AS kind, id, name AS title FROM ordered WHERE pos <= 12")
+def evidence_list(s, d):
+    return R.evidence_list(reached(s, d))
+
+
+@query("WITH " + SCORED + ", x AS (SELECT claim_a, claim_b, score, contains(lower(a.text || b.text), 'task1 ') OR contains(lower(paper_a), 'task1 ') OR contains(lower(paper_b), 'task1 ') AS m FROM found JOIN claims a ON a.id = claim_a JOIN claims b ON b.id = claim_b) SELECT claim_a, claim_b, score FROM x WHERE m OR NOT (SELECT bool_or(m) FROM x) ORDER BY score DESC, claim_a, claim_b LIMIT 40")
+def tool_conflicts(s, d):
+    m = made_claims(s, d)
+    t = R.standard_tools(P.nodes(s, d), P.edges(s, d), conflicts=C.enriched(C.conflicts(C.parse(m)), m))
+    return t.call(s, "find_conflicting_claims", topic="Task1 ", limit=40)["result"].select("claim_a", "claim_b", "score")
+
+
+@query(REACHED + """, ids AS (SELECT id FROM reached), x AS (SELECT 1 AS k, n.id, '[' || label || '] ' || coalesce(name, '') || ' (' || n.id || ')' AS line FROM ids JOIN nodes n USING (id) UNION ALL SELECT 2, src || '|' || type || '|' || dst, src || ' -' || type || '-> ' || dst FROM edges WHERE src IN (SELECT id FROM ids) AND dst IN (SELECT id FROM ids)),
+y AS (SELECT (row_number() OVER w)::INTEGER AS pos, line, sum(length(line) + 1) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM x WINDOW w AS (ORDER BY k, id)) SELECT pos, line FROM y WHERE upto <= 9000""")
 def retrieval_context(s, d):
     n, e = P.nodes(s, d), P.edges(s, d).select("src", "dst", "type")
     seeds = s.createDataFrame([("dataset:1", 1.0), ("institution:3", 0.5)], "id string, score double")
     return R.context_rows(R.retrieval_context(n, e, seeds))
 
 
-@query()
+@query("SELECT key, round(n / 2.0, 4)::DOUBLE AS relevance, score FROM (SELECT p_name AS key, count(*)::DOUBLE AS score, CASE WHEN contains(p_name, 'small') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'gear') THEN 1 ELSE 0 END AS n FROM part GROUP BY 1) WHERE n >= 2 ORDER BY relevance DESC, score DESC, key LIMIT 5")
 def investigate(s, d):
     c = T(s, d, "part").groupBy(F.col("p_name").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("score")).withColumn("labels", F.col("key"))
     return R.investigate(papers(s, d), c, "small gear")["candidates"].select("key", "relevance", "score")
 
 
-@query()
+LINES = " || chr(10) || ".join(f"printf('| {label} | %.1f |', round(100 * {k}, 1))" for k, label in O.LABELS.items())
+
+
+@query(SCORES + ENTANGLED + f" SELECT rank::INTEGER AS rank, printf('## %d. %s × %s', rank, a, b) || chr(10) || chr(10) || printf('Score %.1f, confidence %s, %s.', round(score, 1), confidence, trajectory) || chr(10) || chr(10) || '| component | value |' || chr(10) || '| --- | ---: |' || chr(10) || {LINES} || chr(10) || chr(10) || '{R.NOTICE}' AS line FROM ranked")
 def report_rows(s, d):
     return R.report_rows(R.find_gaps(*gap_frames(s, d), gap_vectors(s, d), recent=1999, bridge_recent=2000))
 

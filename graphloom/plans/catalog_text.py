@@ -9,6 +9,7 @@ from graphloom.functions import vectors as V
 from graphloom.operators import aggregates as G
 from graphloom.operators import claims as C
 from graphloom.operators import vectors as K
+from graphloom.operators.concepts import resolution, scope_scores
 from graphloom.plans.registry import query, with_
 from graphloom.shipping import ship
 from graphloom.sources import projection as P
@@ -123,28 +124,6 @@ def dictionary_entities(s, d):
     return C.dictionary_entities(T(s, d, "documents"), "doc_id", "text", TERMS)
 
 
-def resolution(names, key: str, name: str, question: str, least: float | None = None):
-    """Topic names scored against a question: whole substring 1, else shared tokens, aliases and the head word.
-
-    Kept from .75 (one-word questions .5), or from ``least``.
-    """
-    asked = sorted({X.py_stem(t) for t in _tokens(question) if t not in X.QUERY_STOP})
-    head = X.py_stem([t for t in question.lower().replace("-", " ").split() if t not in X.QUERY_STOP][-1])
-    more = sorted({a for t in asked for a in X.ALIASES.get(t, [])} - set(asked))
-    toks = X.stems(F.filter(X.tokens(F.col(name)), lambda t: ~t.isin(X.QUERY_STOP)))
-    direct = F.size(F.array_intersect(toks, X.words(asked))) / max(1, len(asked))
-    alias = F.when(F.arrays_overlap(toks, X.words(more)), 1.0).otherwise(0.0) if more else F.lit(0.0)
-    score = F.when(F.lower(name).contains(question.lower()), 1.0).otherwise(F.least(F.lit(1.0), direct + F.when(direct > 0, 0.25 * alias).otherwise(0.0) + F.when(F.array_contains(toks, head), 0.3).otherwise(0.0)))
-    out = names.where(F.size(toks) > 0).select(key, name, F.round(score, 6).alias("score"))
-    return out.where(F.col("score") >= (least or (0.75 if len(asked) >= 2 else 0.5))).orderBy(F.desc("score"), name)
-
-
-def _tokens(question: str) -> list[str]:
-    import re
-
-    return [t for t in re.findall(X.TOKEN, question.lower()) if t not in X.STOPWORDS]
-
-
 ASKED = "small ring gear"
 _asked = sorted({X.py_stem(t) for t in ASKED.split()})
 
@@ -156,16 +135,6 @@ def topic_resolution(s, d):
     return resolution(names, "key", "name", ASKED, least=0.6)
 
 
-def scope_scores(names, key: str, name: str, support: str, question: str):
-    """Topics scored as the scope of a question: .75 precision + .25 recall of their tokens; one word at most .55; a whole name 1."""
-    asked = sorted({X.py_stem(t) for t in _tokens(question)} - set(X.QUESTION_NOISE))
-    toks = X.stems(F.filter(X.tokens(F.col(name)), lambda t: ~t.isin(X.QUESTION_NOISE)))
-    both = F.size(F.array_intersect(toks, X.words(asked)))
-    raw = 0.75 * both / F.size(toks) + 0.25 * both / max(1, len(asked))
-    score = F.when(F.lit(question.lower()).contains(F.lower(name)), 1.0).when(F.size(toks) == 1, F.least(raw, F.lit(0.55))).otherwise(raw)
-    return names.where((F.size(toks) > 0) & (both > 0)).select(key, F.round(score, 6).alias("score"), support).orderBy(F.desc("score"), F.desc(support), F.lower(name))
-
-
 SCOPE = "which small ring or hot gear fits"
 _scope = sorted({X.py_stem(t) for t in SCOPE.split() if t not in X.STOPWORDS} - set(X.QUESTION_NOISE))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import vectors as V
 from graphloom.operators import graph as N
+from graphloom.plans import research as R
 from graphloom.plans import views as W
 from graphloom.plans.catalog_algorithms import nations, trade_graph
 from graphloom.plans.catalog_graph import brands, related
@@ -42,6 +43,50 @@ def belongs_to(s, d):
     return W.communities(n, n.select("id", F.col("field").alias("community")))[1].select("src", "dst", "type")
 
 
+#: Metrics made from the graph's degrees, with each node's field as its community.
+METRICS = with_("nodes", "adj") + ", met AS (SELECT n.id, coalesce(k, 0) / 1000::DOUBLE AS pagerank, length(n.id) / 100::DOUBLE AS betweenness, coalesce(k, 0) AS degree, field AS community FROM nodes n LEFT JOIN (SELECT src AS id, count(*) AS k FROM adj GROUP BY 1) USING (id) WHERE field IS NOT NULL)"
+
+
+def made_metrics(s, d):
+    n = N.with_degree(P.nodes(s, d), P.edges(s, d)).where("field is not null")
+    return n.select("id", (F.col("degree") / 1000).alias("pagerank"), (F.length("id") / 100).alias("betweenness"), "degree", F.col("field").alias("community"))
+
+
+PROFILES = METRICS + """, x AS (SELECT n.id, label, name, year, community, pagerank, row_number() OVER (PARTITION BY community, label ORDER BY pagerank DESC, n.id) AS r FROM nodes n JOIN met ON met.id = n.id WHERE label IN ('Paper', 'Topic', 'Method')),
+prof AS (SELECT community, count(*) FILTER (label = 'Paper') AS papers, count(*) FILTER (label = 'Topic') AS topics, count(*) FILTER (label = 'Method') AS methods, min(year) FILTER (label = 'Paper') AS first, max(year) FILTER (label = 'Paper') AS last, round(coalesce(avg(pagerank) FILTER (label = 'Paper'), 0), 6)::DOUBLE AS avg_pagerank,
+ coalesce(string_agg(id, '|' ORDER BY r) FILTER (label = 'Paper' AND r <= 6), '') AS top_papers, coalesce(string_agg(name, '|' ORDER BY r) FILTER (label = 'Topic' AND r <= 8), '') AS top_topics FROM x GROUP BY 1), ranked AS (SELECT *, (row_number() OVER (ORDER BY papers DESC, community) - 1)::INTEGER AS rank FROM prof)"""
+
+
+def _flat(profiles):
+    return profiles.withColumns({"top_papers": F.array_join(F.transform("top_papers", lambda x: x["id"]), "|"), "top_topics": F.array_join("top_topics", "|")})
+
+
+@query(PROFILES + " SELECT * FROM ranked")
+def community_profiles(s, d):
+    return _flat(W.community_profiles(P.nodes(s, d), made_metrics(s, d)))
+
+
+@query(PROFILES + " SELECT * FROM ranked WHERE contains(lower(top_topics), 'ring') ORDER BY rank LIMIT 20")
+def tool_communities(s, d):
+    t = R.standard_tools(P.nodes(s, d), P.edges(s, d), profiles=W.community_profiles(P.nodes(s, d), made_metrics(s, d)))
+    return _flat(t.call(s, "find_research_communities", topic="Ring", limit=20)["result"])
+
+
+@query(with_("related") + " SELECT src, dst, x.p_name AS src_name, y.p_name AS dst_name, shared AS weight FROM related JOIN part x ON x.p_partkey = src JOIN part y ON y.p_partkey = dst WHERE contains(lower(x.p_name), 'gear') OR contains(lower(y.p_name), 'gear') ORDER BY shared DESC, src, dst LIMIT 50")
+def tool_connections(s, d):
+    p = T(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    t = R.standard_tools(p, P.edges(s, d), predicted=related(s, d).withColumnRenamed("shared", "weight"))
+    return t.call(s, "find_potential_connections", topic="gear", limit=99)["result"].drop("note")
+
+
+@query(METRICS + """, st AS (SELECT dst AS topic, year FROM edges JOIN nodes ON id = src WHERE type = 'STUDIES'), em AS (SELECT topic, round(r / greatest(1, o)::DOUBLE, 6) AS growth FROM (SELECT topic, count(*) FILTER (year >= 1999) AS r, count(*) FILTER (year < 1999) AS o FROM st GROUP BY 1) WHERE r >= 2 ORDER BY growth DESC, r DESC, topic LIMIT 10),
+pm AS (SELECT met.* FROM met JOIN nodes USING (id) WHERE label = 'Paper'), co AS (SELECT 'community:' || field AS id, count(*) FILTER (label = 'Paper') AS papers, count(*) FILTER (label = 'Topic') AS topics FROM nodes WHERE field IS NOT NULL GROUP BY 1 HAVING papers >= 2 OR topics >= 3 ORDER BY papers DESC, id LIMIT 10)
+SELECT 'statistics' AS section, 'label:' || label AS name, count(*)::DOUBLE AS value FROM nodes GROUP BY label UNION ALL SELECT 'statistics', 'type:' || type, count(*) FROM edges GROUP BY type UNION ALL SELECT 'statistics', 'total:nodes', count(*) FROM nodes UNION ALL SELECT 'statistics', 'total:edges', count(*) FROM edges
+UNION ALL SELECT 'years', year::VARCHAR, count(*) FROM nodes WHERE label = 'Paper' GROUP BY year UNION ALL SELECT 'emerging', topic, growth FROM em UNION ALL SELECT * FROM (SELECT 'influential', id, pagerank FROM pm ORDER BY pagerank DESC, id LIMIT 10) UNION ALL SELECT * FROM (SELECT 'bridging', id, betweenness FROM pm ORDER BY betweenness DESC, id LIMIT 10) UNION ALL SELECT 'communities', id, papers FROM co""")
+def dashboard(s, d):
+    return W.dashboard_rows(W.dashboard(P.nodes(s, d), P.edges(s, d), made_metrics(s, d), since=1999))
+
+
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_brand = 'Brand#7' ORDER BY p_name, p_partkey LIMIT 160")
 def community_members(s, d):
     n = T(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit("Topic").alias("label"), F.col("p_name").alias("name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,6 +92,12 @@ def coverage_report(ranked: DataFrame, question: str, scope: str | None = None)
     return span.join(F.broadcast(hit)).select("papers", "first", "last", F.lit(len(terms)).alias("terms"), "hit", F.round(F.col("hit") / max(1, len(terms)), 3).alias("coverage"))
 
 
+def coverage_counts(papers: DataFrame) -> DataFrame:
+    """(kind, name, n) of papers (field, summary_source): how many of each, the nameless left out."""
+    each = papers.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("name")) for k in ("field", "summary_source")])).alias("x")).select("x.*")
+    return each.where("name is not null and name <> ''").groupBy("kind", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 def candidate_relevance(candidates: DataFrame, question: str, scope: str | None = None) -> DataFrame:
     """(key, relevance, supported) of candidates (key, labels): .82 question and .18 scope coverage of their words."""
     terms, scoped = question_terms(question, scope), question_terms(scope or "")
@@ -109,16 +116,96 @@ def vector_seeds(vectors: DataFrame, query: list[float], k: int = 8, least: floa
     return vectors.select("id", F.round(cosine(F.col("vec"), q), 6).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(k)
 
 
-def retrieval_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, depth: int = 2, most: int = 90, claims: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Frames for a prompt: nodes by level with seed scores, edges among them, and claims of the papers reached (25 at most)."""
-    reached = H.retrieval_expand(edges, seeds.select("id"), depth, most)
+def retrieval_context(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, depth: int = 2, most: int = 90, claims: DataFrame | None = None, metrics: DataFrame | None = None, profiles: DataFrame | None = None, conflicts: DataFrame | None = None, predicted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Frames for a prompt: nodes by level with seed scores, edges among them, and what is known of the nodes reached.
+
+    ``papers`` are ordered by seed score + 30 * PageRank of ``metrics`` (id, pagerank, community).  With the frames given there are
+    also ``claims`` of the papers (25 at most), ``communities`` of most papers reached (six), ``conflicts`` of the 25 strongest that
+    a paper is in, ``predicted`` of the 80 heaviest links that touch a topic reached, and ``paths``: of each of the four papers
+    first by PageRank, the evidence path of at most three hops to the first later one that has any.
+    """
+    reached = keep(H.retrieval_expand(edges, seeds.select("id"), depth, most), "reached")
     found = reached.join(nodes, "id").join(seeds.select("id", "score"), "id", "left").orderBy("depth", F.desc(F.coalesce("score", F.lit(0.0))), "id")
     out = {"nodes": found, "edges": N.induced(edges, reached.select("id"))}
+    known = metrics if metrics is not None else nodes.select("id", F.lit(0.0).alias("pagerank"), F.lit(None).cast("string").alias("community"))
+    papers = keep(found.where("label = 'Paper'").join(known.select("id", "pagerank", "community"), "id", "left").withColumns({"score": F.coalesce("score", F.lit(0.0)), "pagerank": F.coalesce("pagerank", F.lit(0.0))}), "papers")
+    out["papers"] = paper_order(papers)
+    ids = papers.select(F.col("id").alias("paper"))
     if claims is not None:
-        out["claims"] = claims.join(reached.select(F.col("id").alias("paper")), "paper", "left_semi").orderBy("id").limit(25)
+        out["claims"] = claims.join(ids, "paper", "left_semi").orderBy("id").limit(25)
+    if profiles is not None:
+        out["communities"] = papers.groupBy("community").agg(F.count(F.lit(1)).alias("retrieved_papers")).join(profiles, "community").orderBy(F.desc("retrieved_papers"), "community").limit(6)
+    if conflicts is not None:
+        out["conflicts"] = counter_evidence(conflicts.orderBy(F.desc("score"), "claim_a", "claim_b").limit(25), papers, 25)
+    if predicted is not None:
+        from graphloom.plans.views import predicted_links
+
+        strong = predicted.orderBy(F.desc("weight"), "src", "dst").limit(80)
+        out["predicted"] = predicted_links(strong, nodes, found.where("label = 'Topic'").select("id"), 80)
+    if metrics is not None:
+        out["paths"] = central_paths(papers, edges)
     return out
 
 
+def paper_order(papers: DataFrame) -> DataFrame:
+    """Papers (score, pagerank) with ``pos`` by score + 30 * PageRank, ties by id; a context's few."""
+    return papers.withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.col("score") + 30 * F.col("pagerank")), "id")))
+
+
+def central_paths(papers: DataFrame, edges: DataFrame, first: int = 4, hops: int = 3) -> DataFrame:
+    """(source, target, hops, path): of each of the ``first`` papers by PageRank, the observed path to the first later one in reach."""
+    top = [r["id"] for r in papers.orderBy(F.desc("pagerank"), "id").limit(first).collect()]
+    two = [(a, b, hops, i, j) for i, a in enumerate(top) for j, b in enumerate(top) if i < j]
+    pairs = papers.sparkSession.createDataFrame(two, "source string, target string, most int, i int, j int")
+    got = H.pair_paths(H.observed(edges), pairs.select("source", "target", "most")).join(pairs, ["source", "target"])
+    return G.top_k(got, 1, ["source"], [F.col("j")]).orderBy("i").select("source", "target", "hops", "path")
+
+
+def candidate_paths(edges: DataFrame, members: DataFrame, candidates: DataFrame, bridges: DataFrame) -> DataFrame:
+    """(a, b, pos, path, bridge_papers): at most two observed paths for each candidate pair of clusters (a, b).
+
+    Ends that touch one of the first three ``bridges`` (a, b, pos, paper) come first: the least topic of either cluster
+    (members: cluster, topic) that the paper studies or uses, at most three hops apart.  A pair without such ends is tried on the
+    first four topics of either side, four hops.  Of all ends three are followed; paths that repeat count once.
+    """
+    link = edges.where(F.col("type").isin("STUDIES", "USES_METHOD")).select(F.explode(F.array(F.struct(F.col("src").alias("paper"), F.col("dst").alias("topic")), F.struct(F.col("dst").alias("paper"), F.col("src").alias("topic")))).alias("x")).select("x.*").distinct()
+    b = G.top_k(bridges.join(candidates.select("a", "b"), ["a", "b"], "left_semi"), 3, ["a", "b"], [F.col("pos"), F.col("paper")]).select("a", "b", F.col("rank").alias("r"), "paper")
+    touch = b.join(link, "paper")
+    side = lambda c: touch.join(members.toDF(c, "topic"), [c, "topic"]).groupBy("a", "b", "r").agg(F.min("topic").alias(f"end_{c}"))
+    one = side("a").join(side("b"), ["a", "b", "r"]).select("a", "b", "r", F.col("end_a").alias("source"), F.col("end_b").alias("target"), F.lit(3).alias("most"))
+    one = keep(one, "bridged")
+    rest = candidates.select("a", "b").join(one, ["a", "b"], "left_anti")
+    few = G.top_k(members, 4, ["cluster"], [F.col("topic")]).select("cluster", "topic", "rank")
+    two = rest.join(few.toDF("a", "source", "i"), "a").join(few.toDF("b", "target", "j"), "b").select("a", "b", (F.col("i") * 4 + F.col("j")).alias("r"), "source", "target", F.lit(4).alias("most"))
+    ends = keep(G.top_k(one.unionByName(two), 3, ["a", "b"], [F.col("r")]).select("a", "b", F.col("rank").alias("r"), "source", "target", "most"), "ends")
+    got = ends.join(H.pair_paths(H.observed(edges), ends.select("source", "target", "most")), ["source", "target"]).where(F.col("hops") <= F.col("most"))
+    got = G.top_k(got.groupBy("a", "b", "path").agg(F.min("r").alias("r")), 2, ["a", "b"], [F.col("r")])
+    known = bridges.groupBy("a", "b").agg(F.collect_set("paper").alias("known"))
+    return got.join(known, ["a", "b"], "left").select("a", "b", F.col("rank").alias("pos"), "path", F.array_sort(F.array_intersect("path", F.coalesce("known", F.array().cast("array<string>")))).alias("bridge_papers"))
+
+
+def evidence_list(context: dict[str, DataFrame]) -> DataFrame:
+    """(pos, kind, id, title) that an answer cites: the first twelve papers, then the first eight claims, cut to 180 characters."""
+    p = context["papers"].where("pos <= 12").select("pos", F.lit("paper").alias("kind"), "id", F.coalesce("name", "id").alias("title"))
+    if "claims" not in context:
+        return p
+    c = context["claims"].withColumn("pos", F.row_number().over(Window.orderBy("id"))).where("pos <= 8")  # 25 rows at most
+    return p.unionByName(c.select((F.col("pos") + 12).alias("pos"), F.lit("claim").alias("kind"), "id", F.substring("text", 1, 180).alias("title")))
+
+
+def describe(nodes: DataFrame, metrics: DataFrame, reason: str) -> DataFrame:
+    """(id, label, type, reason, year, field, pagerank, betweenness, degree, community) of each node, metrics to six digits, 0 where unknown."""
+    m = metrics.select("id", "pagerank", "betweenness", "degree", "community")
+    six = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c)
+    return nodes.join(m, "id", "left").select("id", F.col("name").alias("label"), F.col("label").alias("type"), F.lit(reason).alias("reason"), "year", "field", six("pagerank"), six("betweenness"), F.coalesce("degree", F.lit(0)).alias("degree"), "community")
+
+
+def labelled_path(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, target, label): each path's node names joined by arrows."""
+    each = paths.select("source", "target", F.posexplode("path").alias("k", "id")).join(nodes.select("id", "name"), "id", "left")
+    return each.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("k", F.coalesce("name", "id").alias("n")))).alias("l")).select("source", "target", F.array_join(F.transform("l", lambda x: x["n"]), " → ").alias("label"))
+
+
 def context_rows(context: dict[str, DataFrame], chars: int = 9000) -> DataFrame:
     """(pos, line): the context as prompt lines, cut where their total passes ``chars``."""
     n = context["nodes"].select(F.lit(1).alias("k"), "id", F.format_string("[%s] %s (%s)", "label", F.coalesce("name", F.lit("")), "id").alias("line"))
@@ -182,7 +269,7 @@ class Tools:
             return {"ok": False, "error": f"unknown parameters: {', '.join(sorted(extra))}"}
         try:
             return {"ok": True, "result": run(spark, **{k: bounded(arguments.get(k), parameters[k]) for k in parameters})}
-        except Exception as e:  # an answer, as for a caller over a wire
+        except (ValueError, TypeError, KeyError, AnalysisException) as e:  # arguments that don't fit are answered; faults of the engine are raised
             return {"ok": False, "error": str(e).splitlines()[0]}
 
 
@@ -199,9 +286,13 @@ def bounded(value, rule: dict):
     return value
 
 
-def standard_tools(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None) -> Tools:
-    """The graph tools: search, node, related, path, neighbours, bridge nodes, listing and connecting papers."""
+def standard_tools(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None, *, profiles: DataFrame | None = None, predicted: DataFrame | None = None, conflicts: DataFrame | None = None, opportunities: Callable[..., DataFrame] | None = None, evidence: DataFrame | None = None) -> Tools:
+    """The graph tools; those that need metrics, community profiles, predicted links, conflicts (enriched) or opportunities are there with them.
+
+    ``opportunities`` is a callable of (topic, year_min, year_max, top_k); ``evidence`` are the rows of (a, b, pos, paper, role).
+    """
     t, n10 = Tools(), {"type": int, "default": 10, "low": 1, "high": 50}
+    n40, text = n10 | {"high": 40}, {"default": None}
     t.add("search_papers", lambda s, query, limit: N.search(nodes, query, limit=limit, labels=["Paper"]), {"query": {}, "limit": n10})
     t.add("get_paper", lambda s, id: nodes.where(F.col("id") == id), {"id": {}})
     t.add("find_related_papers", lambda s, id, limit: N.related(edges, nodes.where(F.col("id") == id), ["SIMILAR_TO", "CITES", "RELATED_TO"]).orderBy(F.desc("best"), "other").limit(limit), {"id": {}, "limit": n10})
@@ -212,9 +303,62 @@ def standard_tools(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None
     if metrics is not None:
         t.add("find_bridge_nodes", lambda s, label, limit: nodes.where(F.col("label") == label).join(metrics, "id").orderBy(F.desc("betweenness"), "id").limit(limit), {"label": {"default": "Paper"}, "limit": n10})
         t.add("graph_metrics", lambda s, id: explain_metrics(metrics.where(F.col("id") == id)), {"id": {}})
+    if profiles is not None:
+        t.add("find_research_communities", lambda s, topic, limit: communities_about(profiles, topic, limit), {"topic": text, "limit": n40})
+    if predicted is not None:
+        t.add("find_potential_connections", lambda s, topic, limit: potential_connections(predicted, nodes, topic, limit), {"topic": text, "limit": n10})
+    if conflicts is not None:
+        t.add("find_conflicting_claims", lambda s, topic, limit: conflicts_about(conflicts, topic, limit), {"topic": text, "limit": n40})
+    if opportunities is not None:
+        year, k = {"type": int, "default": None}, {"type": int, "default": 5, "low": 1, "high": 12}
+        t.add("find_research_gaps", opportunities_of(opportunities), {"topic": {"default": ""}, "year_min": year, "year_max": year, "top_k": k})
+        if evidence is not None:
+            t.add("get_evidence", lambda s, topic, index: evidence_of(opportunities("" if topic is None else topic, None, None, 12), evidence, index), {"topic": text, "index": {"type": int, "default": 0, "low": 0, "high": 11}})
     return t
 
 
+def opportunities_of(run: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    return lambda s, topic, year_min, year_max, top_k: run(topic, year_min, year_max, top_k)
+
+
+def communities_about(profiles: DataFrame, topic: str | None, limit: int = 10) -> DataFrame:
+    """Community profiles by rank, those of a topic: with it in their name or a top topic's."""
+    q = (topic or "").lower()
+    about = F.exists("top_topics", lambda x: F.lower(x).contains(q))
+    about = about | F.lower("name").contains(q) if "name" in profiles.columns else about
+    return (profiles.where(F.coalesce(about, F.lit(False))) if q else profiles).orderBy("rank").limit(limit)
+
+
+def potential_connections(predicted: DataFrame, nodes: DataFrame, topic: str | None, limit: int = 10) -> DataFrame:
+    """Predicted links (src, dst, weight) with both names, the heaviest first; those with a topic in a name."""
+    name = nodes.select("id", "name")
+    x = predicted.join(name.toDF("src", "src_name"), "src").join(name.toDF("dst", "dst_name"), "dst")
+    q = (topic or "").lower()
+    x = x.where(F.lower("src_name").contains(q) | F.lower("dst_name").contains(q)) if q else x
+    return x.orderBy(F.desc("weight"), "src", "dst").limit(limit).withColumn("note", F.lit("Predicted, not observed: a hypothesis."))
+
+
+def conflicts_about(conflicts: DataFrame, topic: str | None, limit: int = 10) -> DataFrame:
+    """Enriched conflicts (text_a, text_b, paper_a, paper_b, score), the strongest first, with ``matched``.
+
+    Those with the topic in a text or a paper's id; where none has it, the strongest of all, ``matched`` false.
+    """
+    q = (topic or "").lower()
+    has = F.lit(True)
+    if q:
+        has = F.lower(F.concat("text_a", "text_b")).contains(q) | F.lower("paper_a").contains(q) | F.lower("paper_b").contains(q)
+    x = conflicts.withColumn("matched", F.coalesce(has, F.lit(False)))
+    some = x.agg(F.max("matched").alias("some"))
+    return x.join(F.broadcast(some)).where("matched or not some").drop("some").orderBy(F.desc("score"), "claim_a", "claim_b").limit(limit)  # one row
+
+
+def evidence_of(opportunities: DataFrame, evidence: DataFrame, index: int = 0) -> DataFrame:
+    """The evidence rows of the opportunity at ``index`` of the ranking, or of the last where there are fewer."""
+    most = opportunities.agg(F.max("rank").alias("most"))
+    chosen = opportunities.join(F.broadcast(most)).where(F.col("rank") == F.least(F.lit(index + 1), F.col("most"))).select("a", "b", "rank", "score")  # one row
+    return evidence.join(chosen, ["a", "b"]).orderBy("pos")
+
+
 def connecting(nodes: DataFrame, edges: DataFrame, area_a: str, area_b: str) -> DataFrame:
     """Papers that study a topic of each of two areas, topics by case-folded substring."""
     topics = nodes.where("label = 'Topic'")

@@ -43,6 +43,25 @@ def communities(nodes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFra
     return made, edges
 
 
+def community_profiles(nodes: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row per community of ``metrics`` (id, community, pagerank): counts of papers, topics and methods, the years' span, mean
+    PageRank of the papers, the six first papers and the eight first topics by PageRank, ties by id; ``rank`` 0.. by papers.
+    """
+    x = nodes.select("id", "label", "name", "year").join(metrics.select("id", "community", "pagerank"), "id").where(F.col("label").isin("Paper", "Topic", "Method"))
+    is_ = lambda label: F.col("label") == label
+    year = F.when(is_("Paper"), F.nullif("year", F.lit(0)))
+    size = x.groupBy("community").agg(
+        F.count_if(is_("Paper")).alias("papers"), F.count_if(is_("Topic")).alias("topics"), F.count_if(is_("Method")).alias("methods"), F.min(year).alias("first"), F.max(year).alias("last"),
+        F.round(F.coalesce(F.avg(F.when(is_("Paper"), F.coalesce("pagerank", F.lit(0.0)))), F.lit(0.0)), 6).alias("avg_pagerank"),
+    )
+    best = G.top_k(x.where(F.col("label").isin("Paper", "Topic")), 8, ["community", "label"], [F.desc(F.coalesce("pagerank", F.lit(0.0))), F.col("id")])
+    told = F.struct("rank", "id", "name", "year", F.round(F.coalesce("pagerank", F.lit(0.0)), 5).alias("pagerank"))
+    top = best.groupBy("community").agg(F.array_sort(F.collect_list(F.when(is_("Paper") & (F.col("rank") <= 6), told))).alias("p"), F.array_sort(F.collect_list(F.when(is_("Topic"), F.struct("rank", "name")))).alias("t"))
+    top = top.select("community", F.transform("p", lambda y: F.struct(y["id"].alias("id"), y["name"].alias("title"), y["year"].alias("year"), y["pagerank"].alias("pagerank"))).alias("top_papers"), F.transform("t", lambda y: y["name"]).alias("top_topics"))
+    out = size.join(top, "community", "left")
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("papers"), "community")) - 1)  # a row a community
+
+
 def community_members(nodes: DataFrame, labels: DataFrame, community, limit: int = 160) -> DataFrame:
     return nodes.join(labels.where(F.col("community") == community), "id").orderBy("label", "name", "id").limit(limit)
 
@@ -71,6 +90,19 @@ def dashboard(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, *, since:
     }
 
 
+def dashboard_rows(frames: dict[str, DataFrame]) -> DataFrame:
+    """(section, name, value) of a dashboard's counts: statistics, papers by year, growing topics, communities."""
+    row = lambda section, name, value: [F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("double").alias("value")]
+    return (
+        frames["statistics"].select(*row("statistics", F.concat_ws(":", "kind", "name"), F.col("n")))
+        .unionByName(frames["years"].select(*row("years", F.col("year"), F.col("n"))))
+        .unionByName(frames["emerging"].select(*row("emerging", F.col("topic"), F.col("growth"))))
+        .unionByName(frames["influential"].select(*row("influential", F.col("id"), F.col("pagerank"))))
+        .unionByName(frames["bridging"].select(*row("bridging", F.col("id"), F.col("betweenness"))))
+        .unionByName(frames["communities"].select(*row("communities", F.col("id"), F.col("papers"))))
+    )
+
+
 def predicted_links(edges: DataFrame, nodes: DataFrame, topics: DataFrame, limit: int = 20) -> DataFrame:
     """Predicted links that touch a topic of the set, with both names, the heaviest first."""
     ids, named = topics.select("id"), nodes.select("id", "name")

@@ -9,6 +9,7 @@ RELATIONSHIPS = [
     "CONTRADICTS", "BELONGS_TO", "RELATED_TO", "SIMILAR_TO", "PREDICTED_LINK", "MEASURED_BY",
 ]
 OBSERVED = ["STUDIES", "USES_METHOD", "USES_DATASET", "CITES", "AUTHORED", "MAKES_CLAIM", "AFFILIATED_WITH"]
+ASSOCIATIVE = ["STUDIES", "USES_METHOD", "USES_DATASET", "MEASURED_BY", "BELONGS_TO", "RELATED_TO"]
 PREDICTED = "PREDICTED_LINK"
 #: Papers from this year on are recent.
 RECENT_YEAR = 2023

@@ -21,15 +21,41 @@ def xml(c):
     return c
 
 
-def graphml_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(part, id, line): header, a line per node and edge, footer; ``part`` orders the file."""
+# The attributes of the GraphML export, each declared for nodes and for edges.
+GRAPHML_KEYS = {
+    "label": "string", "name": "string", "year": "int", "pagerank": "double", "betweenness": "double", "degree": "int",
+    "community": "int", "url": "string", "provenance": "string", "weight": "double", "predicted": "boolean",
+}
+
+
+def graphml_head() -> str:
+    zero = lambda kind: "" if kind == "string" else ' default="0"'
+    keys = "".join(f'<key id="{of}_{k}" for="{of}" attr.name="{k}" attr.type="{kind}"{zero(kind)}/>' for k, kind in GRAPHML_KEYS.items() for of in ("node", "edge"))
+    return f'<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="undirected">'
+
+
+def graphml_rows(nodes: DataFrame, edges: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(part, id, line): header, a line per node and edge, footer; ``part`` orders the file.
+
+    ``metrics`` (id, pagerank, betweenness, degree, community) fill the nodes' attributes; unknown ones are 0, a community -1.
+    """
     spark = nodes.sparkSession
-    head = '<?xml version="1.0" encoding="UTF-8"?><graphml xmlns="http://graphml.graphdrawing.org/xmlns">' + "".join(f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="{t}"/>' for k, f, t in (("label", "node", "string"), ("name", "node", "string"), ("year", "node", "int"), ("type", "edge", "string"), ("weight", "edge", "double"))) + '<graph edgedefault="directed">'
-    data = lambda k, c: F.when(c.isNotNull(), F.concat(F.lit(f'<data key="{k}">'), xml(c.cast("string")), F.lit("</data>"))).otherwise("")
-    n = nodes.select(F.lit(1).alias("part"), "id", F.concat(F.lit('<node id="'), xml(F.col("id")), F.lit('">'), data("label", F.col("label")), data("name", F.col("name")), data("year", F.col("year")), F.lit("</node>")).alias("line"))
+    data = lambda k, c: F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f'<data key="{k}">'), xml(c.cast("string")), F.lit("</data>"))).otherwise("")
+    have = set(metrics.columns) if metrics is not None else set()
+    known = nodes.join(metrics.select("id", *[F.col(c).alias(f"m_{c}") for c in ("pagerank", "betweenness", "degree", "community") if c in have]), "id", "left") if have else nodes
+    told = lambda c, zero: F.coalesce(F.col(f"m_{c}"), F.lit(zero)) if c in have else F.lit(zero)
+    values = [
+        ("label", F.col("label")), ("name", F.col("name")), ("year", F.coalesce("year", F.lit(0))), ("pagerank", F.round(told("pagerank", 0.0), 8)), ("betweenness", F.round(told("betweenness", 0.0), 8)),
+        ("degree", told("degree", 0)), ("community", told("community", -1)), *([("url", F.col("url"))] if "url" in nodes.columns else []),
+    ]
+    n = known.select(F.lit(1).alias("part"), "id", F.concat(F.lit('<node id="'), xml(F.col("id")), F.lit('">'), *[data(f"node_{k}", c) for k, c in values], F.lit("</node>")).alias("line"))
     eid = F.concat_ws("|", "src", "type", "dst")
-    e = edges.select(F.lit(2).alias("part"), eid.alias("id"), F.concat(F.lit('<edge source="'), xml(F.col("src")), F.lit('" target="'), xml(F.col("dst")), F.lit('">'), data("type", F.col("type")), data("weight", F.col("weight")), F.lit("</edge>")).alias("line"))
-    ends = spark.createDataFrame([(0, "", head), (3, "", "</graph></graphml>")], "part int, id string, line string")
+    weight = F.coalesce(F.nullif("weight", F.lit(0.0)), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    origin = F.coalesce("provenance", F.lit("graph-construction")) if "provenance" in edges.columns else F.lit("graph-construction")
+    guess = F.coalesce("predicted", F.lit(False)) if "predicted" in edges.columns else F.lit(False)
+    said = F.concat(*[data(f"edge_{k}", c) for k, c in (("label", F.col("type")), ("weight", weight), ("provenance", origin), ("predicted", guess))])
+    e = edges.select(F.lit(2).alias("part"), eid.alias("id"), F.concat(F.lit('<edge id="'), xml(eid), F.lit('" source="'), xml(F.col("src")), F.lit('" target="'), xml(F.col("dst")), F.lit('">'), said, F.lit("</edge>")).alias("line"))
+    ends = spark.createDataFrame([(0, "", graphml_head()), (3, "", "</graph></graphml>")], "part int, id string, line string")
     return ends.unionByName(n).unionByName(e)
 
 
