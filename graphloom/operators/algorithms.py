@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators import local
-from graphloom.operators.graph import adjacency, induced, project, simple, two_hop
+from graphloom.operators.graph import adjacency, induced, project, simple, unrelated
 from graphloom.shipping import ship
 from graphloom.sources import model
 from graphloom.sources.working import keep
 
 
+#: Edge ends of a projection that betweenness takes: some hundreds of MB in a worker.
+BETWEENNESS_EDGES = 4_000_000
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-9, every: int = 5, local_edges: int = local.EDGES) -> DataFrame:
     """(id, pagerank): weighted, undirected; parallel edges add, dangling mass is spread evenly.
 
@@ -55,9 +59,10 @@ def link_prediction(edges: DataFrame, pairs: DataFrame | None = None) -> DataFra
     s = simple(edges)
     size = s.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     mid = s.join(size, "src").select(F.col("src").alias("m"), F.col("dst").alias("x"), (1 / F.log(F.col("d") + 2)).alias("w"))
-    pairs = two_hop(edges) if pairs is None else pairs
     both = mid.select("m", F.col("x").alias("a"), "w").join(mid.select("m", F.col("x").alias("b")), "m").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.sum("w").alias("aa"))
-    x = pairs.select("a", "b").join(both, ["a", "b"], "left").join(size.toDF("a", "da"), "a", "left").join(size.toDF("b", "db"), "b", "left")
+    # pairs two hops apart are those that the wedges have just given, less the linked ones
+    x = unrelated(both, edges) if pairs is None else pairs.select("a", "b").join(both, ["a", "b"], "left")
+    x = x.join(size.toDF("a", "da"), "a", "left").join(size.toDF("b", "db"), "b", "left")
     common = F.coalesce("common", F.lit(0))
     return x.select("a", "b", common.alias("common"), F.round(F.coalesce(F.try_divide(common, F.col("da") + F.col("db") - common), F.lit(0.0)), 6).alias("jaccard"), F.round(F.coalesce("aa", F.lit(0.0)), 6).alias("adamic_adar"))
 
@@ -71,19 +76,23 @@ def structural_similarity(nodes: DataFrame, edges: DataFrame, *, labels: list[st
     return link_prediction(e).orderBy(F.desc("adamic_adar"), F.desc("jaccard"), "a", "b").limit(limit)
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, *, weighted: bool = True, samples: int | None = None, seed: int = 7) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, *, weighted: bool = True, samples: int | None = None, seed: int = 7, most: int = BETWEENNESS_EDGES) -> DataFrame:
     """(id, betweenness): dependencies summed over sources, scaled by 1 / ((n-1)(n-2)).
 
     Meant for bounded projections: sources run in parallel over the cluster, each with the whole projection in
-    memory.  With ``samples`` the sources first by hash are used and the sum is scaled by n / samples.
+    memory, so one of more than ``most`` edge ends is refused.  With ``samples`` the sources first by hash are used and
+    the sum is scaled by n / samples.
     """
     spark = nodes.sparkSession
     ship(spark)
+    edges = keep(edges.where("src <> dst"), "projection")
+    if 2 * edges.count() > most:
+        raise ValueError(f"betweenness holds its projection in every task and takes {most} edge ends at most: project fewer nodes or edges")
     names = [r[0] for r in nodes.select("id").distinct().orderBy("id").collect()]
     n = len(names)
     at = {v: i for i, v in enumerate(names)}
     length = F.min(1 / F.greatest("weight", F.lit(1e-6))) if weighted else F.min(F.lit(1.0))
-    links = adjacency(edges.where("src <> dst")).groupBy("src", "dst").agg(length.alias("len")).collect()
+    links = adjacency(edges).groupBy("src", "dst").agg(length.alias("len")).collect()
     near: list[list[tuple[int, float]]] = [[] for _ in names]
     for r in links:
         if r["src"] in at and r["dst"] in at:

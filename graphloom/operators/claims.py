@@ -55,7 +55,9 @@ def conflicts(parsed: DataFrame) -> DataFrame:
     """
     group = parsed.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
     p = parsed.join(group, "grp")
-    a, b = _side(p.where("k > 1"), "a"), _side(p.where("k > 1"), "b")
+    # claims without content words share the empty group and no stem, so none of them can oppose another
+    many = p.where("k > 1 and subject <> ''")
+    a, b = _side(many, "a"), _side(many, "b")
     one = _scored(a.join(b, F.col("a_grp") == F.col("b_grp")).where("a_id < b_id")).where(F.col("score") >= LEAST)
     singles = p.where("k = 1")
     s = singles.select("id", F.explode("stems").alias("stem"))

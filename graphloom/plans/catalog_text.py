@@ -251,6 +251,14 @@ def knn(s, d):
     return K.knn(P.vectors(s, d).select("id", "vec"), 5).select("id", "other", "score", "rank")
 
 
+@query("SELECT 5 AS k, true AS enough, count(*) AS vectors FROM embeddings")
+def knn_recall(s, d):
+    """Whether the index finds nine in ten of the exact neighbours, over all vectors."""
+    v = P.vectors(s, d).select("id", "vec")
+    got = K.recall(K.index_knn(v, 5), K.knn(v, 5))
+    return got.join(F.broadcast(v.agg(F.count(F.lit(1)).alias("vectors")))).select(F.lit(5).alias("k"), (F.col("recall") >= 0.9).alias("enough"), "vectors")  # one row each
+
+
 @query(KNN.format(least=0.25) + "SELECT id AS src, other AS dst, 'SIMILAR_TO' AS type, score AS weight, true AS predicted FROM r WHERE rank <= 5")
 def similarity_edges(s, d):
     return K.similarity_edges(P.vectors(s, d).select("id", "vec")).drop("provenance")

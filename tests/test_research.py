@@ -138,6 +138,31 @@ def test_distinct_clusters_as_a_plain_greedy_loop(spark):
     assert sorted(r.cluster for r in got.collect()) == sorted(c for c, _, _ in kept)
 
 
+# --- vectors
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_the_index_finds_what_all_pairs_find(spark, block):
+    import random
+
+    from graphloom.operators import vectors as V
+
+    r = random.Random(5)
+    base = [[r.gauss(0, 1) for _ in range(12)] for _ in range(9)]
+    rows = [(k, [x + r.gauss(0, 0.4) for x in base[k % 9]]) for k in range(260)] + [(1000 + k, base[0]) for k in range(60)] + [(5000, [0.0] * 12)]
+    v = frame(spark, rows, "id long, vec array<double>")
+    found, exact = V.index_knn(v, 4, lists=9, probes=4, block=block), V.knn(v, 4)
+    assert V.recall(found, exact).first().recall >= 0.9 and V.recall(exact, exact).first().recall == 1.0
+    every = {(x.id, x.other): x.score for x in V.index_knn(v, 4, lists=9, probes=9, block=block).collect()}
+    assert every == {(x.id, x.other): x.score for x in exact.collect()}
+    assert V.index_knn(v.limit(0), 4).collect() == []
+
+
+def test_betweenness_refuses_what_no_task_can_hold(spark):
+    with pytest.raises(ValueError):
+        A.betweenness(nodes_of(spark, "ab"), edges_of(spark, [("a", "b"), ("b", "a")]), most=3)
+
+
 # --- queries without SQL
 
 
