@@ -91,3 +91,54 @@ def emerging(df: DataFrame, topic: str, year: str, since: int, top: int = 10) ->
     x = df.groupBy(topic).agg(F.count_if(F.col(year) >= since).alias("recent"), F.count_if(F.col(year) < since).alias("older"))
     x = x.where("recent >= 2").withColumn("growth", F.round(F.col("recent") / F.greatest(F.lit(1), F.col("older")), 6))
     return x.orderBy(F.desc("growth"), F.desc("recent"), topic).limit(top)
+
+
+def timeline(studies: DataFrame, papers: DataFrame, top: int = 12) -> DataFrame:
+    """(year, topic, edges): studied-by edges by year of the ``top`` topics with most; ``studies`` (paper, topic), ``papers`` (paper, year)."""
+    x = studies.join(papers.select("paper", "year"), "paper").groupBy("year", "topic").agg(F.count(F.lit(1)).alias("edges"))
+    most = x.groupBy("topic").agg(F.sum("edges").alias("n")).orderBy(F.desc("n"), "topic").limit(top)
+    return x.join(most, "topic", "left_semi").select("year", "topic", "edges")
+
+
+def timeline_entities(studies: DataFrame, papers: DataFrame) -> DataFrame:
+    """(year, papers, edges): papers that study something, and their edges, by year."""
+    x = studies.join(papers.select("paper", "year"), "paper").groupBy("year", "paper").agg(F.count(F.lit(1)).alias("k"))
+    return x.groupBy("year").agg(F.count(F.lit(1)).alias("papers"), F.sum("k").alias("edges"))
+
+
+def distinct_counts(df: DataFrame, by: str, **columns: str) -> DataFrame:
+    """(by, one count of distinct values for each named column)."""
+    return df.groupBy(by).agg(*[F.countDistinct(c).alias(name) for name, c in columns.items()])
+
+
+def conditional_counts(df: DataFrame, by: str, total: str, **conditions: Column) -> DataFrame:
+    """(by, rows, and rows that meet each named condition)."""
+    return df.groupBy(by).agg(F.count(F.lit(1)).alias(total), *[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def recency(papers: DataFrame, by: str, year: str, since: int) -> DataFrame:
+    """(by, papers, first, last, recent, share): the span of years and how many are from ``since`` on, share to three digits."""
+    recent = F.count_if(F.col(year) >= since)
+    return papers.groupBy(by).agg(F.count(F.lit(1)).alias("papers"), F.min(year).alias("first"), F.max(year).alias("last"), recent.alias("recent"), F.round(recent / F.count(F.lit(1)), 3).alias("share"))
+
+
+def topic_support(rows: DataFrame, cluster: str, topic: str, every: DataFrame, least: int = 3) -> DataFrame:
+    """(cluster, topic, local, total): rows of a topic in a cluster, from ``least`` on, and among ``every`` row."""
+    local = rows.groupBy(F.col(cluster).alias("cluster"), F.col(topic).alias("topic")).agg(F.count(F.lit(1)).alias("local")).where(F.col("local") >= least)
+    return local.join(every.groupBy(F.col(topic).alias("topic")).agg(F.count(F.lit(1)).alias("total")), "topic").select("cluster", "topic", "local", "total")
+
+
+def topic_papers(studies: DataFrame, least: int) -> DataFrame:
+    """(topic, papers) of topics that ``least`` distinct papers study."""
+    return studies.select("topic", "paper").distinct().groupBy("topic").agg(F.count(F.lit(1)).alias("papers")).where(F.col("papers") >= least)
+
+
+def anchors(df: DataFrame, by: str, name: str, *rank: str) -> DataFrame:
+    """(by, anchor): the name of each group's greatest row by ``rank``."""
+    return df.groupBy(by).agg(F.max_by(name, F.struct(*rank)).alias("anchor"))
+
+
+def histogram(df: DataFrame, by: str, bucket: str) -> DataFrame:
+    """(by, histogram): counts of each bucket as ``bucket=count`` in order, joined by commas."""
+    x = df.groupBy(by, bucket).agg(F.count(F.lit(1)).alias("n"))
+    return x.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", bucket, F.col("n").cast("string")))), ",").alias("histogram"))

@@ -96,3 +96,51 @@ def dictionary_entities(docs: DataFrame, key: str, text: str, terms: list[tuple[
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     hits = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(t).alias("entity"), (F.instr(low, t) - 1).alias("offset")) for k, t in terms])
     return docs.select(key, F.explode(F.filter(hits, lambda h: h["offset"] >= 0)).alias("h")).select(key, "h.kind", "h.entity", "h.offset")
+
+
+def titled(phrase: str, acronyms: dict[str, str], small: list[str]) -> str:
+    """A phrase in title case: words and the parts of compounds capitalised, acronyms as they are spelt, small words small inside."""
+    def word(w: str, first: bool) -> str:
+        if w.lower() in acronyms:
+            return acronyms[w.lower()]
+        mark = "/" if "/" in w else "-"
+        parts = [p for p in w.replace("/", "-").split("-") if p] if mark in w else [w]
+        if len(parts) < 2:
+            low = w.lower()
+            return low if not first and low in small else low[:1].upper() + low[1:]
+        return mark.join(acronyms.get(p.lower(), p.lower() if i and p.lower() in small else p[:1].upper() + p[1:].lower()) for i, p in enumerate(parts))
+
+    return " ".join(word(w, i == 0) for i, w in enumerate(phrase.split(" ")))
+
+
+def extract_entities(papers: DataFrame, dictionaries: dict[str, list[str]], *, aliases: list[tuple[str, str]] = (), acronyms: dict[str, str] | None = None, small: list[str] = ()) -> DataFrame:
+    """(id, kind, entity, field, offset) of papers (id, title, abstract): dictionary phrases, each name once a kind.
+
+    Topics are looked for in the title and then in the abstract, with ``aliases`` (mention, topic) for those not found as such; a
+    paper without any takes the first three longer words of its title.  Other kinds are looked for in abstract and title, metrics in
+    the abstract alone.  ``dictionaries`` go by kind (Topic, Method, Dataset, Metric) in lower case; they are constants of the plan.
+    """
+    acronyms = acronyms or {}
+    title, abstract = F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))
+    one = lambda kind, phrase, field, at: F.struct(F.lit(kind).alias("kind"), F.lit(titled(phrase, acronyms, small)).alias("entity"), F.lit(field).alias("field"), (at - 1).cast("int").alias("offset"))
+    none = F.array().cast("array<struct<kind:string,entity:string,field:string,offset:int>>")
+
+    def hits(kind: str, text: Column, field: str, more: list[tuple[str, str]] = ()) -> Column:
+        low = F.lower(text)
+        found = [F.when(F.instr(low, p) > 0, one(kind, p, field, F.instr(low, p))) for p in dictionaries.get(kind, [])]
+        known = set(dictionaries.get(kind, []))
+        found += [F.when((F.instr(low, m) > 0) & ((F.instr(low, c) == 0) if c in known else F.lit(True)), one(kind, c, field, F.instr(low, m))) for m, c in more]
+        return F.array_compact(F.array(*found)) if found else none
+
+    words = F.slice(F.filter(F.split(F.regexp_replace(title, "[^a-zA-Z0-9\\- ]", " "), " +"), lambda w: F.length(w) > 3), 1, 3)
+    names = F.create_map(*[F.lit(x) for pair in acronyms.items() for x in pair]) if acronyms else F.lit(None).cast("map<string,string>")
+    part = lambda w: F.coalesce(F.element_at(names, F.lower(w)), F.initcap(F.lower(w)))
+    own = F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(names, F.lower(w)), F.array_join(F.transform(F.filter(F.split(w, "-"), lambda p: p != ""), part), "-"))), " ")
+    topics = F.concat(hits("Topic", title, "title", list(aliases)), hits("Topic", abstract, "abstract", list(aliases)))
+    alone = F.array(F.struct(F.lit("Topic").alias("kind"), own.alias("entity"), F.lit("abstract").alias("field"), F.lit(0).alias("offset")))
+    topics = F.when(F.size(topics) > 0, topics).when(own != "", alone).otherwise(none)
+    both = F.concat(abstract, F.lit(" "), title)
+    every = F.concat(topics, hits("Method", both, "abstract"), hits("Dataset", both, "abstract"), hits("Metric", abstract, "abstract"))
+    x = papers.select("id", F.posexplode(every).alias("k", "x")).select("id", "k", "x.*")
+    first = x.groupBy("id", "kind", "entity").agg(F.min(F.struct("k", "field", "offset")).alias("m"))
+    return first.select("id", "kind", "entity", "m.field", "m.offset")

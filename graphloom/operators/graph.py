@@ -46,6 +46,11 @@ def rel_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def without_provenance(edges: DataFrame, types: list[str]) -> DataFrame:
+    """(type, n): edges of some types that don't say where they come from."""
+    return rel_counts(edges.where(F.col("type").isin(types) & F.col("provenance").isNull()))
+
+
 def degree(edges: DataFrame) -> DataFrame:
     """(id, degree, weighted): edge ends at each node, parallel edges counted."""
     return adjacency(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted"))
@@ -136,6 +141,12 @@ def bridges(pairs: DataFrame, group: str, item: str, side_a: DataFrame, side_b:
     return x.groupBy(group).agg(F.count("in_a").alias("n_a"), F.count("in_b").alias("n_b")).where("n_a > 0 and n_b > 0")
 
 
+def optional_neighbours(nodes: DataFrame, edges: DataFrame, types: list[str]) -> DataFrame:
+    """Each node with its neighbours over some types as ``other``; a node without any keeps a row with a null."""
+    a = adjacency(edges.where(F.col("type").isin(types))).select(F.col("src").alias("id"), F.col("dst").alias("other"))
+    return nodes.join(a, "id", "left")
+
+
 def related(edges: DataFrame, ids: DataFrame, types: list[str]) -> DataFrame:
     """(id, other, best, types): neighbours over some types, folded to one row each."""
     a = adjacency(edges.where(F.col("type").isin(types)))

@@ -60,7 +60,7 @@ def has_relationship(s, d):
 @query(with_("edges") + " SELECT type, count(*) AS n FROM edges WHERE type IN ('STUDIES', 'AUTHORED') AND CASE WHEN type = 'AUTHORED' THEN NULL ELSE 'tables' END IS NULL GROUP BY type")
 def provenance_audit(s, d):
     e = P.edges(s, d).withColumn("provenance", F.when(F.col("type") != "AUTHORED", F.col("provenance")))
-    return e.where("type in ('STUDIES', 'AUTHORED') and provenance is null").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    return N.without_provenance(e, ["STUDIES", "AUTHORED"])
 
 
 @query(with_("nodes") + " SELECT id, label, name, year, field FROM nodes")
@@ -181,8 +181,10 @@ def cross_group_shared(s, d):
 @query("SELECT c_custkey AS id, c_name AS name, o_orderkey AS other FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT'")
 def optional_neighbourhood(s, d):
     c = T(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    o = T(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("other"))
-    return c.join(o, "id", "left")
+    o = T(s, d, "orders").select((-F.col("o_custkey") - 1).alias("src"), F.col("o_orderkey").alias("dst"), F.col("o_orderpriority").alias("type"))
+    # customers as negative ids, so that an order of the same number is another node
+    x = N.optional_neighbours(c.withColumn("id", -F.col("id") - 1), o, ["1-URGENT"])
+    return x.select((-F.col("id") - 1).alias("id"), "name", "other")
 
 
 def related(s, d):
@@ -204,29 +206,29 @@ def two_hop_pairs(s, d):
 
 @query("SELECT year(o_orderdate)::INTEGER AS year, p_brand AS topic, count(*) AS edges FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE p_brand IN (SELECT p_brand FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 12) GROUP BY 1, 2")
 def timeline_edges(s, d):
-    x = P.studies(s, d).join(T(s, d, "orders").select(F.col("o_orderkey").alias("paper"), F.year("o_orderdate").alias("year")), "paper").join(T(s, d, "part").select(F.col("p_partkey").alias("topic"), "p_brand"), "topic")
-    x = x.groupBy("year", F.col("p_brand").alias("topic")).agg(F.count(F.lit(1)).alias("edges"))
-    top = x.groupBy("topic").agg(F.sum("edges").alias("n")).orderBy(F.desc("n"), "topic").limit(12)
-    return x.join(top, "topic", "left_semi").select("year", "topic", "edges")
+    own = T(s, d, "part").select(F.col("p_partkey").alias("topic"), F.col("p_brand").alias("brand"))
+    return G.timeline(P.studies(s, d).join(own, "topic").select("paper", F.col("brand").alias("topic")), paper_years(s, d))
 
 
 @query("SELECT year(o_orderdate)::INTEGER AS year, count(DISTINCT o_orderkey) AS papers, count(*) AS edges FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def timeline_entities(s, d):
-    x = P.studies(s, d).join(T(s, d, "orders").select(F.col("o_orderkey").alias("paper"), F.year("o_orderdate").alias("year")), "paper")
-    return x.groupBy("year", "paper").agg(F.count(F.lit(1)).alias("k")).groupBy("year").agg(F.count(F.lit(1)).alias("papers"), F.sum("k").alias("edges"))
+    return G.timeline_entities(P.studies(s, d), paper_years(s, d))
+
+
+def paper_years(s, d):
+    return T(s, d, "orders").select(F.col("o_orderkey").alias("paper"), F.year("o_orderdate").alias("year"))
 
 
 @query("SELECT o_orderpriority AS field, count(DISTINCT o_orderkey) AS papers, count(DISTINCT o_custkey) AS authors, count(DISTINCT l_suppkey) AS datasets, count(DISTINCT c_nationkey) AS institutions FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def explorer_counts(s, d):
     x = T(s, d, "orders").join(T(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(T(s, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
-    return x.groupBy(F.col("o_orderpriority").alias("field")).agg(F.countDistinct("o_orderkey").alias("papers"), F.countDistinct("o_custkey").alias("authors"), F.countDistinct("l_suppkey").alias("datasets"), F.countDistinct("c_nationkey").alias("institutions"))
+    return G.distinct_counts(x.withColumnRenamed("o_orderpriority", "field"), "field", papers="o_orderkey", authors="o_custkey", datasets="l_suppkey", institutions="c_nationkey")
 
 
 @query("SELECT c_mktsegment AS field, count(*) AS papers, min(year(o_orderdate))::INTEGER AS first, max(year(o_orderdate))::INTEGER AS last, count(*) FILTER (year(o_orderdate) >= 1999) AS recent, round(count(*) FILTER (year(o_orderdate) >= 1999) / count(*)::DOUBLE, 3) AS share FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def recency(s, d):
     x = T(s, d, "orders").join(T(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_mktsegment").alias("field"), F.year("o_orderdate").alias("y"))
-    recent = F.count_if(F.col("y") >= 1999)
-    return x.groupBy("field").agg(F.count(F.lit(1)).alias("papers"), F.min("y").alias("first"), F.max("y").alias("last"), recent.alias("recent"), F.round(recent / F.count(F.lit(1)), 3).alias("share"))
+    return G.recency(x, "field", "y", 1999)
 
 
 @query("SELECT topic, recent, older, round(recent / greatest(1, older)::DOUBLE, 6) AS growth FROM (SELECT l_partkey AS topic, count(*) FILTER (year(o_orderdate) >= 1999) AS recent, count(*) FILTER (year(o_orderdate) < 1999) AS older FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1) WHERE recent >= 2 ORDER BY growth DESC, recent DESC, topic LIMIT 10")
@@ -304,24 +306,23 @@ def bridging_reach(s, d):
 
 @query("SELECT cluster, topic, local, total FROM (SELECT c_mktsegment AS cluster, o_orderpriority AS topic, count(*) AS local FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) JOIN (SELECT o_orderpriority AS topic, count(*) AS total FROM orders GROUP BY 1) USING (topic) WHERE local >= 3")
 def topic_support(s, d):
-    o = T(s, d, "orders").join(T(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    x = o.groupBy(F.col("c_mktsegment").alias("cluster"), F.col("o_orderpriority").alias("topic")).agg(F.count(F.lit(1)).alias("local")).where("local >= 3")
-    return x.join(T(s, d, "orders").groupBy(F.col("o_orderpriority").alias("topic")).agg(F.count(F.lit(1)).alias("total")), "topic").select("cluster", "topic", "local", "total")
+    o = T(s, d, "orders")
+    return G.topic_support(o.join(T(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")), "c_mktsegment", "o_orderpriority", o)
 
 
 @query("SELECT c_nationkey AS community, count(*) AS members, sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END)::BIGINT AS builders, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END)::BIGINT AS owing FROM customer GROUP BY 1")
 def community_sizes(s, d):
-    return T(s, d, "customer").groupBy(F.col("c_nationkey").alias("community")).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("builders"), F.count_if(F.col("c_acctbal") < 0).alias("owing"))
+    return G.conditional_counts(T(s, d, "customer").withColumnRenamed("c_nationkey", "community"), "community", "members", builders=F.col("c_mktsegment") == "BUILDING", owing=F.col("c_acctbal") < 0)
 
 
 @query("SELECT p_brand AS topic, count(DISTINCT l_orderkey) AS papers FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING count(DISTINCT l_orderkey) >= 50")
 def topic_papers(s, d):
-    return brands(s, d).groupBy(F.col("brand").alias("topic")).agg(F.count(F.lit(1)).alias("papers")).where("papers >= 50")
+    return G.topic_papers(brands(s, d).withColumnRenamed("brand", "topic"), 50)
 
 
 @query("SELECT c_nationkey AS cluster, arg_max(c_name, struct_pack(b := c_acctbal, k := c_custkey)) AS anchor FROM customer GROUP BY 1")
 def anchor_by_group(s, d):
-    return T(s, d, "customer").groupBy(F.col("c_nationkey").alias("cluster")).agg(F.max_by("c_name", F.struct("c_acctbal", "c_custkey")).alias("anchor"))
+    return G.anchors(T(s, d, "customer").withColumnRenamed("c_nationkey", "cluster"), "cluster", "c_name", "c_acctbal", "c_custkey")
 
 
 @query("SELECT c_nationkey AS nation, c_custkey AS id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 3")
@@ -376,8 +377,7 @@ def subset_pairs(s, d):
 
 @query("SELECT event_type, list_aggregate(list_sort(list(k)), 'string_agg', ',') AS histogram FROM (SELECT event_type, strftime(ts, '%Y-%m-%d') || '=' || count(*) AS k FROM events GROUP BY event_type, strftime(ts, '%Y-%m-%d')) GROUP BY 1")
 def histogram_map(s, d):
-    x = T(s, d, "events").groupBy("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return x.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "day", F.col("n").cast("string")))), ",").alias("histogram"))
+    return G.histogram(T(s, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "event_type", "day")
 
 
 @query("SELECT event_type, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, count(*) FILTER (json_extract(props, '$.k') IS NULL) AS missing FROM events GROUP BY 1")

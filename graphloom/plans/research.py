@@ -236,6 +236,44 @@ def explain_metrics(metrics: DataFrame) -> DataFrame:
     return metrics.select("id", F.array_join(F.array_compact(F.array(pr, F.when(F.col("betweenness") > 0.01, "bridge"))), "; ").alias("notes"))
 
 
+#: What to ask next, by intent; {a} and {b} are the first opportunity's clusters.
+FOLLOW_UPS = {
+    "research_gap": ["Which papers connect {a} and {b}?", "What evidence speaks against this gap?"],
+    "connection": ["Which papers bridge the two areas?", "Are there conflicting claims between them?"],
+    "conflict": ["Which papers make these claims?", "What would settle the disagreement?"],
+}
+
+
+def synthesize(question: str, context: dict[str, DataFrame], opportunities: DataFrame | None = None) -> dict:
+    """An answer to a question from a retrieval context and the ranked opportunities: intent, confidence, text, evidence and follow-ups.
+
+    The text is made by templates from counts and the first few rows of each frame, which the context bounds; every paper and
+    claim that it names is in ``evidence``.
+    """
+    from graphloom.plans.views import answer_confidence
+
+    spark = context["nodes"].sparkSession
+    asked = spark.createDataFrame([(question,)], "q string").select(X.intent(F.col("q")).alias("i")).first()["i"]
+    few = lambda name, n, *order: context[name].orderBy(*order).limit(n).collect() if name in context else []
+    papers, claims, conflicts = few("papers", 12, "pos"), few("claims", 8, "id"), few("conflicts", 3, F.desc("score"), "claim_a", "claim_b")
+    gaps = opportunities.orderBy("rank").limit(3).collect() if opportunities is not None else []
+    n_papers, n_claims = context["papers"].count(), context["claims"].count() if "claims" in context else 0
+    level = gaps[0]["confidence"] if gaps else None
+    sure = spark.createDataFrame([(n_papers, n_claims, level)], "p long, c long, l string").select(answer_confidence(F.col("p"), F.col("c"), F.col("l")).alias("s")).first()["s"]
+    lines = [f"{n_papers} papers and {n_claims} claims of the corpus bear on: {question}", ""]
+    lines += [f"- {r['name']}" + (f" ({r['year']})" if r["year"] else "") for r in papers[:5]]
+    lines += [f"- Tension ({r['score']:.2f}): {r['claim_a']} against {r['claim_b']}" for r in conflicts]
+    lines += [f"- Opportunity {r['rank']}: {r['rationale']}" for r in gaps]
+    if not papers and not gaps:
+        lines.append("Nothing in the corpus bears on it.")
+    a, b = (gaps[0]["a"], gaps[0]["b"]) if gaps else ("this", "that")
+    after = FOLLOW_UPS.get(asked["name"], ["Which papers are closest to this question?", "Where are opportunities near this topic?"])
+    return {
+        "intent": asked["name"], "intent_confidence": asked["confidence"], "confidence": sure, "answer": "\n".join([*lines, "", NOTICE]), "evidence": evidence_list(context),
+        "follow_ups": [f.format(a=a, b=b) for f in after], "used": {"papers": len(papers), "claims": len(claims), "conflicts": len(conflicts), "opportunities": len(gaps)},
+    }
+
+
 def report_rows(opportunities: DataFrame) -> DataFrame:
     """(rank, line): a Markdown section of each opportunity."""
     line = F.format_string("## %d. %s × %s\n\nScore %.1f, confidence %s, %s.\n\n| component | value |\n| --- | ---: |\n%s\n\n%s", "rank", "a", "b", "score", "confidence", "trajectory", F.array_join(F.array(*[F.format_string(f"| {label} | %.1f |", 100 * F.col(k)) for k, label in O.LABELS.items()]), "\n"), F.lit(NOTICE))

@@ -100,6 +100,35 @@ def test_tools_filter_fall_back_and_bound_their_limits(spark):
         t.call(spark, "broken")
 
 
+def test_an_answer_names_its_evidence(spark):
+    n, e = graph(spark)
+    m = frame(spark, [("p1", 0.01, "x"), ("p2", 0.02, "x")], "id string, pagerank double, community string")
+    claims = frame(spark, [("c1", "memory helps", "p1")], "id string, text string, paper string")
+    context = R.retrieval_context(n, e, frame(spark, [("t", 1.0)], "id string, score double"), claims=claims, metrics=m)
+    gaps = frame(spark, [("A", "B", 1, "Medium", "A and B: score 60")], "a string, b string, rank int, confidence string, rationale string")
+    got = R.synthesize("What is emerging in memory?", context, gaps)
+    assert got["confidence"] == "medium" and got["used"] == {"papers": 2, "claims": 1, "conflicts": 0, "opportunities": 1}
+    assert "Two" in got["answer"] and "One (2020)" in got["answer"] and "Opportunity 1: A and B: score 60" in got["answer"] and R.NOTICE in got["answer"]
+    assert {r.id for r in got["evidence"].collect()} == {"p1", "p2", "c1"} and got["follow_ups"]
+    none = R.synthesize("?", R.retrieval_context(n, e, frame(spark, [("zz", 1.0)], "id string, score double")))
+    assert none["confidence"] == "low" and "Nothing in the corpus" in none["answer"]
+
+
+def test_entities_by_dictionary_alias_and_title(spark):
+    from graphloom.operators import claims as C
+
+    papers = frame(spark, [(1, "Multi-agent systems for RAG", "We use chain-of-thought on the gsm8k set; accuracy rises. Multi-agent systems win."), (2, "A Study of llm-Based Sorting Networks, etc", None), (3, None, "society of minds"), (4, None, None)], "id int, title string, abstract string")
+    got = C.extract_entities(
+        papers, {"Topic": ["multi-agent systems", "tool use"], "Method": ["chain-of-thought"], "Dataset": ["gsm8k"], "Metric": ["accuracy", "for"]},
+        aliases=[("society of minds", "multi-agent systems"), ("rag", "retrieval augmentation"), ("multi-agent", "multi-agent systems")], acronyms={"gsm8k": "GSM8K", "llm": "LLM"}, small=["of"],
+    )
+    rows = sorted((r.id, r.kind, r.entity, r.field, r.offset) for r in got.collect())
+    assert rows == [
+        (1, "Dataset", "GSM8K", "abstract", 31), (1, "Method", "Chain-Of-Thought".replace("Of", "of"), "abstract", 7), (1, "Metric", "Accuracy", "abstract", 42), (1, "Topic", "Multi-Agent Systems", "title", 0),
+        (1, "Topic", "Retrieval Augmentation", "title", 24), (2, "Topic", "Study LLM-Based Sorting", "abstract", 0), (3, "Topic", "Multi-Agent Systems", "abstract", 0),
+    ]
+
+
 # --- concepts
 
 
