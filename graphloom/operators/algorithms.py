@@ -12,7 +12,7 @@ from graphloom.operators import local
 from graphloom.operators.graph import adjacency, induced, project, simple, unrelated
 from graphloom.shipping import ship
 from graphloom.sources import model
-from graphloom.sources.working import keep
+from graphloom.sources.working import drop, keep
 
 
 #: Edge ends of a projection that betweenness takes: some hundreds of MB in a worker.
@@ -37,7 +37,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
         return local.pagerank(ids, a, damping, rounds, tolerance, every)
     linked = a.select(F.col("src").alias("id")).distinct()
     ids = keep(ids.join(linked.withColumn("linked", F.lit(1)), "id", "left"), "ids")
-    rank = ids.select("id", "linked", F.lit(1.0 / n).alias("pagerank"))
+    rank, written = ids.select("id", "linked", F.lit(1.0 / n).alias("pagerank")), None
     for turn in range(1, rounds + 1):
         got = rank.select(F.col("id").alias("src"), "pagerank").join(a, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("pagerank") * F.col("share")).alias("got"))
         lost = rank.agg(F.coalesce(F.sum(F.when(F.col("linked").isNull(), F.col("pagerank"))), F.lit(0.0)).alias("lost"))
@@ -45,6 +45,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, *, damping: float = 0.85, round
         new = new.select("id", "linked", F.col("pagerank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("pagerank"))
         if turn % every == 0 or turn == rounds:
             new = keep(new, "ranks")
+            if written is not None:
+                drop(written)
+            written = new
             if tolerance and new.agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0] < tolerance:
                 return new.select("id", "pagerank")
         rank = new.select("id", "linked", "pagerank")

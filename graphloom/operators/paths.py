@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import local
 from graphloom.operators.graph import adjacency, induced, simple
 from graphloom.sources import model
-from graphloom.sources.working import keep
+from graphloom.sources.working import drop, keep
 
 
 def distances(edges: DataFrame, sources: DataFrame, most: int, local_edges: int = local.EDGES) -> DataFrame:
@@ -20,10 +20,12 @@ def distances(edges: DataFrame, sources: DataFrame, most: int, local_edges: int
     front = seen
     for depth in range(1, most + 1):
         step = front.select(F.col("id").alias("src")).join(near, "src").select(F.col("dst").alias("id")).distinct()
-        front = keep(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "front")
+        last, front = front, keep(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)), "front")
         if front.isEmpty():
             break
-        seen = keep(seen.unionByName(front), "seen")
+        old, seen = seen, keep(seen.unionByName(front), "seen")
+        drop(last, old)
+    drop(near, *([] if front is seen else [front]))
     return seen
 
 
@@ -41,10 +43,12 @@ def shortest_paths(edges: DataFrame, source: str, targets: DataFrame, most: int,
     for depth in range(1, most + 1):
         step = front.select(F.col("id").alias("src"), "path").join(near, "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
         step = step.select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path")).groupBy("id").agg(F.min("path").alias("path"))
-        front = keep(step.select("id", F.lit(depth).alias("hops"), "path"), "front")
+        last, front = front, keep(step.select("id", F.lit(depth).alias("hops"), "path"), "front")
         if front.isEmpty():
             break
-        seen = keep(seen.unionByName(front), "paths")
+        old, seen = seen, keep(seen.unionByName(front), "paths")
+        drop(last, old)
+    drop(near, *([] if front is seen else [front]))
     return seen.join(targets.select("id").distinct(), "id", "left_semi")
 
 
@@ -75,11 +79,13 @@ def pair_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         todo = front.where(F.col("most") >= depth).join(met.select("source", "target"), ["source", "target"], "left_anti")
         step = todo.select("source", "target", "most", F.col("id").alias("src"), "path").join(near, "src").select("source", "target", "most", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         step = step.join(seen.select("source", "target", "id"), ["source", "target", "id"], "left_anti").groupBy("source", "target", "most", "id").agg(F.min("path").alias("path"))
-        front = keep(step, "pair-paths")
+        last, front = front, keep(step, "pair-paths")
         if front.isEmpty():
             break
-        seen = keep(seen.unionByName(front), "pair-paths")
+        old, seen = seen, keep(seen.unionByName(front), "pair-paths")
         met = seen.where("id = target")
+        drop(last, old)
+    drop(near, *([] if front is seen else [front]))
     return met.select("source", "target", (F.size("path") - 1).alias("hops"), "path")
 
 
@@ -98,8 +104,10 @@ def weighted_distances(edges: DataFrame, source: str) -> DataFrame:
     while not front.isEmpty():
         step = front.select(F.col("id").alias("src"), "distance").join(a, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("len")).alias("new"))
         better = step.join(best, "id", "left").where(F.col("distance").isNull() | (F.col("new") < F.col("distance") - 1e-12))
-        front = keep(better.select("id", F.col("new").alias("distance")), "front")
-        best = keep(best.join(front.select("id"), "id", "left_anti").unionByName(front), "best")
+        last, front = front, keep(better.select("id", F.col("new").alias("distance")), "front")
+        old, best = best, keep(best.join(front.select("id"), "id", "left_anti").unionByName(front), "best")
+        drop(last, old)
+    drop(a, front)
     return best
 
 
@@ -131,9 +139,11 @@ def components(nodes: DataFrame, edges: DataFrame, local_edges: int = local.EDGE
         par = e.groupBy("a").agg(F.least("a", F.min("b")).alias("p"))
         up = par.select(F.col("a").alias("p"), F.col("p").alias("q"))
         par = keep(par.join(up, "p").select("a", F.col("q").alias("p")), "parents")
-        root = keep(root.join(par.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "roots")
+        old, root = root, keep(root.join(par.select(F.col("a").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "roots")
         pb = par.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        e = keep(e.join(par, "a").join(pb, "b").where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+        last, e = e, keep(e.join(par, "a").join(pb, "b").where("p <> pb").select(F.col("p").alias("a"), F.col("pb").alias("b")).distinct(), "links")
+        drop(old, last, par, near)
+    drop(e)
     return root
 
 

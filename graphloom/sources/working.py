@@ -26,19 +26,34 @@ def folder(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it again: lineage ends here, and each round of a loop costs one step.
 
-    Results read these tables lazily, so they stay until the program ends.
+    Results read these tables lazily, so they stay until ``drop`` or the program's end.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _left.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables from ``keep`` that nothing reads any more: those of a loop's earlier rounds."""
+    for df in tables:
+        path = getattr(df, "_kept_at", None)
+        for x in [x for x in _left if x[1] == path]:
+            _left.remove(x)
+            _delete(*x)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session is going: its owner clears the shared folder
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _clear() -> None:
     for spark, path in _left:
         if spark.sparkContext._jsc is not None:
-            with contextlib.suppress(Exception):  # the session is going: its owner clears the shared folder
-                p = spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
