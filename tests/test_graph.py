@@ -70,6 +70,13 @@ def test_communities_and_modularity(spark):
     assert A.modularity(e, labels).first()[0] == pytest.approx(0.357143, abs=1e-6)
 
 
+def test_communities_in_the_distributed_form(spark):
+    e = edges_of(spark, TRIANGLES)
+    got = {r.id: r.community for r in A.louvain_distributed(nodes_of(spark, ["a1", "a2", "a3", "b1", "b2", "b3", "z"]), e).collect()}
+    assert {got[k] for k in ("a1", "a2", "a3")} == {"a1"} and {got[k] for k in ("b1", "b2", "b3")} == {"b1"} and got["z"] == "z"
+    assert A.louvain_distributed(nodes_of(spark, "ab"), e.limit(0)).count() == 2
+
+
 def test_three_cliques_and_a_bridge(spark):
     pairs = [(f"c{c}_n{i}", f"c{c}_n{j}") for c in range(3) for i in range(6) for j in range(i)] + [("bridge", "c0_n0", 0.25), ("bridge", "c1_n0", 0.25)]
     e = edges_of(spark, pairs)
