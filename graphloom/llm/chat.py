@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Tokens (here words) of a window, and of the history repeated in it.
@@ -48,12 +48,15 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -
     is a conversation.  A conversation is one document: its turns meet in one row, which must fit a task.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    each = turns.select("conv_id", F.struct(F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), tokens(text).cast("long").alias("n")).alias("t"))
+    each = turns.select("conv_id", F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), tokens(text).cast("long").alias("n"))
+    # prefix sums by a window, in the order that the turns are gathered in
+    upto = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    each = each.withColumn("upto", upto).select("conv_id", F.struct("turn", "role", "text", "n", "upto").alias("t"))
     conv = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     conv = conv.withColumn("sys", F.when(F.get("t", F.lit(0))["role"] == "system", 1).otherwise(0))
     conv = conv.withColumn("room", F.greatest(F.lit(1), F.lit(budget) - F.when(F.col("sys") == 1, F.get("t", F.lit(0))["n"]).otherwise(F.lit(0))))
     # prefix sums: upto[i] = tokens of the first i turns
-    conv = conv.withColumn("upto", F.expr("aggregate(t, array(0L), (s, x) -> array_append(s, element_at(s, -1) + x.n))"))
+    conv = conv.withColumn("upto", F.expr("concat(array(0L), transform(t, x -> x.upto))"))
     # starts of windows: a turn whose end lies beyond the window's room opens the next; the first window holds no history
     conv = conv.withColumn(
         "starts",
