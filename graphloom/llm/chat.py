@@ -45,7 +45,8 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY) -
     role is ``system``.
 
     Null texts and roles are empty; turns tie by role, then text; repeated rows are turns of their own; a null conv_id
-    is a conversation.  A conversation is one document: its turns meet in one row, which must fit a task.
+    is a conversation; an empty table gives none; other columns are ignored, whatever their names.  A conversation is one
+    document: its turns meet in one row, which must fit a task.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     each = turns.select("conv_id", F.col("turn").alias("turn"), role.alias("role"), text.alias("text"), tokens(text).cast("long").alias("n"))

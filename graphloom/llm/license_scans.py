@@ -147,7 +147,8 @@ def scan(files: DataFrame, *, license_name: str = "(?i)^(licen[sc]e|copying)([.-
 
     ``how`` is ``own`` (a header or the licence file itself), ``inherited`` (from the licence file at from_path, of the
     nearest ancestor directory that has one with a recognised licence; of several the least path) or ``none``.  Null and empty texts can only inherit; rows with a
-    null path are left out; rows that repeat a path are one file, known by all their lines.
+    null path are left out; rows that repeat a path are one file, known by all their lines.  Lines are read whole, however long;
+    of ties the licence's name decides; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
     files = files.where("path is not null")
     name = F.element_at(F.split("path", "/"), -1)

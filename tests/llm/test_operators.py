@@ -502,6 +502,24 @@ def test_chat_of_nothing(spark):
     assert chat.windows(spark.createDataFrame([], TURNS)).collect() == []
 
 
+# --- columns that clash with what the operators use inside
+
+
+def test_columns_of_any_name_change_nothing(spark, odd):
+    names = ["n", "hs", "cells", "node", "rep", "tile", "kind", "data", "bucket", "k", "p", "guest", "_row", "h", "block", "word", "license", "dir", "line", "key", "score", "parts", "t", "upto", "windows", "sys", "head"]
+    clash = lambda df: df.select("*", *[F.lit("x").alias(c) for c in names if c not in df.columns])
+    rows = lambda df: sorted(map(str, df.collect()))
+    docs = odd.where("doc_id is null or doc_id <> 30").drop("extra")
+    ranks, pattern = ranks_and_pattern()
+    turns = spark.createDataFrame(chats(), TURNS)
+    files = spark.createDataFrame([("LICENSE", "Released under the MIT License."), ("a/x.py", "code"), ("a/x.py", None)], "path string, text string")
+    for run, df in (
+        (lambda x: ngram_jaccard.jaccard_join(x), docs), (lambda x: bpe.encode(x, ranks, pattern, emit="digest"), docs), (lambda x: mixing.mix(x), docs), (lambda x: fingerprints.compare_with_next(x), docs.where("doc_id is not null")),
+        (lambda x: license_scans.scan(x), files), (lambda x: chat.read_back(chat.windows(x)), turns), (lambda x: media.store(x, "text"), docs), (lambda x: substring_dedup.dedup(x).select("doc_id", "text", "removed"), docs),
+    ):
+        assert rows(run(clash(df))) == rows(run(df))
+
+
 # --- 1: URL filters
 
 
