@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import Tables  # noqa: F401
+from graphloom.llm.shared import Tables, bitmap, maybe  # noqa: F401
 from graphloom.shipping import ship
 
 #: Pixels of a row, bytes of a row, and the value that fills the last row.
@@ -179,6 +179,19 @@ def store(payloads: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     return payloads.select(*keep, F.col(text).cast("binary").alias("_payload")).mapInArrow(run, ddl)
 
 
+def media_table(payloads: DataFrame, references: DataFrame) -> DataFrame:
+    """(n_bytes, digest, media): one row per digest of ``payloads`` (text, digest).
+
+    ``references`` (digest) tell which digests several rows have: those rows meet by digest, of which one stays, and the others,
+    told apart by a bitmap of fixed size, are stored where they are read and never moved.  Nulls are empty payloads.
+    """
+    several = references.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    told = maybe(payloads.select("text", "digest"), "digest", bitmap(several, "digest"))
+    alone = store(told.where("not _maybe"), "text")
+    met = store(told.where("_maybe"), "text").groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
+    return alone.unionByName(met)
+
+
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 

@@ -92,10 +92,9 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tables = media.Tables(spark)
-    # the media table: one row per digest with its bytes; equal texts have equal media
-    stored = media.store(docs, "text").groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("media").alias("media"))
-    first = tables.write(stored, "media")
-    read = tables.write(docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")), "references")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    read = tables.write(docs.select("doc_id", digest), "references")
+    first = tables.write(media.media_table(docs.select("text", digest), read), "media")
     known = tables.write(media.read(first), "known")  # a plain join follows, whose hot digests Spark can split
     pages = read.select("doc_id", media.page_of(F.col("digest"), F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("html"))
     parts = media.resolve(media.interleave(pages, "doc_id"), known, "doc_id").where("kind = 'media'")
