@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
+from graphloom.sources.working import drop, keep
 
 LEAST, LEAST_SINGLE = 0.35, 0.45
 
@@ -18,19 +19,31 @@ def parse(claims: DataFrame) -> DataFrame:
     return c.withColumn("grp", F.concat_ws("|", "subject", "predicate"))
 
 
-def _side(c: DataFrame, p: str) -> DataFrame:
-    return c.select(*[F.col(x).alias(f"{p}_{x}") for x in ("id", "paper", "subject", "predicate", "direction", "negated", "strength", "stems", "grp")])
+SIDE = ("class", "subject", "predicate", "direction", "negated", "strength", "stems", "n")
+
+
+def _side(c: DataFrame, p: str, *more: str) -> DataFrame:
+    return c.select(*[F.col(x).alias(f"{p}_{x}") for x in (*SIDE, *more)])
+
+
+def _opposed() -> Column:
+    """What any conflict needs: one of two claims negated, or poles of one pair of directions."""
+    return (F.col("a_negated") != F.col("b_negated")) | X.opposing(F.col("a_direction"), F.col("b_direction"))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return ~F.coalesce((a != "") & (a == b), F.lit(False))
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
+    """Pairs of sides that pass the gate, with kind, score and reasons; ``stems`` are those that they may share, ``n`` how many a claim has in all."""
     a, b = (lambda x: F.col(f"a_{x}")), (lambda x: F.col(f"b_{x}"))
     shared = F.size(F.array_intersect(a("stems"), b("stems")))
-    low = F.least(F.size(a("stems")), F.size(b("stems")))
-    pairs = pairs.withColumns({"shared": shared, "overlap": F.coalesce(F.try_divide(shared, low), F.lit(0.0))})
+    low = F.least(a("n"), b("n"))
+    pairs = pairs.withColumn("shared", shared).withColumn("overlap", F.coalesce(F.try_divide("shared", low), F.lit(0.0)))
     same = (a("subject") != "") & (a("subject") == b("subject")) & (a("predicate") == b("predicate"))
     against, polar = X.opposing(a("direction"), b("direction")), a("negated") != b("negated")
     close = (F.col("shared") >= 2) & (F.col("overlap") >= 0.2)
-    other = ~F.coalesce((a("paper") != "") & (a("paper") == b("paper")), F.lit(False))
     kind = F.when(polar & (same | close), "polarity").when(against & close, "directional")
     both = lambda c: F.coalesce(c, F.lit(False))
     strong = (a("strength") == "strong") & (b("strength") == "strong")
@@ -44,30 +57,70 @@ def _scored(pairs: DataFrame) -> DataFrame:
         F.when(polar, "polarity differs"), F.when(against, F.concat_ws(" ", F.lit("opposite direction:"), a("direction"), b("direction"))), F.when(same, "same subject and predicate"),
         F.when(strong, "both assertive"), F.when(agree, "same polarity and direction"), F.when(F.col("shared") > 0, F.concat_ws(" ", F.lit("shared concepts:"), F.col("shared").cast("string"))),
     ))
-    return pairs.where(other).withColumn("kind", kind).where("kind is not null").withColumns({"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3), "reasons": reasons})
+    return pairs.withColumn("kind", kind).where("kind is not null").withColumns({"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3), "reasons": reasons})
+
+
+#: Claims alone with their proposition that a stem may have to count as rare; claims of a class in a block; pairs that a task makes.
+RARE, BLOCK, TASK_PAIRS = 32, 1024, 2_000_000
 
 
-def conflicts(parsed: DataFrame) -> DataFrame:
-    """(claim_a, claim_b, paper_a, paper_b, score, kind, reasons) of a < b.
+def conflicts(parsed: DataFrame, *, texts: bool = False, rare: int = RARE, block: int = BLOCK) -> DataFrame:
+    """(claim_a, claim_b, paper_a, paper_b, score, kind, reasons) of a < b, with ``texts`` also (text_a, text_b).
 
-    Pairs of one proposition from .35; claims alone with theirs meet others that share two stems from .45.  A pair passes
-    the gate for singles only with two shared stems, so the join on stems loses none and no pair is made without one.
+    Pairs of one proposition from .35; claims alone with theirs meet others that share two stems from .45.  Claims alike in all that
+    a score depends on are folded into a class: classes are scored once a pair, and only pairs that conflict are spread to members,
+    in blocks, so no stem that many claims have makes a pair that isn't returned.  Rare stems would tell nearly every claim from the
+    next: they stay out of the classes, and claims that share one are compared by themselves.
     """
-    group = parsed.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
-    p = parsed.join(group, "grp")
+    more = ["text"] if texts else []
     # claims without content words share the empty group and no stem, so none of them can oppose another
-    many = p.where("k > 1 and subject <> ''")
-    a, b = _side(many, "a"), _side(many, "b")
-    one = _scored(a.join(b, F.col("a_grp") == F.col("b_grp")).where("a_id < b_id")).where(F.col("score") >= LEAST)
-    singles = p.where("k = 1")
-    s = singles.select("id", F.explode("stems").alias("stem"))
-    met = s.toDF("a_id", "stem").join(s.toDF("b_id", "stem"), "stem").where("a_id < b_id").groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("m")).where("m >= 2").drop("m")
-    two = _scored(met.join(_side(singles, "a"), "a_id").join(_side(singles, "b"), "b_id")).where(F.col("score") >= LEAST_SINGLE)
-    cols = [F.col("a_id").alias("claim_a"), F.col("b_id").alias("claim_b"), F.col("a_paper").alias("paper_a"), F.col("b_paper").alias("paper_b"), "score", "kind", "reasons"]
-    return one.select(*cols).unionByName(two.select(*cols))
+    group = parsed.groupBy("grp").agg(F.count(F.lit(1)).alias("k"))
+    p = parsed.join(group, "grp").where("id is not null and size(stems) > 0 and (k = 1 or subject <> '')")
+    p = keep(p.select("grp", "k", "id", "paper", *more, "subject", "predicate", "direction", "negated", "strength", "stems", F.size("stems").alias("n")), "claims")
+    one = p.where("k = 1")  # their groups are their keys
+    s = one.select("grp", F.explode("stems").alias("stem"))
+    often = s.groupBy("stem").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > rare)
+    s = s.join(often, "stem", "left").groupBy("grp").agg(F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "stem")))).alias("often"), F.collect_list(F.when(F.col("df").isNull(), F.col("stem"))).alias("rare"))
+    one = one.withColumn("every", F.col("stems")).drop("stems", "subject", "predicate")  # of two propositions no two are the same
+    one = one.join(s.select("grp", F.transform("often", lambda x: x["stem"]).alias("stems"), F.array_sort("rare").alias("rare")), "grp").withColumns({"subject": F.lit(""), "predicate": F.lit("")})
+    many = p.where("k > 1").withColumns({"every": F.col("stems"), "rare": F.array().cast("array<string>")})
+    key = lambda *first: F.sha2(F.concat_ws("\n", *first, F.array_join("stems", " "), F.col("n").cast("string"), F.col("negated").cast("string"), F.coalesce("direction", F.lit("")), "strength"), 256)
+    c = keep(one.withColumn("class", key(F.lit("alone"))).unionByName(many.withColumn("class", key(F.lit("group"), F.col("grp")))), "claims")
+    drop(p)
+
+    first = lambda x: F.first(x).alias(x)
+    kinds = keep(c.groupBy("class").agg(*[first(x) for x in SIDE[1:]], F.when(F.first("k") > 1, F.first("grp")).alias("grp"), F.count(F.lit(1)).alias("size")), "classes")
+    told = ["class_a", "class_b", "score", "kind", "reasons"]
+    done = lambda x, least: _scored(x).where(F.col("score") >= least).withColumns({"class_a": F.col("a_class"), "class_b": F.col("b_class")}).select(*told)
+    g = kinds.where("grp is not null")
+    told_many = done(_side(g, "a", "grp").join(_side(g, "b", "grp"), (F.col("a_grp") == F.col("b_grp")) & _opposed()), LEAST)
+    # two classes that share two stems share one that isn't the last of either, the commonest
+    g = kinds.where("grp is null and size(stems) > 1").withColumn("head", F.slice("stems", F.lit(1), F.size("stems") - 1)).withColumn("stem", F.explode("head"))
+    meet = _side(g, "a", "head", "stem").join(_side(g, "b", "head", "stem"), (F.col("a_stem") == F.col("b_stem")) & _opposed())
+    told_one = done(meet.where(F.get(F.array_intersect("a_head", "b_head"), F.lit(0)) == F.col("a_stem")), LEAST_SINGLE)
+
+    dealt = c.join(kinds.select("class", F.ceil(F.col("size") / block).cast("int").alias("parts")), "class").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    packed = keep(dealt.groupBy("class", "part").agg(F.collect_list(F.struct("id", "paper", "rare", *more)).alias("all")), "blocks")
+    at = packed.select("class", "part", F.size("all").alias("m"))
+    plan = told_many.unionByName(told_one).join(at.toDF("class_a", "part_a", "m_a"), "class_a").join(at.toDF("class_b", "part_b", "m_b"), "class_b")
+    plan = keep(plan, "plan")
+    tasks = -(-(plan.agg(F.sum(F.col("m_a").cast("long") * F.col("m_b"))).first()[0] or 0) // TASK_PAIRS)
+    x = plan.join(packed.toDF("class_a", "part_a", "all_a"), ["class_a", "part_a"]).join(packed.toDF("class_b", "part_b", "all_b"), ["class_b", "part_b"])
+    x = x.repartition(max(1, tasks), "class_a", "part_a", "class_b", "part_b")  # a block's bytes don't tell how many pairs it makes
+    x = x.select("score", "kind", "reasons", "all_b", F.explode("all_a").alias("a")).select("score", "kind", "reasons", "a", F.explode("all_b").alias("b"))
+    x = x.where((F.col("a.id") < F.col("b.id")) & _apart(F.col("a.paper"), F.col("b.paper")) & ~F.arrays_overlap("a.rare", "b.rare"))
+    pair = lambda a, b: [a("id").alias("claim_a"), b("id").alias("claim_b"), a("paper").alias("paper_a"), b("paper").alias("paper_b"), "score", "kind", "reasons", *[f(y).alias(f"{y}_{z}") for y in more for f, z in ((a, "a"), (b, "b"))]]
+    spread = x.select(*pair(lambda y: F.col(f"a.{y}"), lambda y: F.col(f"b.{y}")))
+
+    r = c.where("k = 1").withColumn("stems", F.col("every")).withColumn("stem", F.explode("rare"))
+    own = ("id", "paper", "rare", "stem", *more)
+    met = _side(r, "a", *own).join(_side(r, "b", *own), (F.col("a_stem") == F.col("b_stem")) & (F.col("a_id") < F.col("b_id")) & _opposed())
+    met = _scored(met.where(_apart(F.col("a_paper"), F.col("b_paper")) & (F.get(F.array_intersect("a_rare", "b_rare"), F.lit(0)) == F.col("a_stem")))).where(F.col("score") >= LEAST_SINGLE)
+    return spread.unionByName(met.select(*pair(lambda y: F.col(f"a_{y}"), lambda y: F.col(f"b_{y}"))))
 
 
 def enriched(found: DataFrame, claims: DataFrame) -> DataFrame:
+    """``found`` with the texts of both claims, by joins; ``conflicts`` can bring them along, which moves no pair."""
     a, b = claims.select(F.col("id").alias("claim_a"), F.col("text").alias("text_a")), claims.select(F.col("id").alias("claim_b"), F.col("text").alias("text_b"))
     return found.join(a, "claim_a").join(b, "claim_b")
 

@@ -65,6 +65,54 @@ def test_claim_pairs(spark):
     assert C.conflicts(claims(spark, [("1", "Memory does not help agent teams here", "p"), ("2", "Memory helps agent teams here", "p"), ("3", None, "p")])).collect() == []
 
 
+def shuffled(spark, run):
+    """Rows that the stages of a run write to shuffles."""
+    sc = spark.sparkContext
+    jvm, store = sc._jvm, sc._jsc.sc().statusStore()
+
+    def total():
+        x = store.stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(x.apply(i).shuffleWriteRecords() for i in range(x.size()))
+
+    before = total()
+    out = run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return out, total() - before
+
+
+def test_conflicts_make_no_pairs_but_those_that_oppose(spark):
+    words = ["retrieval", "augmentation", "planning", "grounding"]
+    rows = [(f"{i:04d}", " ".join([*words[: 3 + i % 2], f"case{i}"]), f"p{i}") for i in range(1500)]  # each shares three stems with all
+    found, n = shuffled(spark, lambda: C.conflicts(claims(spark, [*rows, ("x", "retrieval augmentation planning does not help", "q")])).collect())
+    assert len(found) == 1500 and {r.score for r in found} <= {0.54, 0.563, 0.6} and n < 60_000
+
+
+@pytest.mark.parametrize("rare, block", [(0, 1), (1, 3), (3, 2), (99, 4)])
+def test_conflicts_by_classes_are_those_of_all_pairs(spark, rare, block):
+    say = ["memory {x} does not reduce overhead {y}", "memory {x} reduces overhead {y}", "memory {x} increases overhead {y} clearly shows", "memory shows {x} overhead increases {y}", "nothing {x}", "planning {y} helps memory {x} overhead", "of the"]
+    rows = [(None if i == 11 else f"{i % 40:02d}", say[i % 7].format(x=f"case{i // 7 % 3}", y=f"task{i % 5}"), [None, "", "p", "q"][i // 3 % 4]) for i in range(44)]
+    p = claims(spark, rows)
+    got = sorted(tuple(map(str, r)) for r in C.conflicts(p, texts=True, rare=rare, block=block).collect())
+    k = {r.grp: r["count"] for r in p.groupBy("grp").count().collect()}
+    c = [(r, k[r.grp]) for r in p.where("id is not null").collect()]
+    poles = {x for a, b in X.DIRECTIONS for x in ((a, b), (b, a))}
+    want = []
+    for a, m in c:
+        for b, n in c:
+            if not a.id < b.id or (m > 1) != (n > 1) or (m > 1 and a.grp != b.grp) or (a.paper and a.paper == b.paper):
+                continue
+            shared, low = len(set(a.stems) & set(b.stems)), min(len(a.stems), len(b.stems))
+            overlap = shared / low if low else 0.0
+            polar, against, same = a.negated != b.negated, (a.direction, b.direction) in poles, a.subject != "" and a.grp == b.grp
+            close, firm = shared >= 2 and overlap >= 0.2, a.strength == b.strength == "strong"
+            kind = "polarity" if polar and (same or close) else "directional" if against and close else None
+            score = round(min(1.0, 0.45 * polar + 0.35 * against + 0.2 * same + 0.1 * firm + 0.15 * overlap), 3)
+            why = ["polarity differs"] * polar + [f"opposite direction: {a.direction} {b.direction}"] * against + ["same subject and predicate"] * same + ["both assertive"] * firm + [f"shared concepts: {shared}"] * (shared > 0)
+            if kind and score >= (0.35 if m > 1 else 0.45):
+                want.append(tuple(map(str, (a.id, b.id, a.paper, b.paper, score, kind, why, a.text, b.text))))
+    assert got == sorted(want) and len(want) > 50
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0])], "id string, vec array<double>")
     top = {r.id: (r.other, r.score) for r in K.knn(v, 1, block=2).where("id = 'a'").collect()}
