@@ -1,6 +1,7 @@
 """Text functions, claims, vectors, the DSL, sources, sinks, the limiter and the research plans."""
 
 import json
+import os
 
 import duckdb
 import pytest
@@ -87,6 +88,22 @@ def test_conflicts_make_no_pairs_but_those_that_oppose(spark):
     assert len(found) == 1500 and {r.score for r in found} <= {0.54, 0.563, 0.6} and n < 60_000
 
 
+@pytest.mark.parametrize("name", ["conflicts_enriched"])
+def test_queries_on_conflicts_move_no_pair(spark, tmp_path, name):
+    from graphloom.plans import catalog
+
+    for t in os.listdir("/root/testdata/sf0.001"):
+        os.symlink(f"/root/testdata/sf0.001/{t}", tmp_path / t)
+    os.unlink(tmp_path / "supplier.parquet")
+    spark.range(3000).selectExpr("id as s_suppkey", "concat('Supplier#', id) as s_name", "cast(id % 25 as int) as s_nationkey", "0D as s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = [tuple(map(str, r)) for r in duck.execute(catalog.oracle_sql()[name]).fetchall()]
+    got, n = shuffled(spark, lambda: [tuple(map(str, r)) for r in catalog.queries()[name](spark, str(tmp_path)).collect()])
+    # some 214,000 pairs conflict
+    assert sorted(got) == sorted(want) and n < 150_000
+
+
 @pytest.mark.parametrize("rare, block", [(0, 1), (1, 3), (3, 2), (99, 4)])
 def test_conflicts_by_classes_are_those_of_all_pairs(spark, rare, block):
     say = ["memory {x} does not reduce overhead {y}", "memory {x} reduces overhead {y}", "memory {x} increases overhead {y} clearly shows", "memory shows {x} overhead increases {y}", "nothing {x}", "planning {y} helps memory {x} overhead", "of the"]
