@@ -224,10 +224,10 @@ def investigate(papers: DataFrame, candidates: DataFrame, question: str, scope:
 
 
 def counter_evidence(conflicts: DataFrame, papers: DataFrame, limit: int = 5) -> DataFrame:
-    """Conflicts in which either paper is one of ``papers`` (id)."""
-    ids = papers.select(F.col("id").alias("p"))
-    one, two = conflicts.join(ids, F.col("paper_a") == F.col("p"), "left_semi"), conflicts.join(ids, F.col("paper_b") == F.col("p"), "left_semi")
-    return one.unionByName(two).dropDuplicates(["claim_a", "claim_b"]).orderBy(F.desc("score"), "claim_a", "claim_b").limit(limit)
+    """The strongest conflicts in which either paper is one of ``papers`` (id); conflicts are read once."""
+    ids = papers.select("id").where("id is not null").distinct().withColumn("known", F.lit(True))
+    x = conflicts.join(ids.toDF("paper_a", "in_a"), "paper_a", "left").join(ids.toDF("paper_b", "in_b"), "paper_b", "left")
+    return x.where("in_a or in_b").select(*conflicts.columns).orderBy(F.desc("score"), "claim_a", "claim_b").limit(limit)
 
 
 def explain_metrics(metrics: DataFrame) -> DataFrame:
