@@ -83,8 +83,7 @@ def evidence_list(s, d):
 
 @query("WITH " + SCORED + ", x AS (SELECT claim_a, claim_b, score, contains(lower(a.text || b.text), 'task1 ') OR contains(lower(paper_a), 'task1 ') OR contains(lower(paper_b), 'task1 ') AS m FROM found JOIN claims a ON a.id = claim_a JOIN claims b ON b.id = claim_b) SELECT claim_a, claim_b, score FROM x WHERE m OR NOT (SELECT bool_or(m) FROM x) ORDER BY score DESC, claim_a, claim_b LIMIT 40")
 def tool_conflicts(s, d):
-    m = made_claims(s, d)
-    t = R.standard_tools(P.nodes(s, d), P.edges(s, d), conflicts=C.enriched(C.conflicts(C.parse(m)), m))
+    t = R.standard_tools(P.nodes(s, d), P.edges(s, d), conflicts=C.conflicts(C.parse(made_claims(s, d)), texts=True))
     return t.call(s, "find_conflicting_claims", topic="Task1 ", limit=40)["result"].select("claim_a", "claim_b", "score")
 
 

@@ -385,9 +385,9 @@ def conflicts_about(conflicts: DataFrame, topic: str | None, limit: int = 10) ->
     has = F.lit(True)
     if q:
         has = F.lower(F.concat("text_a", "text_b")).contains(q) | F.lower("paper_a").contains(q) | F.lower("paper_b").contains(q)
-    x = conflicts.withColumn("matched", F.coalesce(has, F.lit(False)))
-    some = x.agg(F.max("matched").alias("some"))
-    return x.join(F.broadcast(some)).where("matched or not some").drop("some").orderBy(F.desc("score"), "claim_a", "claim_b").limit(limit)  # one row
+    order = [F.desc("matched"), F.desc("score"), "claim_a", "claim_b"]
+    x = conflicts.withColumn("matched", F.coalesce(has, F.lit(False))).orderBy(*order).limit(limit)  # conflicts are read once
+    return x.withColumn("some", F.max("matched").over(Window.partitionBy())).where("matched or not some").drop("some").orderBy(*order)  # of ``limit`` rows at most
 
 
 def evidence_of(opportunities: DataFrame, evidence: DataFrame, index: int = 0) -> DataFrame:

@@ -88,7 +88,7 @@ def test_conflicts_make_no_pairs_but_those_that_oppose(spark):
     assert len(found) == 1500 and {r.score for r in found} <= {0.54, 0.563, 0.6} and n < 60_000
 
 
-@pytest.mark.parametrize("name", ["conflicts_enriched", "counter_evidence"])
+@pytest.mark.parametrize("name", ["conflicts_enriched", "counter_evidence", "tool_conflicts"])
 def test_queries_on_conflicts_move_no_pair(spark, tmp_path, name):
     from graphloom.plans import catalog
 
