@@ -140,6 +140,28 @@ def test_vectors(spark):
     assert sum(x * x for x in e[0].v) == pytest.approx(1) and sum(e[1].v) == 0
 
 
+@pytest.mark.parametrize("block", [3, None])
+def test_neighbours_of_queries_are_those_of_all_rows(spark, block):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(None, [1.0, 1.0, 1.0]), (100, [0.0, 0.0, 0.0]), (7, [0.5, 0.0])]
+    v = spark.createDataFrame(rows, "id long, vec array<double>")
+    q = v.where("id % 10 = 0")
+    every = lambda df: sorted((r.id, r["rank"], r.other, r.score) for r in df.collect())
+    want = every(K.knn(v, 4, block=block).where("id % 10 = 0"))
+    assert every(K.knn(v, 4, block=block, queries=q)) == want and {r[0] for r in want} == {0, 10, 20, 30, 40, 50, 100}
+    units = {i: [x / (sum(y * y for y in vec) ** 0.5 or 1) for x in vec] for i, vec in rows[:60]}
+    near = sorted((-round(sum(x * y for x, y in zip(units[20], u)), 6), i) for i, u in units.items() if i != 20)
+    assert [(r[3], r[2]) for r in want if r[0] == 20] == [(pytest.approx(-s), i) for s, i in near[:4]]
+
+
+def test_recall_moves_vectors_a_few_times(spark, tmp_path):
+    from graphloom.plans import catalog
+
+    x = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.sin(F.col("id") * k).cast("float"))
+    spark.range(6000).select(F.col("id").alias("vec_id"), x.alias("embedding"), F.lit(0).alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got, n = shuffled(spark, lambda: catalog.queries()["knn_recall"](spark, str(tmp_path)).collect())
+    assert [tuple(r) for r in got] == [(5, True, 6000)] and n < 100_000
+
+
 RECORDS = {
     'topic:"AI Agents" type in (Paper, Method) depth<=3 limit 5000': ("AI Agents", ["Paper", "Method"], [], [], 3, 500),
     'author:"Yao" type in (Paper) rel in (CITES, STUDIES) limit 25': (None, ["Paper"], ["CITES", "STUDIES"], [("TextContains", "name", "Yao")], 1, 25),
