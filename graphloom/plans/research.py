@@ -168,9 +168,10 @@ def candidate_paths(edges: DataFrame, members: DataFrame, candidates: DataFrame,
     (members: cluster, topic) that the paper studies or uses, at most three hops apart.  A pair without such ends is tried on the
     first four topics of either side, four hops.  Of all ends three are followed; paths that repeat count once.
     """
-    link = edges.where(F.col("type").isin("STUDIES", "USES_METHOD")).select(F.explode(F.array(F.struct(F.col("src").alias("paper"), F.col("dst").alias("topic")), F.struct(F.col("dst").alias("paper"), F.col("src").alias("topic")))).alias("x")).select("x.*").distinct()
+    link = edges.where(F.col("type").isin("STUDIES", "USES_METHOD")).select(F.explode(F.array(F.struct(F.col("src").alias("paper"), F.col("dst").alias("topic")), F.struct(F.col("dst").alias("paper"), F.col("src").alias("topic")))).alias("x")).select("x.*")
+    bridges = keep(bridges, "bridges")
     b = G.top_k(bridges.join(candidates.select("a", "b"), ["a", "b"], "left_semi"), 3, ["a", "b"], [F.col("pos"), F.col("paper")]).select("a", "b", F.col("rank").alias("r"), "paper")
-    touch = b.join(link, "paper")
+    touch = keep(keep(b, "first-bridges").join(link, "paper").distinct(), "touch")  # the few bridges go to the links, not the links to them
     side = lambda c: touch.join(members.toDF(c, "topic"), [c, "topic"]).groupBy("a", "b", "r").agg(F.min("topic").alias(f"end_{c}"))
     one = side("a").join(side("b"), ["a", "b", "r"]).select("a", "b", "r", F.col("end_a").alias("source"), F.col("end_b").alias("target"), F.lit(3).alias("most"))
     one = keep(one, "bridged")

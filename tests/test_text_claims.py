@@ -162,6 +162,20 @@ def test_recall_moves_vectors_a_few_times(spark, tmp_path):
     assert [tuple(r) for r in got] == [(5, True, 6000)] and n < 100_000
 
 
+def test_paths_between_hubs_spread_no_pair(spark):
+    from graphloom.operators import paths as H
+
+    hubs = [f"t{i}" for i in range(8)]
+    e = spark.range(1000).select(F.concat(F.lit("p"), F.format_string("%04d", "id")).alias("src"), F.explode(X.words([*hubs, "t1"])).alias("dst"))
+    e = e.unionByName(spark.createDataFrame([("t0", "t1"), ("t0", "t0"), ("x", "p0007"), ("y", "x"), (None, "t0"), ("lone", None)], "src string, dst string"))
+    want = {(a, b): [a, b] if {a, b} == {"t0", "t1"} else [a, "p0000", b] for a in hubs for b in hubs if a != b}
+    pairs = [(a, b, 4) for a, b in want] + [("t0", "t0", 0), ("t2", "y", 3), ("t2", "x", 1), ("x", "t3", 2), ("t4", "lone", 4)]
+    want |= {("t0", "t0"): ["t0"], ("t2", "y"): ["t2", "p0007", "x", "y"], ("x", "t3"): ["x", "p0007", "t3"]}
+    got, n = shuffled(spark, lambda: H.pair_paths(e, spark.createDataFrame(pairs, "source string, target string, most int")).collect())
+    assert {(r.source, r.target): (r.hops, r.path) for r in got} == {k: (len(v) - 1, v) for k, v in want.items()} and len(got) == len(want)
+    assert n < 50_000
+
+
 RECORDS = {
     'topic:"AI Agents" type in (Paper, Method) depth<=3 limit 5000': ("AI Agents", ["Paper", "Method"], [], [], 3, 500),
     'author:"Yao" type in (Paper) rel in (CITES, STUDIES) limit 25': (None, ["Paper"], ["CITES", "STUDIES"], [("TextContains", "name", "Yao")], 1, 25),
